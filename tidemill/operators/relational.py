@@ -11,20 +11,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.operators.ordered import OrderedGroups, beside, same_keys
-from tidemill.session import MAX_BROADCAST_BYTES, materialise, setting
+from tidemill.session import MAX_BROADCAST_ROWS, materialise, setting
 
 
-def small_enough(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether the optimizer's own size estimate of ``df`` is below the broadcast limit."""
-    limit = limit or setting(df.sparkSession, "maxBroadcastBytes", MAX_BROADCAST_BYTES)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+def small_enough(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows, found without reading more than that many."""
+    max_rows = max_rows or setting(df.sparkSession, "maxBroadcastRows", MAX_BROADCAST_ROWS)
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
-                limit: int | None = None) -> DataFrame:
+                max_rows: int | None = None) -> DataFrame:
     """Join a lookup side; hinted for broadcast only when its size is checked, else left to Spark."""
-    return big.join(F.broadcast(small) if small_enough(small, limit) else small, keys, how)
+    return big.join(F.broadcast(small) if small_enough(small, max_rows) else small, keys, how)
 
 
 def keep_matching(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,6 +58,15 @@ def duplicate_key_join_counts(left: DataFrame, right: DataFrame, key: str) -> Da
     return a.join(b, key).withColumn("joined_rows", F.col("left_rows") * F.col("right_rows"))
 
 
+def unequal_pair_counts(df: DataFrame, key: str) -> DataFrame:
+    """Per value: its rows, how many ordered pairs it forms with rows of another value, and how many
+    unordered pairs lie within it. Worked out from value frequencies, so no pair is made."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("members"))
+    total = df.count()
+    return counts.select(key, "members", (F.col("members") * (F.lit(total) - F.col("members"))).alias("unequal_pairs"),
+                         (F.expr("members * (members - 1) div 2")).alias("unordered_pairs"))
+
+
 def expand_to_siblings(keys: DataFrame, hierarchy: DataFrame, parent: str) -> DataFrame:
     """All hierarchy rows that share a parent with one of ``keys``."""
     shared = [c for c in keys.columns if c in hierarchy.columns and c != parent]

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemill.plans import relational  # noqa: F401
+from tidemill.plans import aggregates, relational, windows  # noqa: F401
 from tidemill.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Rows of one group that a single task may sort in a plain window.
 MAX_GROUP_ROWS = 4_000_000
-# Bytes up to which a side may be hinted for broadcast.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows up to which a lookup side may be hinted for broadcast.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def setting(spark: SparkSession, name: str, default):
