@@ -36,9 +36,11 @@ def camel_case(col: Column | str) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by blanks; empty when there are fewer than n."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), length)
+    for shift in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, F.lit(shift + 1), length), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def all_match(col: Column | str, pattern: str, sep: str = ",") -> Column:

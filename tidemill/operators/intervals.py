@@ -117,7 +117,7 @@ def day_counts(start: Column, end: Column, holidays: Column) -> Column:
 def months_between_dates(df: DataFrame, start: str, end: str, name: str = "period") -> DataFrame:
     """One row per calendar month touched by the range, as ``yyyyMM``."""
     months = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
-    return df.withColumn(name, F.date_format(F.explode(months), "yyyyMM"))
+    return df.withColumn(name, F.explode(months)).withColumn(name, F.date_format(name, "yyyyMM"))
 
 
 def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:

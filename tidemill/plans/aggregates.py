@@ -163,7 +163,7 @@ def pairwise_reduce(t):
 
 
 @query("agg_16_all_match", """
-WITH d AS (SELECT source, text, list_aggregate(list_transform(string_split(text, ' '), x -> CASE WHEN instr(x, 'e') > 0 THEN 1 ELSE 0 END), 'min') = 1 AS ok FROM documents)
+WITH d AS (SELECT source, text, list_aggregate(list_transform(string_split(text, ' '), lambda x: CASE WHEN instr(x, 'e') > 0 THEN 1 ELSE 0 END), 'min') = 1 AS ok FROM documents)
 SELECT source, count_if(ok) AS rows_all, bool_and(ok) AS group_all FROM d GROUP BY 1""")
 def all_match(t):
     rows = t.documents.select("source", text.all_match("text", "e", " ").alias("ok"))

@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from tidemill.plans import aggregates, relational, windows  # noqa: F401
+from tidemill.plans import (  # noqa: F401
+    aggregates, changes, intervals, nested, quality, relational, scalar, windows)
 from tidemill.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

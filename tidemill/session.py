@@ -14,8 +14,8 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def setting(spark: SparkSession, name: str, default):
-    """A numeric setting read from the session under ``tidemill.<name>``."""
-    value = spark.conf.get(f"tidemill.{name}", None)
+    """A numeric setting read from the session under ``spark.tidemill.<name>``."""
+    value = spark.conf.get(f"spark.tidemill.{name}", None)
     return type(default)(value) if value is not None else default
 
 
