@@ -15,7 +15,7 @@ def read_stream(spark: SparkSession, kind: str, path: str | None = None, schema=
     return reader.load(path) if path else reader.load()
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 200) -> DataFrame:
     """A Parquet table as a stream of its appended files."""
     path = f"{folder}/{name}.parquet"
     return read_stream(spark, "parquet", folder, spark.read.parquet(path).schema, pathGlobFilter=f"{name}.parquet",
