@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.operators.ordered import OrderedGroups, beside, same_keys
 from tidemill.session import MAX_BROADCAST_ROWS, materialise, setting
 
 
+# Copies of one row that are written out together.
+COPY_BLOCK = 10_000
+
+
 def small_enough(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, found without reading more than that many."""
     max_rows = max_rows or setting(df.sparkSession, "maxBroadcastRows", MAX_BROADCAST_ROWS)
@@ -47,8 +49,11 @@ def missing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     other = other.select(*[F.col(c).alias("_o_" + c) for c in cols], "_r")
     left_over = F.col("_l") - F.coalesce(F.col("_r"), F.lit(0))
     short = counted.join(other, same_keys(cols, "_o_"), "left").withColumn("_n", left_over).where("_n > 0")
-    copies = short.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    return copies.select(*cols)
+    # copies are made in blocks spread over the tasks, so one much repeated row does not fill a task
+    blocks = short.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPY_BLOCK})")))
+    blocks = blocks.withColumn("_n", F.least(F.lit(COPY_BLOCK), F.col("_n") - F.col("_block") * COPY_BLOCK))
+    blocks = blocks.repartition(*cols, "_block")
+    return blocks.withColumn("_i", F.explode(F.expr("sequence(1, cast(_n as int))"))).select(*cols)
 
 
 def duplicate_key_join_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -110,7 +115,7 @@ def total_across(frames: list[DataFrame], keys: list[str], value: str, name: str
 
 # -- greedy allocation ------------------------------------------------------------------------
 
-MAX_FOLD_ROWS = 500_000
+MAX_FOLD_ROWS = 2_000
 
 
 def allocate(df: DataFrame, keys: list[str], order: str, qty: str, limit: str,
@@ -118,7 +123,7 @@ def allocate(df: DataFrame, keys: list[str], order: str, qty: str, limit: str,
     """Walk each group in ``order``; a row is ``ok`` when it still fits under ``limit``, else ``ko``
     and not added. Adds ``computed`` (running total with this row) and ``control``.
 
-    Groups up to ``max_fold_rows`` rows are folded in one pass each. Bigger ones are settled in
+    Groups up to ``max_fold_rows`` rows are folded over a sorted array. Bigger ones are settled in
     rounds: with capacity c left, rows of at most c/2 surely fit until they have used up c/2, and
     only the first row above c/2 that still fits can change that. Each round finds that point with
     a distributed running sum and at least halves c, so about log2(limit / smallest qty) rounds do."""
@@ -126,26 +131,29 @@ def allocate(df: DataFrame, keys: list[str], order: str, qty: str, limit: str,
     sized = beside(df, keys, _rows=F.count(F.lit(1)))
     small = sized.where(F.col("_rows") <= fold_rows).drop("_rows")
     big = sized.where(F.col("_rows") > fold_rows).drop("_rows")
-    schema = T.StructType(df.schema.fields + [T.StructField("computed", T.DoubleType()),
-                                              T.StructField("control", T.StringType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        room, total, seen = float(pdf[limit].iloc[0]), 0.0, []
-        for q in pdf[qty]:
-            seen.append(total + q)
-            if seen[-1] <= room:
-                total = seen[-1]
-        pdf["computed"] = seen
-        pdf["control"] = ["ok" if s <= room else "ko" for s in seen]
-        return pdf
-
-    done = small.groupBy(*keys).applyInPandas(fold, schema)
+    done = _allocate_by_fold(small, keys, order, qty, limit)
     if big.limit(1).count() == 0:
         return done
     return done.unionByName(_allocate_in_rounds(big, keys, order, qty, limit).select(*done.columns))
 
 
+def _allocate_by_fold(df: DataFrame, keys: list[str], order: str, qty: str, limit: str) -> DataFrame:
+    entry = F.struct(F.col(order).alias("_o"), F.col(qty).cast("double").alias("_q"), F.col(limit).cast("double").alias("_l"),
+                     F.struct(*df.columns).alias("_row"))
+    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    nothing = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("seen"))
+
+    def step(acc, row):
+        tried = acc["total"] + row["_q"]
+        return F.struct(F.when(tried <= row["_l"], tried).otherwise(acc["total"]).alias("total"),
+                        F.concat(acc["seen"], F.array(tried)).alias("seen"))
+
+    seen = groups.withColumn("_seen", F.aggregate("_rows", nothing, step)["seen"])
+    pairs = seen.select(F.explode(F.arrays_zip("_rows", "_seen")).alias("_p"))
+    control = F.when(F.col("computed") <= F.col(limit), "ok").otherwise("ko")
+    return pairs.select("_p._rows._row.*", F.col("_p._seen").alias("computed")).withColumn("control", control)
+
+
 def _allocate_in_rounds(df: DataFrame, keys: list[str], order: str, qty: str, limit: str) -> DataFrame:
     q = F.col(qty).cast("double")
     groups = OrderedGroups(df, keys, [order]).row_number("_seq")

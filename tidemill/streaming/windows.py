@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.ordered import OrderedGroups
+
 
 def windowed(df: DataFrame, ts: str, length: str, keys: list[str], slide: str | None = None, late: str | None = None,
              **aggs: Column) -> DataFrame:
@@ -15,10 +17,22 @@ def windowed(df: DataFrame, ts: str, length: str, keys: list[str], slide: str |
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], late: str | None = None, **aggs: Column) -> DataFrame:
-    """Session windows per key that close after ``gap`` without an event."""
-    df = df.withWatermark(ts, late) if late else df
-    out = df.groupBy(F.session_window(ts, gap), *keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return out.select(F.col("session_window.start").alias("window_start"), F.col("session_window.end").alias("window_end"), *keys, *aggs)
+    """Sessions per key that close after ``gap`` without an event.
+
+    Streams use the session window. Batch frames number the sessions with ordered groups instead,
+    because a session window sorts all rows of a key in one task."""
+    if df.isStreaming:
+        df = df.withWatermark(ts, late) if late else df
+        out = df.groupBy(F.session_window(ts, gap), *keys).agg(*[a.alias(n) for n, a in aggs.items()])
+        return out.select(F.col("session_window.start").alias("window_start"),
+                          F.col("session_window.end").alias("window_end"), *keys, *aggs)
+    length = F.expr(f"interval {gap}")
+    groups = OrderedGroups(df, keys, [ts]).lag("_prev", ts)
+    opens = F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + length)
+    rows = groups.running_sum("_session", F.when(opens, 1).otherwise(0)).frame
+    out = rows.groupBy(*keys, "_session").agg(F.min(ts).alias("window_start"), (F.max(ts) + length).alias("window_end"),
+                                              *[a.alias(n) for n, a in aggs.items()])
+    return out.select("window_start", "window_end", *keys, *aggs)
 
 
 def with_own_windows(df: DataFrame, ts: str, length: str, key: str, late: str, **aggs: Column) -> DataFrame:
