@@ -72,9 +72,10 @@ class OrderedGroups:
         return per_chunk.withColumn("_pieces", F.count(F.lit(1)).over(pieces)).where("_pieces > 1")
 
     def _add_carry(self, df: DataFrame, carry: DataFrame, columns: list[str]) -> DataFrame:
-        """Join the at most two carry rows per chunk back to the rows."""
-        small = carry.select(F.col(CHUNK).alias("_c_chunk"),
-                             *[F.col(k).alias("_c_" + k) for k in self.keys], *columns)
+        """Join the at most two carry rows per chunk back to the rows. They are written out first, so
+        that a chain of steps does not read its own beginnings again and again."""
+        small = materialise(carry.select(F.col(CHUNK).alias("_c_chunk"),
+                                         *[F.col(k).alias("_c_" + k) for k in self.keys], *columns))
         on = (F.col(CHUNK) == F.col("_c_chunk")) & same_keys(self.keys, "_c_")
         return df.join(F.broadcast(small), on, "left").drop("_c_chunk", *["_c_" + k for k in self.keys])
 
