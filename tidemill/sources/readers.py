@@ -52,10 +52,11 @@ def read_jdbc(spark: SparkSession, url: str, query: str, driver: str | None = No
 
 def read_with_rejects(spark: SparkSession, path: str, schema: str, **options) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the schema, and the raw text of those that do not."""
-    df = spark.read.schema(f"{schema}, _reject string").options(
-        mode="PERMISSIVE", columnNameOfCorruptRecord="_reject", **options).csv(path)
-    good = df.where(F.col("_reject").isNull()).drop("_reject")
-    return good, df.where(F.col("_reject").isNotNull()).select("_reject")
+    lines = spark.read.text(path)
+    parsed = lines.withColumn("_row", F.from_csv("value", f"{schema}, _reject string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_reject", **options}))
+    good = parsed.where(F.col("_row._reject").isNull()).select("_row.*").drop("_reject")
+    return good, parsed.where(F.col("_row._reject").isNotNull()).select(F.col("value").alias("_reject"))
 
 
 def by_field_count(lines: DataFrame, shapes: dict[str, list[str]], sep: str = "~", column: str = "value") -> dict[str, DataFrame]:
