@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.ordered import OrderedGroups, ranks
 from tidemill.operators.relational import lookup_join
+from tidemill.session import materialise
 
 
 def season_standings(results: DataFrame, points: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def season_standings(results: DataFrame, points: DataFrame) -> DataFrame:
     totals = scored.groupBy("season", "driver").agg(
         F.sum("point").alias("total_points"), (F.sum("position") / F.count("race")).alias("mean_position"))
     totals = totals.withColumn("_zero", F.when(F.col("total_points") == 0, 1).otherwise(0))
-    placed = OrderedGroups(totals, ["season"], ["_zero", "-total_points", "mean_position", "driver"]).row_number("standing")
+    placed = OrderedGroups(materialise(totals), ["season"], ["_zero", "-total_points", "mean_position", "driver"]).row_number("standing")
     return placed.frame.drop("_zero")
 
 
@@ -29,4 +30,4 @@ def leaderboard(stored: DataFrame, batch: DataFrame, driver: str, points: str, t
     changed = F.coalesce(F.col("_add"), F.lit(0)) != 0
     both = both.select(driver, (F.coalesce(points, F.lit(0)) + F.coalesce("_add", F.lit(0))).alias(points),
                        F.when(changed | F.col(ts).isNull(), F.col("_at")).otherwise(F.col(ts)).alias(ts))
-    return ranks(both, [], ["-" + points, ts], rank="place")
+    return ranks(materialise(both), [], ["-" + points, ts], rank="place")

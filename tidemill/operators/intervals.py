@@ -49,7 +49,7 @@ def capped_sessions(events: DataFrame, key: str, ts: str, gap: int = 45, cap: in
     ``run start + k * (cap + 1)``, so an event's session number is a division, not a fold.
     A session of one event is Broken and has no end."""
     minutes = events.select(key, epoch_minute(ts).alias("_m")).distinct()
-    runs = OrderedGroups(minutes, [key], ["_m"]).lag("_prev", "_m")
+    runs = OrderedGroups(minutes, [key], ["_m"], bound_by=events).lag("_prev", "_m")
     opens = F.col("_prev").isNull() | (F.col("_m") - F.col("_prev") > gap)
     runs = runs.fill_forward("_run", F.when(opens, F.col("_m"))).frame
     runs = runs.withColumn("_k", F.floor((F.col("_m") - F.col("_run")) / (cap + 1)))
@@ -68,7 +68,7 @@ def capped_sessions(events: DataFrame, key: str, ts: str, gap: int = 45, cap: in
 
 def merge_adjacent(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Join date ranges where one ends the day before the next starts."""
-    groups = OrderedGroups(df.select(*keys, start, end).distinct(), keys, [start, end]).lag("_prev", end)
+    groups = OrderedGroups(df.select(*keys, start, end).distinct(), keys, [start, end], bound_by=df).lag("_prev", end)
     new = F.col("_prev").isNull() | (F.date_add("_prev", 1) != F.col(start))
     rows = groups.running_sum("_island", F.when(new, 1).otherwise(0)).frame
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
@@ -80,7 +80,7 @@ def merge_overlapping(df: DataFrame, keys: list[str], start: str, end: str,
     step = F.expr("interval 1 day") if step is None else step
     # only the longest range per start matters
     ranges = df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_n"))
-    groups = OrderedGroups(ranges, keys, [start]).running_max("_reach", end, exclusive=True)
+    groups = OrderedGroups(ranges, keys, [start], bound_by=df).running_max("_reach", end, exclusive=True)
     new = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + step)
     rows = groups.running_sum("_island", F.when(new, 1).otherwise(0)).frame
     return (rows.groupBy(*keys, "_island")
@@ -122,7 +122,7 @@ def months_between_dates(df: DataFrame, start: str, end: str, name: str = "perio
 
 def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Runs of consecutive integers per key."""
-    rows = OrderedGroups(df.select(*keys, value).distinct(), keys, [value]).row_number("_i").frame
+    rows = OrderedGroups(df.select(*keys, value).distinct(), keys, [value], bound_by=df).row_number("_i").frame
     return (rows.groupBy(*keys, (F.col(value) - F.col("_i")).alias("_run"))
             .agg(F.min(value).alias("run_start"), F.max(value).alias("run_end"),
                  F.count(F.lit(1)).alias("run_length")).drop("_run"))

@@ -39,15 +39,27 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys], F.lit(True))
 
 
+def fits_one_task(df: DataFrame, keys: list[str], limit: int, bound_by: DataFrame | None = None) -> bool:
+    """Whether every group has at most ``limit`` rows. ``bound_by`` is a frame that is cheaper to
+    count and has at least as many rows per key, such as the scan an aggregate was made from; only
+    when it is over the limit is ``df`` itself counted."""
+    if bound_by is not None and largest_group(bound_by, keys) <= limit:
+        return True
+    return largest_group(df, keys) <= limit
+
+
 class OrderedGroups:
-    """Rows of ``df`` grouped by ``keys`` and ordered by ``order``; methods add one column each."""
+    """Rows of ``df`` grouped by ``keys`` and ordered by ``order``; methods add one column each.
+
+    The rows are counted before they are used: pass ``bound_by``, or write an expensive small frame
+    out with ``materialise`` first, to not compute it twice."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str],
-                 max_group_rows: int | None = None, chunks: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_group_rows: int | None = None,
+                 chunks: int | None = None, bound_by: DataFrame | None = None):
         spark = df.sparkSession
         self.keys, self.order = list(keys), list(order)
         self.limit = max_group_rows or setting(spark, "maxGroupRows", MAX_GROUP_ROWS)
-        self.split = largest_group(df, self.keys) > self.limit
+        self.split = not fits_one_task(df, self.keys, self.limit, bound_by)
         if self.split:
             n = chunks or shuffle_partitions(spark)
             spread = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *ordering(self.order))
@@ -211,7 +223,7 @@ def ranks(df: DataFrame, keys: list[str], order: list[str], rank: str | None = N
     limit = max_group_rows or setting(df.sparkSession, "maxGroupRows", MAX_GROUP_ROWS)
     wanted = {n: k for n, k in ((rank, "rank"), (dense_rank, "dense"), (percent_rank, "percent"),
                                 (cume_dist, "cume")) if n}
-    if largest_group(df, keys) <= limit:
+    if fits_one_task(df, keys, limit):
         w = Window.partitionBy(*keys).orderBy(*ordering(order))
         native = {"rank": F.rank, "dense": F.dense_rank, "percent": F.percent_rank, "cume": F.cume_dist}
         return df.withColumns({n: native[k]().over(w) for n, k in wanted.items()})

@@ -27,8 +27,8 @@ def scd2_by_lead(history: DataFrame, batch: DataFrame, keys: list[str], start: s
     return effective_dates(both, keys, start, end)
 
 
-def effective_dates(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    rows = OrderedGroups(df.drop(end), keys, [start]).lead("_next", start).frame
+def effective_dates(df: DataFrame, keys: list[str], start: str, end: str, bound_by: DataFrame | None = None) -> DataFrame:
+    rows = OrderedGroups(df.drop(end), keys, [start], bound_by=bound_by).lead("_next", start).frame
     return rows.withColumn(end, F.date_add("_next", -1)).drop("_next")
 
 
@@ -77,7 +77,7 @@ def scd3(stored: DataFrame, batch: DataFrame, keys: list[str], tracked: list[str
 def dated_prices(points: DataFrame, keys: list[str], start: str, end: str, value: str) -> DataFrame:
     """Effective-date table from point-in-time values; the lowest value wins on one start date."""
     lowest = points.groupBy(*keys, start).agg(F.min(value).alias(value))
-    return effective_dates(lowest, keys, start, end)
+    return effective_dates(lowest, keys, start, end, bound_by=points)
 
 
 def load_dated(stored: DataFrame, batch: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -6,6 +6,7 @@ from tidemill.functions import dates, rules, text
 from tidemill.operators import intervals, relational
 from tidemill.operators.ordered import ranks
 from tidemill.plans.registry import query
+from tidemill.session import materialise
 
 
 @query("flagship_nation_revenue", """
@@ -32,7 +33,7 @@ def nation_revenue(t):
         F.grouping_id().cast("int").alias("lvl"),
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
         F.count(F.lit(1)).alias("line_count"))
-    placed = ranks(totals, ["lvl", "o_year"], ["-revenue"], rank="place")
+    placed = ranks(materialise(totals), ["lvl", "o_year"], ["-revenue"], rank="place")
     return placed.select(F.coalesce("n_name", F.lit("ALL")).alias("n_name"),
                          F.coalesce(F.col("o_year").cast("string"), F.lit("subTotal")).alias("o_year"),
                          "lvl", "revenue", "line_count", "place").orderBy("lvl", "o_year", "place")

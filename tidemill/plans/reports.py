@@ -98,12 +98,12 @@ def race_ranking(t):
     rows = t.orders.select(F.year("o_orderdate").alias("season"), (F.col("o_orderkey") % 50).alias("race"), F.col("o_custkey").alias("driver"),
                            (F.col("o_orderkey") % 20 + 1).cast("int").alias("position"), "o_orderkey",
                            F.lit("2024-01-01").cast("timestamp").alias("at"))
+    positions = rows.select("season", "position").where("position <= 10").distinct()
     rows = latest(rows, ["season", "race", "driver"], ["o_orderkey"]).drop("o_orderkey")
     races = t.part.select(F.col("p_size").cast("bigint").alias("race"))
     drivers = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("driver"))
     step = holding.resolve(rows.where("driver % 2 = 0"), rows.where("driver % 2 = 1"), [(races, ["race"]), (drivers, ["driver"])],
                            ["season", "race", "driver"], "at", F.lit("2024-01-02").cast("timestamp"), "2 days")
-    positions = step.released.select("season", "position").distinct().where("position <= 10")
     points = positions.withColumn("point", F.lit(11) - F.col("position"))
     out = ranking.season_standings(step.released, points)
     return out.select("season", "driver", "total_points", F.round("mean_position", 6).alias("mean_position"), F.col("standing").cast("bigint").alias("standing"))

@@ -172,7 +172,8 @@ WITH t AS (SELECT string_split(lower(text), ' ') AS w FROM documents WHERE lang
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t)
 SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3""")
 def ngrams(t):
-    grams = t.documents.where("lang = 'en'").select(F.explode(text.ngrams(F.split(F.lower("text"), " ", -1), 2)).alias("gram"))
+    tokens = t.documents.where("lang = 'en'").select(F.split(F.lower("text"), " ", -1).alias("w"))
+    grams = tokens.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 

@@ -6,6 +6,7 @@ from tidemill.functions import dates
 from tidemill.operators import relational
 from tidemill.operators.ordered import OrderedGroups, beside, latest, nth_distinct, ranks, top_n
 from tidemill.plans.registry import query
+from tidemill.session import materialise
 
 
 @query("win_01_ranks", """
@@ -122,7 +123,7 @@ def first_to_reach(t):
     bought = F.col("event_type") == "purchase"
     scores = t.events.groupBy("user_id").agg(F.count_if(bought).alias("points"), F.max(F.when(bought, F.col("ts"))).alias("reached"))
     scores = scores.withColumn("reached", F.coalesce("reached", F.lit("9999-12-31").cast("timestamp_ntz")))
-    return ranks(scores, [], ["-points", "reached"], rank="place").select("user_id", "points", "place")
+    return ranks(materialise(scores), [], ["-points", "reached"], rank="place").select("user_id", "points", "place")
 
 
 @query("win_13_standings", """
@@ -135,7 +136,7 @@ def standings(t):
     totals = t.orders.groupBy(F.col("o_custkey").alias("driver")).agg(
         F.sum(points).alias("points"), (F.sum(F.col("o_orderkey") % 20 + 1) / F.count(F.lit(1))).alias("avg_pos"))
     totals = totals.withColumn("zero", F.when(F.col("points") == 0, 1).otherwise(0))
-    placed = OrderedGroups(totals, [], ["zero", "-points", "avg_pos", "driver"]).row_number("standing").frame
+    placed = OrderedGroups(materialise(totals), [], ["zero", "-points", "avg_pos", "driver"]).row_number("standing").frame
     return placed.select("driver", "points", F.round("avg_pos", 6).alias("avg_pos"), F.col("standing").cast("bigint").alias("standing"))
 
 
