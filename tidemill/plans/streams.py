@@ -165,3 +165,45 @@ def stream_stream_left(t):
     buys = events(t).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("bought_at"))
     out = windows.join_within(views, buys, "user_id", "seen_at", "bought_at", "2 hours", "left")
     return sinks.run_to_end(out.select("viewed", "bought")).na.fill({"bought": -1})
+
+
+@query("join_18_stream_stream_right", """
+SELECT coalesce(a.event_id, -1) AS viewed, b.event_id AS bought FROM (SELECT * FROM events WHERE event_type = 'view') a RIGHT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+ ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR
+WHERE a.event_id IS NOT NULL OR b.ts < (SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 10 MINUTE FROM events)""")
+def stream_stream_right(t):
+    views = events(t).where("event_type = 'view'").select("user_id", F.col("event_id").alias("viewed"), F.col("ts").alias("seen_at"))
+    buys = events(t).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("bought_at"))
+    out = windows.join_within(views, buys, "user_id", "seen_at", "bought_at", "2 hours", "right")
+    return sinks.run_to_end(out.select("viewed", "bought")).na.fill({"viewed": -1})
+
+
+@query("str_06_complete_mode", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def complete_mode(t):
+    """Complete mode: every batch writes all counts, so the newest batch is the result."""
+    counts = events(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    out = sinks.run_to_end(counts, "complete")
+    newest = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(F.broadcast(newest), "batch_id", "left_semi").select("user_id", "n", "last")
+
+
+@query("str_22_pair_up", """
+WITH m AS (SELECT user_id, event_id FROM events WHERE event_type = 'signup'), o AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT user_id FROM m))
+SELECT CAST(user_id AS VARCHAR) AS key, 'member' AS side, CAST(event_id AS VARCHAR) AS id FROM m WHERE user_id IN (SELECT c_custkey FROM o)
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'owner', '' FROM o""")
+def pair_up(t):
+    """Customers own the sign-ups of their number; both wait for each other in keyed state."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        members = events(t).where("event_type = 'signup'").select(
+            F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("id"), "ts", "event_type")
+        members = members.withWatermark("ts", "1 day").select("key", "id", "ts", F.col("event_type").alias("message"))
+        users = t.events.where("event_type = 'signup'").select(F.col("user_id").alias("c_custkey")).distinct()
+        owners = table_stream(t.spark, t.folder, "customer").where("c_acctbal > 0").join(users, "c_custkey", "left_semi").select(
+            F.col("c_custkey").cast("string").alias("key"), F.lit("2024-01-15").cast("timestamp").alias("ts"), F.col("c_name").alias("message"))
+        out = state.pair_up(owners.withWatermark("ts", "1 day"), members, 365 * 86_400_000)
+        return sinks.run_to_end(out).select("key", "side", "id")
+    finally:
+        t.spark.conf.set(setting, before)

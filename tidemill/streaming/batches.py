@@ -25,22 +25,20 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.where("false")
 
 
-def current_state(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """State written by the newest batch."""
-    return before_batch(spark, path, like, 2 ** 62)
-
-
 def before_batch(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> DataFrame:
-    """State written by the newest batch before this one."""
+    """State the previous batch wrote. Batch ids are consecutive and every batch writes its partition,
+    so one partition is read, however long the table has grown."""
     try:
-        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-        last = stored.agg(F.max("batch_id")).first()[0]
+        stored = spark.read.parquet(path).where(F.col("batch_id") == batch_id - 1)
     except AnalysisException:
-        last = None
-    if last is None:
         return like.where("false")
-    rows = stored.where(F.col("batch_id") == last).select(*like.columns)
-    return rows.dropna("all")
+    return stored.select(*like.columns).dropna("all")
+
+
+def current_state(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """State of the newest batch, for readers of the table."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    return before_batch(spark, path, like, last + 1)
 
 
 def hold_and_release(released: str, held: str, parents: Callable[[SparkSession], list[tuple[DataFrame, list[str]]]],
