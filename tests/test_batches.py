@@ -175,3 +175,28 @@ def test_three_level_metadata(spark, rows):
     assert rows(copied.select("subject", "crud")) == [("m1", "Delete")]
     known, orphans = assessments.parents_first(children, two.where("false"), ["sem", "exam"])
     assert known.count() == 0 and orphans.count() == 2
+
+
+def test_three_levels_in_one_batch(spark, rows):
+    values = "sem string, exam string, subject string, kind string, year int"
+    def table(*cols):
+        types = {"sem": "string", "exam": "string", "subject": "string", "kind": "string", "year": "int", "s": "timestamp", "e": "timestamp"}
+        return spark.createDataFrame([], ", ".join(f"{c} {types[c]}" for c in cols))
+    def feed(*data):
+        df = spark.createDataFrame([(lv, "s1", "e1", sub, kind, year, crud, at) for lv, sub, kind, year, crud, at in data],
+                                   f"level string, {values}, crud string, s string")
+        return df.withColumn("s", F.to_timestamp("s"))
+    levels = assessments.Levels(table("sem", "exam", "year", "s", "e"), table("sem", "exam", "subject", "s", "e"),
+                                table("sem", "exam", "kind", "s", "e"), feed(("child", "x", None, 0, "Insert", "2024-01-01")).where("false"))
+    keys, tracked = ["sem", "exam"], {"parent": ["year"], "child": ["subject"], "grandchild": ["kind"]}
+    identity = {"parent": keys, "child": keys, "grandchild": keys}
+    def step(levels, f):
+        out = assessments.apply_batch(levels, f, keys, tracked, identity, "s", "e")
+        return assessments.Levels(*[materialise(x) for x in (out.parents, out.children, out.grandchildren, out.orphans)])
+    levels = step(levels, feed(("grandchild", None, "CA", None, "Insert", "2024-01-01")))
+    assert levels.grandchildren.count() == 0 and levels.orphans.count() == 1
+    levels = step(levels, feed(("parent", None, None, 2020, "Insert", "2024-01-02"), ("child", "m1", None, None, "Insert", "2024-01-03")))
+    assert (levels.parents.count(), levels.children.count(), levels.grandchildren.count(), levels.orphans.count()) == (1, 1, 1, 0)
+    levels = step(levels, feed(("child", "m1", None, None, "Delete", "2024-01-05")))
+    assert levels.children.where("e is null").count() == 0 and levels.grandchildren.where("e is null").count() == 0
+    assert levels.parents.where("e is null").count() == 1

@@ -101,3 +101,14 @@ def test_missing_rows_keeps_copies(spark, rows):
         spark.createDataFrame([("b", 1)], "x string, y int"))
     out = missing_rows(left, left.limit(0).union(spark.createDataFrame([("a", None), ("b", 1)], "x string, y int")))
     assert out.count() == 24_999 and out.distinct().count() == 1
+
+
+def test_pieces_stay_small(spark):
+    """A third of the rows in one key, and all of them with the same order value."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("k"),
+                                    F.lit(1).alias("at"), "id")
+    g = OrderedGroups(df, ["k"], ["at"], max_group_rows=1000, chunks=12)
+    sizes = [r[0] for r in g.df.groupBy("_chunk").count().select("count").collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 60_000 / 12
+    numbered = g.row_number("rn").frame.where("k = 0")
+    assert numbered.agg(F.count_distinct("rn"), F.max("rn")).first()[:] == (20_040, 20_040)

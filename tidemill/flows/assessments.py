@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.merge import merge, update
 from tidemill.operators.ordered import latest
 from tidemill.operators.scd import guarded_changes
+from tidemill.session import materialise
 
 
 def apply_level(stored: DataFrame, feed: DataFrame, keys: list[str], tracked: list[str], start: str, end: str,
@@ -34,3 +37,37 @@ def copy_deletes(parent_feed: DataFrame, level: DataFrame, keys: list[str], star
     gone = parent_feed.where(F.col(verb) == "Delete").groupBy(*keys).agg(F.max(start).alias("_at"))
     rows = level.where(F.col(end).isNull()).join(gone, keys)
     return rows.withColumn(start, F.col("_at")).withColumn(verb, F.lit("Delete")).drop("_at", end)
+
+
+@dataclass
+class Levels:
+    parents: DataFrame
+    children: DataFrame
+    grandchildren: DataFrame
+    orphans: DataFrame
+
+
+def apply_batch(stored: Levels, feed: DataFrame, keys: list[str], tracked: dict[str, list[str]], identity: dict[str, list[str]],
+                start: str, end: str, verb: str = "crud", level: str = "level") -> Levels:
+    """One batch over the three tables. ``feed`` holds all levels in one frame, with a column per
+    tracked value; rows that waited as orphans join it. Parents go first, then children, then
+    grandchildren; deletes are copied downwards and rows without a parent wait."""
+    feed = feed.unionByName(stored.orphans)
+
+    def rows(name):
+        return feed.where(F.col(level) == name).select(*dict.fromkeys([*keys, *identity[name], *tracked[name], start, verb]))
+
+    first = rows("parent")
+    parents = materialise(apply_level(stored.parents, first, keys, tracked["parent"], start, end, verb))
+
+    def below(name, table, upper_feed):
+        known, _ = parents_first(rows(name), parents, keys)
+        copied = copy_deletes(upper_feed, table, keys, start, end, verb).select(*known.columns)
+        merged = apply_level(table, known.unionByName(copied), identity[name], tracked[name], start, end, verb)
+        return merged, known.unionByName(copied)
+
+    children, child_feed = below("child", stored.children, first)
+    upper = first.select(*keys, start, verb).unionByName(child_feed.select(*keys, start, verb))
+    grandchildren, _ = below("grandchild", stored.grandchildren, upper)
+    held = feed.where(F.col(level) != "parent").join(parents.select(*keys).distinct(), keys, "left_anti")
+    return Levels(parents, children, grandchildren, held)

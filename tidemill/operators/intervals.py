@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators.ordered import OrderedGroups, same_keys
+from tidemill.operators.ordered import OrderedGroups, fits_one_task, group_limit
 
 
 def epoch_minute(col: Column | str) -> Column:
@@ -78,9 +78,11 @@ def merge_overlapping(df: DataFrame, keys: list[str], start: str, end: str,
                       step: Column | None = None) -> DataFrame:
     """Join ranges that overlap, touch, or start within ``step`` (default one day) of the reach so far."""
     step = F.expr("interval 1 day") if step is None else step
-    # only the longest range per start matters
-    ranges = df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_n"))
-    groups = OrderedGroups(ranges, keys, [start], bound_by=df).running_max("_reach", end, exclusive=True)
+    ranges = df.select(*keys, start, end, F.lit(1).alias("_n"))
+    fits = fits_one_task(ranges, keys, group_limit(df.sparkSession))
+    if not fits:  # only the longest range per start matters, and copies of a range would not be cut apart
+        ranges = ranges.groupBy(*keys, start).agg(F.max(end).alias(end), F.sum("_n").alias("_n"))
+    groups = OrderedGroups(ranges, keys, [start, end], fits=fits).running_max("_reach", end, exclusive=True)
     new = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + step)
     rows = groups.running_sum("_island", F.when(new, 1).otherwise(0)).frame
     return (rows.groupBy(*keys, "_island")

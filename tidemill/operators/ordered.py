@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemill.session import MAX_GROUP_ROWS, largest_group, materialise, setting, shuffle_partitions
@@ -39,6 +40,10 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys], F.lit(True))
 
 
+def group_limit(spark: SparkSession) -> int:
+    return setting(spark, "maxGroupRows", MAX_GROUP_ROWS)
+
+
 def fits_one_task(df: DataFrame, keys: list[str], limit: int, bound_by: DataFrame | None = None) -> bool:
     """Whether every group has at most ``limit`` rows. ``bound_by`` is a frame that is cheaper to
     count and has at least as many rows per key, such as the scan an aggregate was made from; only
@@ -55,14 +60,16 @@ class OrderedGroups:
     out with ``materialise`` first, to not compute it twice."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_group_rows: int | None = None,
-                 chunks: int | None = None, bound_by: DataFrame | None = None):
+                 chunks: int | None = None, bound_by: DataFrame | None = None, fits: bool | None = None):
         spark = df.sparkSession
         self.keys, self.order = list(keys), list(order)
-        self.limit = max_group_rows or setting(spark, "maxGroupRows", MAX_GROUP_ROWS)
-        self.split = not fits_one_task(df, self.keys, self.limit, bound_by)
+        self.limit = max_group_rows or group_limit(spark)
+        self.split = not (fits_one_task(df, self.keys, self.limit, bound_by) if fits is None else fits)
         if self.split:
             n = chunks or shuffle_partitions(spark)
-            spread = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *ordering(self.order))
+            # rows with equal order are told apart by a hash of their values, so they can be cut as well
+            plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+            spread = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *ordering(self.order), F.xxhash64(*plain))
             df = materialise(spread.withColumn(CHUNK, F.spark_partition_id()))
         self.df = df
 
@@ -154,12 +161,13 @@ class OrderedGroups:
 
     def _shift(self, name, value, offset, default, backwards) -> "OrderedGroups":
         value = F.col(value) if isinstance(value, str) else value
-        w = self._window(backwards)
         default = F.lit(default)
         if not self.split:
-            present = F.lag(F.lit(1), offset).over(w)
+            w, shift = self._window(), F.lead if backwards else F.lag  # one sort serves both directions
+            present = shift(F.lit(1), offset).over(w)
             return self._next(self.df.withColumn(
-                name, F.when(present.isNotNull(), F.lag(value, offset).over(w)).otherwise(default)))
+                name, F.when(present.isNotNull(), shift(value, offset).over(w)).otherwise(default)))
+        w = self._window(backwards)
         df = (self.df.withColumn("_pos", F.row_number().over(w))
               .withColumn("_rest", F.row_number().over(self._window(not backwards)))
               .withColumn("_inside", F.lag(value, offset).over(w))
@@ -220,7 +228,7 @@ def ranks(df: DataFrame, keys: list[str], order: list[str], rank: str | None = N
 
     Ranks depend only on how often each order value occurs. Groups too big for one task are
     therefore counted per value first and only these counts are accumulated in order."""
-    limit = max_group_rows or setting(df.sparkSession, "maxGroupRows", MAX_GROUP_ROWS)
+    limit = max_group_rows or group_limit(df.sparkSession)
     wanted = {n: k for n, k in ((rank, "rank"), (dense_rank, "dense"), (percent_rank, "percent"),
                                 (cume_dist, "cume")) if n}
     if fits_one_task(df, keys, limit):
