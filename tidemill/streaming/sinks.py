@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,32 @@ def then(*steps: Callable) -> Callable:
     return write
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """One state partition per core unless ``n`` is given. A stateful query keeps the number it started
+    with, and every partition costs a state store per operator, batch after batch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_end(df: DataFrame, mode: str = "append", each_batch: Callable | None = None) -> DataFrame:
     """Run a stream over what is available and return what it wrote."""
     spark = df.sparkSession
     folder = new_folder(spark)
     out = f"{folder}/data"
-    if each_batch is None and mode == "append":
-        start(df, f"{folder}/checkpoint", path=out).awaitTermination()
-        return spark.read.schema(df.schema).parquet(out)
-    start(df, f"{folder}/checkpoint", each_batch or into_batch_partition(out), mode).awaitTermination()
-    return spark.read.parquet(out)
+    to_files = each_batch is None and mode == "append"
+    with state_partitions(spark):
+        if to_files:
+            query = start(df, f"{folder}/checkpoint", path=out)
+        else:
+            query = start(df, f"{folder}/checkpoint", each_batch or into_batch_partition(out), mode)
+        query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out) if to_files else spark.read.parquet(out)
 
 
 class RowWriter:
