@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.text import chunks, hash_spans, mix, spans_of
 
-REPETITIONS = 48
+REPETITIONS = 24
 STEPS = 8
 SAMPLED = 4
 BLOCK = 1000
 EDITS = 0.2
+TRIES, OFTEN = 6, 4   # random offsets to choose a start from, and how often one offset is preferred
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -51,6 +52,7 @@ class Index:
     vocabulary: np.ndarray
     item_ids: np.ndarray
     items: list[np.ndarray]
+    member: np.ndarray           # per item and word, whether the item has it
     moves: np.ndarray            # per repetition and word, one bit for each step
     samples: list[list[int]]     # per repetition, the sampled steps; the first is 0
     starts: np.ndarray           # per word, one bit for each repetition in which an item's walk begins with it
@@ -75,6 +77,7 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
     words = len(vocabulary) + 1
     moves = random.integers(0, 256, (repetitions, words), dtype=np.uint8)
     samples, prefixes, owners = [], [], []
+    used = [np.zeros(len(item), dtype=np.int64) for item in items]
     starts = np.zeros(words, dtype=np.uint64)
     for r in range(repetitions):
         steps = [0, *sorted(random.choice(np.arange(1, STEPS), SAMPLED - 1, replace=False).tolist())]
@@ -84,9 +87,10 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
         for number, item in enumerate(items):
             if not len(item):
                 continue
-            # Of three random offsets the one whose word the fewest items have: fewer starts to follow, the same windows.
-            tries = random.integers(0, max(1, len(item) - STEPS + 1), 3)
-            offset = int(min(tries, key=lambda o: spread[item[o]]))
+            # Of some random offsets the one whose word the fewest items have, but none too often: fewer starts to follow, the same windows.
+            tries = random.integers(0, max(1, len(item) - STEPS + 1), TRIES)
+            offset = int(min(tries, key=lambda o: (used[number][o] >= OFTEN, spread[item[o]])))
+            used[number][offset] += 1
             key, at, level = np.zeros(1, np.uint64), offset, 0
             for step in range(STEPS):
                 if at >= len(item):
@@ -101,7 +105,10 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
         prefixes.append([np.unique(np.array(x, dtype=np.uint64)) for x in levels])
         full.sort()
         owners.append((np.array([x[0] for x in full], np.uint64), np.array([x[1] for x in full], np.int64), np.array([x[2] for x in full], np.int64)))
-    return Index(vocabulary, np.array(item_ids, np.int64), items, moves, samples, starts, prefixes, owners)
+    member = np.zeros((len(items), words), dtype=bool)
+    for number, item in enumerate(items):
+        member[number, item] = True
+    return Index(vocabulary, np.array(item_ids, np.int64), items, member, moves, samples, starts, prefixes, owners)
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -118,6 +125,8 @@ def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray
     """
     ends = np.repeat(first[1:], np.diff(first))
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    longest = max(map(len, index.items), default=0)
+    span = len(words) + longest + 1
     masks = index.starts[words]
     begun = np.flatnonzero(masks)
     masks = masks[begun]
@@ -138,13 +147,15 @@ def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray
                 for k in range(int((high - low).max(initial=0))):
                     some = low + k < high
                     owner = low[some] + k
-                    found.append(np.stack([rows[p[some]], items[owner], p[some] - offsets[owner]], 1))
+                    found.append((rows[p[some]] * len(index.items) + items[owner]) * span + p[some] - offsets[owner] + longest)
                 if not len(p):
                     break
             at = at + (index.moves[r, words[at]] >> np.uint8(step) & 1)
             on = at < last
             p, at, last, key = p[on], at[on], last[on], key[on]
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    pair, start = code // span, code % span - longest
+    return np.stack([pair // max(len(index.items), 1), pair % max(len(index.items), 1), start], 1)
 
 
 def best_stretch(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -158,10 +169,26 @@ def best_stretch(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def _likely(index: Index, words: np.ndarray, first: np.ndarray, found: np.ndarray, edits: float) -> np.ndarray:
+    """The candidates whose window holds enough words of the item: each word that is not edited away stands in it."""
+    sizes = np.array([len(i) for i in index.items])
+    out = []
+    for low in range(0, len(found), 1 << 14):
+        some = found[low:low + (1 << 14)]
+        size = sizes[some[:, 1]]
+        allowed = (edits * size).astype(np.int64)
+        begin = np.maximum(some[:, 2] - allowed, first[some[:, 0]])
+        end = np.minimum(some[:, 2] + size + allowed, first[some[:, 0] + 1])
+        at = begin[:, None] + np.arange(int((end - begin).max(initial=0)))
+        inside = index.member[some[:, 1][:, None], words[np.minimum(at, len(words) - 1)]] & (at < end[:, None])
+        out.append(some[inside.sum(1) >= size - allowed])
+    return np.concatenate(out) if out else found
+
+
 def _matches(index: Index, words: np.ndarray, first: np.ndarray, edits: float) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, distance, item words, start, end) of the best match of each item in each document."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, number, start in candidates(index, words, first).tolist():
+    for row, number, start in _likely(index, words, first, candidates(index, words, first), edits).tolist():
         item = index.items[number]
         allowed = int(edits * len(item))
         low, high = max(start - allowed, first[row]), min(start + len(item) + allowed, first[row + 1])
@@ -172,8 +199,6 @@ def _matches(index: Index, words: np.ndarray, first: np.ndarray, edits: float) -
         at = start - low
         if 0 <= at and np.array_equal(window[at:at + len(item)], item):
             distance, begin, end = 0, start, start + len(item)
-        elif len(window) < len(item) - allowed or np.isin(item, window).sum() < len(item) - allowed:
-            continue
         else:
             distance, end = best_stretch(item, window)
             if distance > allowed:

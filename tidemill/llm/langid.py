@@ -131,7 +131,7 @@ def _scored(model):
             letters = pc.match_substring_regex(lower, r"\p{L}").to_numpy(zero_copy_only=False)
             bits = np.zeros((batch.num_rows, len(found.langs)))
             size = np.diff(np.frombuffer(lower.buffers()[1], np.int64)[lower.offset:lower.offset + len(lower) + 1]) if len(lower) else np.zeros(0, np.int64)
-            for low, high, data, offsets in chunks(lower, 1 << 20):
+            for low, high, data, offsets in chunks(lower):
                 full = np.flatnonzero(np.diff(offsets))
                 if len(full) and found.langs:
                     bits[low + full] = np.add.reduceat(found.lengths(grams(data, offsets, ORDER)), offsets[:-1][full], axis=0, dtype=np.float64)

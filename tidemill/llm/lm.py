@@ -44,7 +44,7 @@ def _counts(batches):
     """word, n (all occurrences), c (in training rows) of each run of texts."""
     for batch in batches:
         learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        for low, high, data, offsets in chunks(batch.column("text"), 1 << 23):
+        for low, high, data, offsets in chunks(batch.column("text"), 1 << 22):
             hashes, begins, ends, first = words(data, offsets)
             _, at, group = np.unique(hashes, return_index=True, return_inverse=True)
             taught = np.repeat(learn[low:high], np.diff(first))

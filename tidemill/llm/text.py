@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -67,7 +67,7 @@ def _power(n: int, base: int) -> np.ndarray:
         kept = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
         kept[0] = 1
         kept = np.cumprod(kept, dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:
+        if len(kept) <= 4 * CHUNK_BYTES:
             _powers[base] = kept
     return kept[:n]
 
