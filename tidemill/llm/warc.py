@@ -28,6 +28,7 @@ from tidemill.session import MAX_BROADCAST_ROWS, materialise, shared_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 STRETCH = 4 << 20
+STRETCHES_PER_TASK = 8
 LEAST_PAYLOAD = 100
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -247,7 +248,8 @@ def read_packages(paths: DataFrame) -> DataFrame:
     Payloads of responses are checked against their digests; a mismatch, a broken directory or a compressed member raises. Packages without records give no rows.
     """
     stretches = materialise(paths.select(F.col(paths.columns[0]).cast("string").alias("path")).repartition("path").mapInArrow(_locate, STRETCHES))
-    return stretches.repartition("path", "start").mapInArrow(_read, RECORDS)
+    tasks = max(1, -(-stretches.count() // STRETCHES_PER_TASK))  # a given number: rows this small would else be joined into one task
+    return stretches.repartition(tasks, "path", "start").mapInArrow(_read, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
