@@ -24,6 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller and a larger one: the edges are then no finished stars yet."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    return ends.groupBy("n").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).filter("low > 1 or (low = 1 and high > 0)").limit(1).count() > 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node that has an edge; ``edges`` has columns a and b.
 
@@ -31,12 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while _tangled(edges):
         edges = materialise(_star(_star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,15 +5,15 @@
 2. Inverted lists of the retained values: classes that meet in lists are candidates, and the number of lists they share is
    the overlap of their sketches. The union-sketch estimate (overlap over union of both sketches) filters them.
 3. A candidate is a link when the exact Jaccard of both full sets, recomputed from the texts, reaches the threshold.
-   Candidates already joined by other links are not verified again: they cannot change a component.
+   Candidates already joined by other links need not be verified: they cannot change a component.
 
 Long lists (more than ``LIST`` classes) are never paired in full at first. A class with at least half of its retained values in short lists
 needs no long one: a partner at similarity 0.8 or more shares about nine tenths of the values, so it shares one of those (losing a
-link takes a deviation of over six standard errors). For the other classes the full sets replace the sketches: a class with more than a
-fifth of its shingles (1 - threshold) in short lists must share one with any partner. What is left are classes made almost wholly of
-shingles that many share: a large family of near copies, or a passage with a few words around it. They are linked with the smallest class
-of each long list, and by the triangle inequality of the Jaccard distance only those stay in the list that could still link with
-a class not linked to it. Whatever remains after ``ROUNDS`` rounds is paired in full, so no link is given up.
+link takes a deviation of over six standard errors). For the other classes the full sets replace the sketches: a class with more than
+1 - threshold of its shingles in short lists must share one with any partner. What is left are classes made almost wholly of
+shingles that many share: a large family of near copies, or a passage with a few words around it. They are linked with the class
+of each long list that has the least of its own, and by the triangle inequality of the Jaccard distance only those stay in the list that could still link
+with a class not linked to it. After ``ROUNDS`` rounds all pairs that remain possible are verified, so no link is given up.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from tidemill.session import MAX_BROADCAST_ROWS, materialise
 SHINGLE = 5
 SKETCH = 64
 LIST = 48
-ROUNDS = 6
+ROUNDS = 3
+PROBES = 16    # retained values by which classes of long lists meet; two at similarity 0.8 share each with probability of 0.8 or more
 # Sketch overlap over sketch union below which a pair is not verified; 0.85 of true similarity gives about 0.78, standard error 0.06.
 ESTIMATE = 0.42
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -104,16 +105,14 @@ def _verify(size: int):
 
 
 class _Linker:
-    """Verifies candidate pairs of classes and keeps the links found so far, with the components they make."""
+    """Verifies candidate pairs of classes and gathers the links."""
 
     def __init__(self, texts: DataFrame, percent: int, size: int):
         self.texts, self.percent, self.size = texts, percent, size
-        self.links: DataFrame | None = None
-        self.comps: DataFrame | None = None
+        self.links: list[DataFrame] = []
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, joint of ``pairs`` (a, b); the texts meet through two joins, each of which can be split."""
-        pairs = materialise(pairs)
+        """a, b, common, joint of ``pairs`` (a, b; written), from the full sets; the texts meet through two joins, each of which can be split."""
         few = pairs.count() <= MAX_BROADCAST_ROWS  # two numbers a row; else the texts are shuffled once a side
         hint = F.broadcast if few else (lambda df: df)
         a = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hint(pairs), "a")
@@ -122,28 +121,34 @@ class _Linker:
         both = a.join(b, "b").select("a", "b", "text_a", "text_b")
         return materialise(both.mapInArrow(_verify(self.size), "a long, b long, common long, joint long"))
 
-    def add(self, measured: DataFrame) -> None:
+    def add(self, measured: DataFrame) -> DataFrame:
         links = measured.filter(f"100 * common >= {self.percent} * joint").select("a", "b")
-        self.links = links if self.links is None else materialise(self.links.unionByName(links))
-        self.comps = materialise(components(self.links))
-
-    def open(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet in one component."""
-        if self.comps is None:
-            return pairs
-        near = pairs.join(self.comps.select(F.col("node").alias("a"), F.col("component").alias("_ca")), "a", "left")
-        near = near.join(self.comps.select(F.col("node").alias("b"), F.col("component").alias("_cb")), "b", "left")
-        return near.filter("_ca is null or _cb is null or _ca <> _cb").drop("_ca", "_cb")
+        self.links.append(links)
+        return links
 
     def link(self, pairs: DataFrame) -> None:
-        """First the most overlapping partner of each class, then the pairs which that leaves open."""
+        """First the most overlapping smaller partner of each class; then the pairs whose ends these links do not join yet."""
         pairs = materialise(pairs)
-        first = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a")).select("a", "b")
-        self.add(self.measured(first))
-        rest = materialise(self.open(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")))
+        first = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a")).select("a", "b"))
+        found = self.add(self.measured(first)).select(F.col("b").alias("node"), F.col("a").alias("up"))
+        # Each link leads to a smaller class; three steps of pointer doubling reach the end of most chains. Any pair this leaves apart is verified.
+        for _ in range(3):
+            above = found.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            found = found.join(above, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
+        found = materialise(found)
+        rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+        rest = rest.join(found.select(F.col("node").alias("a"), F.col("up").alias("_a")), "a", "left")
+        rest = rest.join(found.select(F.col("node").alias("b"), F.col("up").alias("_b")), "b", "left")
+        rest = materialise(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
         if rest.limit(1).count():
             self.add(self.measured(rest))
 
+    def components(self) -> DataFrame:
+        links = self.links[0]
+        for more in self.links[1:]:
+            links = links.unionByName(more)
+        return components(links)
+
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that meet in lists: a, b, shared (number of lists), with the sketch sizes and hot counts of both."""
@@ -172,27 +177,35 @@ def _split(lists: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return short, long.join(hot, "rep")
 
 
-def _stars(rows: DataFrame, linker: _Linker, percent: int, limit: int, rounds: int) -> None:
-    """Link classes of long lists: rows (v, rep, n, size, hot) of classes that no short list can settle."""
+def _stars(rows: DataFrame, linker: _Linker, percent: int, rounds: int) -> None:
+    """Link classes of long lists: rows (v, rep, n, own) of classes that no short list can settle; ``own`` counts shingles few others have.
+
+    The class of a list with the least of its own comes nearest to what the list has in common, so it links with most others. Classes linked to the same
+    centre need not meet. A linked class stays only while its distance to the centre leaves room for a link with a class not linked.
+    """
+    reach = 1 - percent / 100
+    rows = rows.withColumn("label", F.lit(None).cast("long"))
     for _ in range(rounds):
-        lengths = rows.groupBy("v").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("n", "rep")).alias("centre")).filter("length > 1")
-        if lengths.agg(F.max("length")).first()[0] is None or lengths.agg(F.max("length")).first()[0] <= limit:
+        centres = rows.filter("label is null").groupBy("v").agg(F.min(F.struct("own", "n", "rep")).alias("centre"))
+        rows = materialise(rows.join(centres, "v").select("v", "rep", "n", "own", "label", F.col("centre.rep").alias("c"), F.col("centre.n").alias("cn")))
+        sizes = F.least("cn", "n") / F.greatest("cn", "n")  # the most that sizes allow; beyond twice the reach nothing linked to one can link to the other
+        near = materialise(rows.filter((F.col("rep") != F.col("c")) & (sizes >= 1 - 2 * reach)).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct())
+        if not near.limit(1).count():
             break
-        rows = rows.drop("length", "centre").join(lengths, "v")
-        rows = materialise(rows.select("v", "rep", "n", "size", "hot", F.col("centre.rep").alias("c"), F.col("centre.n").alias("cn")))
-        near = rows.filter(f"rep <> c and 100 * cn >= {2 * percent - 100} * n").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
         met = linker.measured(near)
         linker.add(met)
-        # Distances to the centre of the list: exact where measured, else at least what the sizes force.
         d = rows.join(met.select(F.col("a").alias("c"), F.col("b").alias("rep"), "common", "joint"), ["c", "rep"], "left")
-        far = F.when(F.col("rep") == F.col("c"), 0.0).otherwise(F.coalesce(1 - F.col("common") / F.col("joint"), 1 - F.col("cn") / F.col("n")))
-        reach = 1 - percent / 100
-        d = d.withColumn("d", far).withColumn("linked", F.col("d") <= reach)
-        nearest = d.filter("not linked").groupBy("v").agg(F.min("d").alias("nearest"))
-        d = d.join(nearest, "v")  # a list whose classes are all linked to its centre is settled
-        rows = materialise(d.filter(f"not linked or (rep <> c and nearest - d <= {reach})").select("v", "rep", "n", "size", "hot"))
-    if rows.limit(1).count():
-        linker.link(_estimated(_candidates(rows, percent), 0.0))
+        d = d.withColumn("d", F.coalesce(1 - F.col("common") / F.col("joint"), 1 - sizes)).withColumn("linked", 100 * F.col("common") >= percent * F.col("joint"))
+        d = d.withColumn("label", F.when(F.col("label").isNull() & F.col("linked"), F.col("c")).otherwise(F.col("label"))).filter("rep <> c")
+        open_ = d.filter("label is null").groupBy("v").agg(F.min("d").alias("nearest"))  # a list without an open class is settled
+        rows = materialise(d.join(open_, "v").filter(F.col("label").isNull() | (F.col("nearest") - F.col("d") <= reach)).select("v", "rep", "n", "own", "label"))
+    # Classes that share no short list have at most the smaller of their common parts in common.
+    x = rows.select("v", F.col("rep").alias("a"), F.col("label").alias("la"), (F.col("n") - F.col("own")).alias("ha"), F.col("own").alias("oa"))
+    y = rows.select("v", F.col("rep").alias("b"), F.col("label").alias("lb"), (F.col("n") - F.col("own")).alias("hb"), F.col("own").alias("ob"))
+    left = x.join(y, "v").filter(f"a < b and (la is null or lb is null or la <> lb) and 100 * least(ha, hb) >= {percent} * (greatest(ha, hb) + oa + ob)")
+    pairs = materialise(left.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    if pairs.limit(1).count():
+        linker.link(pairs)
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE,
@@ -208,8 +221,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     classes = materialise(docs_sets.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                                                         F.first("sketch").alias("sketch")))
     linker = _Linker(source, percent, size)
-    lists = classes.filter("rep is not null").select(
-        F.explode("sketch").alias("v"), "rep", "n", F.size("sketch").alias("size"))
+    lists = classes.filter("rep is not null").select(F.posexplode("sketch").alias("place", "v"), "rep", "n", F.size("sketch").alias("size"))
     short, long = _split(lists, limit)
     linker.link(_estimated(_candidates(short, percent), ESTIMATE))
     unsettled = materialise(long.filter("2 * hot > size").select("rep").distinct())
@@ -218,10 +230,11 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
         full = texts.dropDuplicates(["rep"]).mapInArrow(_full_lists(size), "v long, rep long, n long").withColumn("size", F.col("n"))
         short, wide = _split(full, limit)
         linker.link(_estimated(_candidates(short, percent), percent / 100 - 1e-9))
-        last = wide.filter(f"100 * hot >= {percent} * n").select("rep").distinct()
-        _stars(materialise(long.join(last, "rep", "left_semi")), linker, percent, limit, rounds)
+        last = materialise(wide.filter(f"100 * hot >= {percent} * n").select("rep", (F.col("n") - F.col("hot")).alias("own")).distinct())
+        if last.limit(1).count():
+            _stars(materialise(long.filter(F.col("place") < PROBES).join(last, "rep").select("v", "rep", "n", "own")), linker, percent, rounds)
     found = docs_sets.select("doc_id", "n", "sign").join(classes.select("sign", "rep"), "sign", "left")
-    found = found.join(linker.comps.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.join(linker.components().withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
