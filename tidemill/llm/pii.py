@@ -33,85 +33,82 @@ AROUND = 40
 LEAST = 0.4
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed, and written into the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _is_ip(value: Column) -> Column:
-    ok = F.lit(True)
-    for i in range(1, 5):
-        part = F.ltrim(F.split_part(value, F.lit("."), F.lit(i)), F.lit("0"))
-        ok = ok & (F.length(part) <= 3) & (F.coalesce(part.try_cast("int"), F.lit(0)) <= 255)
-    return ok
+    """Four numbers of at most 255; leading zeros do not count."""
+    return F.forall(F.split(value, "[.]"), lambda part: _let(F.ltrim(part, F.lit("0")), lambda x: (F.length(x) <= 3) & (F.coalesce(x.try_cast("int"), F.lit(0)) <= 255)))
 
 
 def luhn(digits: Column) -> Column:
     """Whether a string of at most 20 digits passes the Luhn check."""
-    padded = F.lpad(digits, 20, "0")
-    total = F.lit(0)
-    for i in range(1, 21):
-        digit = F.substring(padded, i, 1)
-        total = total + (F.translate(digit, "0123456789", "0246813579") if i % 2 else digit).cast("int")
-    return total % 10 == 0
+    places = F.sequence(F.lit(1), F.lit(20))
+
+    def value(padded, i):
+        digit = F.substr(padded, i, F.lit(1)).cast("int")
+        return F.when(i % 2 == 0, digit).otherwise(2 * digit - F.when(digit > 4, 9).otherwise(0))
+    return _let(F.lpad(digits, 20, "0"), lambda p: F.aggregate(places, F.lit(0), lambda a, i: a + value(p, i)) % 10 == 0)
 
 
 def mod97(iban: Column) -> Column:
-    """Whether an account number without spaces (15 to 34 characters) passes the mod 97 check."""
+    """Whether an account number without spaces passes the mod 97 check; letters count as 10 to 35."""
     turned = F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 4))
-    value = turned
-    for i in range(26):
-        value = F.replace(value, F.lit(chr(65 + i)), F.lit(str(10 + i)))
-    rest = F.lit(0).cast("long")
-    for i in range(0, 72, 8):  # at most 34 characters make 68 digits
-        piece = F.substring(value, i + 1, 8)
-        scale = F.pow(F.lit(10), F.length(piece)).cast("long")
-        rest = F.when(piece == "", rest).otherwise((rest * scale + F.coalesce(piece.try_cast("long"), F.lit(0))) % 97)
-    return rest == 1
-
-
-def _valid(kind: str, value: Column) -> Column:
+
+    def step(rest, c):
+        code = F.ascii(c)
+        return F.when(code < 65, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c))) == 1
+
+
+def _valid(kind: str, value: Column, plain: Column) -> Column:
+    """``plain`` is the value without anything but letters and digits."""
     if kind == "ip":
         return _is_ip(value)
     if kind == "card":
-        digits = _digits(value)
-        return F.length(digits).between(13, 19) & luhn(digits)
+        return F.length(plain).between(13, 19) & luhn(plain)
     if kind == "phone":
-        return F.length(_digits(value)).between(9, 15)
+        return F.length(plain).between(9, 15)
     if kind == "iban":
-        plain = F.replace(value, F.lit(" "), F.lit(""))
         return F.length(plain).between(15, 34) & mod97(plain)
     return F.lit(True)
 
 
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
 # What a text must hold to be searched at all; a cheap test that spares most texts the search.
-NEEDS = {"email": F.lit(r"@"), "ip": F.lit(r"[0-9]\.[0-9]"), "card": F.lit(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.lit(r"\+[0-9]"),
-         "iban": F.lit(r"[A-Z]{2}[0-9]{2}"), "ssn": F.lit(r"[0-9]-[0-9]{2}-[0-9]")}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]",
+         "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 
 
 def _spans(kind: str, text: Column) -> Column:
-    """The confirmed spans of one kind, in order of start."""
+    """The confirmed spans of one kind, in order of start. Each step is a struct, so that the plan stays small."""
     pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.transform(F.split(text, PATTERNS[kind]), F.char_length)
-    lengths = F.transform(found, F.char_length)
-    start = lambda i: (F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + x)
-                       + F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x))
-
-    def span(value: Column, i: Column) -> Column:
-        at = start(i)
-        end = at + F.char_length(value)
-        low = F.greatest(at - AROUND, F.lit(0))
-        near = F.concat_ws(" ", F.substr(text, low + 1, at - low), F.substr(text, end + 1, F.lit(AROUND)))
-        score = F.lit(BASE[kind]) + F.when(F.rlike(F.lower(near), F.lit(rf"\b(?:{CONTEXT[kind]})\b")), NEAR).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), value.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
-
-    def confirmed(x: Column) -> Column:
-        ok = _valid(kind, x["value"])
-        return ok & (x["score"] >= LEAST) if kind in ("iban", "ssn") else ok
-
-    return F.when(F.rlike(text, NEEDS[kind]), F.filter(F.transform(found, span), confirmed)).otherwise(F.array().cast(SPAN))
+    sum_ = lambda lengths, n: F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x)
+
+    def placed(x: Column) -> Column:
+        return F.transform(x["found"], lambda value, i: F.struct(value.alias("value"), (sum_(x["between"], i + 1) + sum_(x["lengths"], i)).alias("start")))
+
+    def ended(x: Column) -> Column:
+        low = F.greatest(x["start"] - AROUND, F.lit(0))
+        before = F.substr(text, low + 1, x["start"] - low)
+        return F.struct(x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), before.alias("before"),
+                        F.regexp_replace(x["value"], "[^A-Za-z0-9]", "").alias("plain"))
+
+    def scored(x: Column) -> Column:
+        near = F.lower(F.concat_ws(" ", x["before"], F.substr(text, x["end"] + 1, F.lit(AROUND))))
+        score = F.lit(BASE[kind]) + F.when(F.rlike(near, F.lit(rf"\b(?:{CONTEXT[kind]})\b")), NEAR).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+
+    matches = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.struct(
+        found.alias("found"), F.transform(F.split(text, PATTERNS[kind]), F.char_length).alias("between"), F.transform(found, F.char_length).alias("lengths")))
+    spans = F.filter(F.transform(_let(matches, placed), ended), lambda x: _valid(kind, x["value"], x["plain"]))
+    spans = F.transform(spans, scored)
+    if kind in ("iban", "ssn"):
+        spans = F.filter(spans, lambda x: x["score"] >= LEAST)
+    return F.when(F.rlike(text, F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(SPAN))
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
