@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import MAX_BROADCAST_ROWS, materialise
@@ -16,3 +16,10 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
     ids = materialise(ids.toDF("_dropped_id").distinct())
     side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
     return docs.join(side, docs[doc_id].eqNullSafe(F.col("_dropped_id")), "left_anti")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand documents to Python at most ``rows`` at a time: ten thousand long texts, copied on both sides, are hundreds of megabytes a core."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

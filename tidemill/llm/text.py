@@ -43,7 +43,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of an Arrow string column and the offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -58,6 +59,7 @@ def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndar
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
         yield low, high, data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
         low = high
+    pa.default_memory_pool().release_unused()
 
 
 def _power(n: int, base: int) -> np.ndarray:
