@@ -1,0 +1,181 @@
+"""The other operators: against brute force, round trips, held-out labels, and odd tables."""
+
+import io
+import math
+import random
+import zipfile
+
+import numpy as np
+import oracle
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemill.llm import decontaminate, exact_dedup, langid, lm, mixing, queries, quality, toxicity, warc
+
+FOLDER = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string"
+ODD = [(1, None, None, None, None, None, None), (2, "", "en", "src1", 0, "a", None), (3, "  \n", None, "x", 3, None, "b"), (3, "  \n", None, "x", 3, None, "b"),
+       (None, "Some words here and there.", "en", None, 1, None, None), (5, "word " * 60_000, "de", "src2", 1, None, None), (6, "x" * 300_000, "de", "src2", 1, None, None),
+       (7, "Same text. " * 200, "en", "src1", 1, None, None), (8, "SAME text. " * 200, "en", "src1", 1, None, None), (8, "SAME text. " * 200, "en", "src1", 1, None, None)]
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).repartition(3)
+
+
+@pytest.fixture
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture
+def labels(spark):
+    return spark.createDataFrame([(1, 0, 1), (2, None, None), (7, 1, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_exact_dedup(odd, none):
+    found = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(odd).collect()}
+    assert found == {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True), (None, None, 1, True), (5, 5, 1, True), (6, 6, 1, True), (7, 8, 3, False), (8, 8, 3, True)}
+    kept = exact_dedup.keep_distinct(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3, 5, 6, 8]
+    assert exact_dedup.exact_dedup(none).collect() == [] and exact_dedup.keep_distinct(none).collect() == []
+
+
+def test_exact_dedup_sees_shared_identifiers(spark):
+    chunks = spark.createDataFrame([("a",), ("b",), ("a",)], "chunk string")
+    assert exact_dedup.verified(chunks) and not exact_dedup.verified(chunks, lambda c: F.length(c))
+
+
+def test_mixing_spends_shortages_among_siblings(spark):
+    rows = [(i, "a", "x", 10) for i in range(2)] + [(10 + i, "a", "y", 10) for i in range(50)] + [(100 + i, "b", "x", 10) for i in range(50)] + [(999, "b", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, d string, s string, n_tokens long")
+    weights = {"d": F.lit(1), "s": F.lit(1)}
+    leaves = mixing.budgets(df.groupBy("d", "s").agg(F.sum("n_tokens").alias("tokens")), ["d", "s"], weights, 400, 2)
+    assert {(r["d"], r["s"]): r["leaf_budget"] for r in leaves.collect()} == {("a", "x"): 40, ("a", "y"): 160, ("b", "x"): 200, ("b", None): 0}
+    taken = mixing.mix(df, ["d", "s"], weights, 400, 2).groupBy("d", "s").agg(F.sum(F.col("n_tokens") * F.col("epochs")).alias("t")).collect()
+    assert {(r["d"], r["s"]): r["t"] for r in taken} == {("a", "x"): 40, ("a", "y"): 160, ("b", "x"): 200}
+    assert mixing.mix(df.limit(0), ["d", "s"], weights, 400, 2).collect() == []
+
+
+def test_warc_round_trip(spark, folder):
+    rows = [(1, "http://a", "é" * 60), (2, None, "é" * 60), (3, "u", "é" * 60), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "x" * 3_000_000), (None, "u", "é" * 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
+    warc.write_pages(pages, f"{folder}/w")
+    found = {r["page_id"]: r for r in warc.read_packages(warc.packages(spark, f"{folder}/w")).collect()}
+    assert {i: bytes(found[i]["payload"]).decode() for i in (1, 4, 5, 6, 7)} == {i: t or "" for i, _, t in rows if i in (1, 4, 5, 6, 7)}
+    assert [found[i]["record_type"] for i in (2, 3, None)] == ["revisit"] * 3 and found[3]["refers_to"] == 1 and found[2]["url"] == ""
+    assert warc.resolved(warc.read_packages(warc.write_pages(pages.limit(0)).select("path"))).collect() == []
+
+
+def test_zip64_directory():
+    class File(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+    file = File()
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_STORED) as package:
+        with package.open("archive/a.warc", "w", force_zip64=True) as member:
+            member.write(b"hello")
+        package.writestr("b", b"x" * 100, compress_type=zipfile.ZIP_DEFLATED)
+        package.comment = b"a note"
+    members = {m.name: m for m in warc.directory(file, len(file.getvalue()))}
+    assert file.read_at(members["archive/a.warc"].size, warc.member_start(file, members["archive/a.warc"])) == b"hello"
+    with pytest.raises(ValueError):
+        warc.member_start(file, members["b"])
+
+
+def test_decontamination_recall(spark, odd, none):
+    pick = random.Random(5)
+    vocabulary = ["".join(pick.choice("abcdefghij") for _ in range(4)) for _ in range(800)]
+    items = [[pick.choice(vocabulary) for _ in range(pick.randrange(15, 60))] for _ in range(60)]
+    rows = []
+    for i, item in enumerate(items):
+        words = list(item)
+        for _ in range(int(0.1 * len(item))):
+            words[pick.randrange(len(words))] = "zzz"
+        rows.append((i, " ".join([pick.choice(vocabulary) for _ in range(40)] + words + [pick.choice(vocabulary) for _ in range(20)]).upper() + "!"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(900, None), (901, ""), (None, "a b")], "item_id long, text string")
+    found = decontaminate.find_items(docs, benchmark).collect()
+    assert sum(r["doc_id"] == r["item_id"] for r in found) >= 57 and all(r["doc_id"] == r["item_id"] and r["distance"] <= 0.2 * r["item_words"] for r in found)
+    assert decontaminate.find_items(odd, benchmark).collect() == [] and decontaminate.find_items(none, benchmark).collect() == []
+    assert decontaminate.keep_clean(odd, benchmark).count() == len(ODD) and decontaminate.find_items(docs, benchmark.limit(0)).collect() == []
+
+
+def test_lattice_sums_all_segmentations():
+    with open(lm.VOCABULARY, "rb") as file:
+        lattice = lm.Lattice(file.read(), {300: 50, 1000: 20}, 3)
+    log_p = dict(zip(lattice.hashes.tolist(), lattice.logs.tolist(), strict=True))
+
+    def total(raw):
+        from tidemill.llm.text import hash_spans
+        ways = [0.0] * (len(raw) + 1)
+        ways[0] = 1.0
+        for j in range(1, len(raw) + 1):
+            ways[j] += ways[j - 1] * math.exp(lattice.single[raw[j - 1]])
+            for k in range(2, j + 1):
+                h = int(hash_spans(np.frombuffer(raw[j - k:j], np.uint8), np.array([0]), np.array([k]))[0])
+                ways[j] += ways[j - k] * math.exp(log_p[h]) if h in log_p else 0
+        return math.log(ways[-1])
+    words = ["the", "über", "a", "日本", "zzqx1"]
+    assert lattice.words(pa.array(words)) == pytest.approx([total((lm.HEAD + w).encode()) for w in words])
+
+
+def test_lm_odd_tables(odd, none):
+    found = lm.lm_scores(odd).collect()
+    assert len(found) == len(ODD) and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in found)
+    assert {r["n_tokens"] for r in found if r["doc_id"] in (1, 2, 3)} == {1} and lm.lm_scores(none).collect() == []
+
+
+def test_labels_on_held_out_rows(spark):
+    truth = {r["doc_id"]: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id", "left").collect()}
+    good = [r for r in queries.op10_quality(spark, FOLDER).collect() if r["held_out"] and truth[r["doc_id"]]["quality"] is not None]
+    assert sum(r["predicted"] == truth[r["doc_id"]]["quality"] for r in good) >= 0.95 * len(good)
+    lang = [r for r in queries.op9_language_id(spark, FOLDER).collect() if r["held_out"] and truth[r["doc_id"]]["lang"]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]]["lang"] for r in lang) >= 0.95 * len(lang)
+    toxic = [r for r in queries.op3_toxicity(spark, FOLDER).collect() if r["held_out"] and truth[r["doc_id"]]["toxic"] is not None]
+    clean = [r for r in toxic if not truth[r["doc_id"]]["toxic"]]
+    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+
+
+def test_grammar_events():
+    grammar = toxicity.Grammar({})
+    events = lambda text: [e for e, _ in grammar.events(text)]
+    assert events("you idiot") == ["I"] and events("what an idiot") == ["i"] and events("he is not stupid") == ["In"]
+    assert events('she said "what an idiot"') [0].endswith("r") and events("i will kill you") == ["T"] and events("kill the lights") == []
+
+
+def test_odd_tables_of_classifiers(odd, none, labels):
+    for found, empty in ((toxicity.toxicity(odd, labels), toxicity.toxicity(none, labels)), (quality.quality(odd, labels), quality.quality(none, labels.limit(0)))):
+        rows = found.collect()
+        assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows) and empty.collect() == []
+    rows = {r["doc_id"]: r for r in langid.language_id(odd).collect()}
+    assert rows[1]["lang_pred"] == rows[2]["lang_pred"] == rows[3]["lang_pred"] == "und" and rows[5]["lang_pred"] in ("en", "de") and langid.language_id(none).collect() == []
+
+
+def test_frozen_code_lengths():
+    text = np.frombuffer(b"abab", np.uint8)
+    model = langid.build(["x"], [np.unique(langid.grams(text, np.array([0, 4]), langid.ORDER), return_counts=True)])
+    # After "ab" only "a" was seen, once: 1 / (1 + 1), one bit; "c" is paid by an escape in each context down to equal bytes.
+    known = model.lengths(langid.grams(np.frombuffer(b"aba", np.uint8), np.array([0, 3]), langid.ORDER))[2, 0]
+    other = model.lengths(langid.grams(np.frombuffer(b"abc", np.uint8), np.array([0, 3]), langid.ORDER))[2, 0]
+    assert known == pytest.approx(1.0) and other == pytest.approx(1 + 1 + 1 + math.log2((4 + 2) / 2) + 8)
+
+
+def test_pipeline_stages(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder, size = "/root/testdata/sf0.001", docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert out.count() <= size
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert corpus_pipeline.distinct(spark, odd, folder).count() == 6 and corpus_pipeline.mixed(spark, odd, folder).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
+    oracle.same(queries.QUERIES[name](spark, FOLDER), oracle.connect(FOLDER), queries.ORACLE[name])
