@@ -47,9 +47,9 @@ def grade_by_type(marks: Column, max_marks: Column, kind: Column) -> Column:
 
 
 def buy_back_percent(year: Column, month: Column, ref_year: int, ref_month: int) -> Column:
-    """Buy-back percentage of a vehicle by its age at a reference month."""
+    """Buy-back percentage of a vehicle by its calendar years and whole months at a reference month (1 to 12)."""
     years = F.lit(ref_year) - year
-    months = (13 - month) + (years - 1) * 12 + ref_month
+    months = F.lit(12 * ref_year + ref_month) - (12 * year + month)
     out = F
     for age, (steps, rest) in BUY_BACK.items():
         for upto, percent in steps:

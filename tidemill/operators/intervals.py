@@ -21,7 +21,7 @@ def minute_slots(trips: DataFrame, keys: list[str], start: str, end: str) -> Dat
     trips are combined with ``bit_or``, map-side first."""
     first, last = epoch_minute(start), epoch_minute(end)
     slots = (trips.select(*keys, first.alias("_a"), last.alias("_b")).where("_a < _b")
-             .withColumn("_slot", F.explode(F.expr("sequence(_a div 15, (_b - 1) div 15)"))))
+             .withColumn("_slot", F.explode(F.expr("sequence(cast(floor(_a / 15) as bigint), cast(floor((_b - 1) / 15) as bigint))"))))
     mask = F.expr("shiftleft(1, cast(least(_b - _slot * 15, 15) as int))"
                   " - shiftleft(1, cast(greatest(_a - _slot * 15, 0) as int))")
     merged = slots.groupBy(*keys, "_slot").agg(F.bit_or(mask).alias("_mask"))

@@ -112,8 +112,10 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def replace_where(df: DataFrame, predicate: Column, new: DataFrame) -> DataFrame:
-    """Drop the rows matching the predicate and add the new ones, which must all match it."""
-    return delete_where(df, predicate).unionByName(new.where(predicate))
+    """Drop the rows matching the predicate and add the new ones; raises if some of them do not match it."""
+    if new.where(~F.coalesce(predicate, F.lit(False))).limit(1).count():
+        raise ValueError("some new rows do not match the predicate")
+    return delete_where(df, predicate).unionByName(new)
 
 
 def append_evolving(old: DataFrame, new: DataFrame) -> DataFrame:

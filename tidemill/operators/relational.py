@@ -79,24 +79,21 @@ def expand_to_siblings(keys: DataFrame, hierarchy: DataFrame, parent: str) -> Da
     return hierarchy.join(parents, parent, "left_semi").distinct()
 
 
-def value_range_sum(df: DataFrame, keys: list[str], value: str, around: int, name: str,
-                    scale: int = 100) -> DataFrame:
+def value_range_sum(df: DataFrame, keys: list[str], value: str, around: int, name: str) -> DataFrame:
     """Sum of ``value`` over rows of the group whose value lies within ``around`` of the row's own.
 
-    Equal values are added up first; the distinct values are cut into blocks ``2 * around`` wide
-    and copied to the neighbour blocks they can reach, so one block holds at most
-    ``6 * around * scale`` distinct values, however many rows there are."""
-    cents = F.round(F.col(value) * scale).cast("bigint")
-    reach, width = around * scale, 2 * around * scale
-    counts = (df.withColumn("_v", cents).groupBy(*keys, "_v")
-              .agg(F.sum("_v").alias("_s")))
-    home = F.floor(F.col("_v") / width)
+    Equal values are added up first; the distinct values are cut into blocks ``2 * around`` wide and copied to the
+    neighbour blocks they can reach. Values are kept as they are; only the block number is whole. Null values get null."""
+    own = F.col(value).cast("double")
+    counts = df.where(F.col(value).isNotNull()).withColumn("_v", own).groupBy(*keys, "_v").agg(F.sum(own).alias("_s"))
+    block = lambda v: F.floor(v / (2 * around))
+    home = block(F.col("_v"))
     spread = counts.withColumn("_home", home).withColumn("_block", F.explode(F.array_distinct(F.array(
-        F.floor((F.col("_v") - reach) / width), home, F.floor((F.col("_v") + reach) / width)))))
-    w = Window.partitionBy(*keys, "_block").orderBy("_v").rangeBetween(-reach, reach)
-    sums = (spread.withColumn(name, F.sum("_s").over(w) / scale).where("_block = _home")
+        block(F.col("_v") - around), home, block(F.col("_v") + around)))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_v").rangeBetween(-around, around)
+    sums = (spread.withColumn(name, F.sum("_s").over(w)).where("_block = _home")
             .select(*[F.col(k).alias("_v_" + k) for k in keys], F.col("_v").alias("_v__v"), name))
-    return df.withColumn("_v", cents).join(sums, same_keys([*keys, "_v"], "_v_"), "left").drop(
+    return df.withColumn("_v", own).join(sums, same_keys([*keys, "_v"], "_v_"), "left").drop(
         "_v", "_v__v", *["_v_" + k for k in keys])
 
 

@@ -87,10 +87,10 @@ def collected_comment(t):
 
 
 @query("agg_09_word_count", """
-WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')
+WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents)
 SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1""")
 def word_count(t):
-    words = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    words = t.documents.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -43,7 +43,7 @@ def replace_where(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     late = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
     new = rows.where(F.col("l_linestatus") == "F").withColumn("l_quantity", F.col("l_quantity") * 2)
-    return m.replace_where(rows, late, new).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return m.replace_where(rows, late, new.where(late)).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
 @query("snk_10_append_evolving", """
@@ -98,11 +98,11 @@ def back_up_rows(t):
 def brand_history(t, later):
     """Price points of a part type and brand over time; the later ones form the batch."""
     cut = F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")
-    rows = t.lineitem.where(cut if later else ~cut).where("l_discount = 0.1 and l_tax = 0.08")
+    rows = t.lineitem.where(cut if later else ~cut)
     return rows.groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("s")).agg(F.max("l_extendedprice").alias("price"))
 
 
-_HIST = """pts AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS s, max(l_extendedprice) AS price FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 GROUP BY 1, 2),
+_HIST = """pts AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS s, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2),
 hist AS (SELECT k, s, price, lead(s) OVER (PARTITION BY k ORDER BY s) - 1 AS e FROM pts WHERE s < DATE '1999-01-01'),
 news AS (SELECT * FROM pts WHERE s >= DATE '1999-01-01')"""
 _OUT = " SELECT k, strftime(s, '%Y-%m-%d') AS s, coalesce(strftime(e, '%Y-%m-%d'), 'open') AS e, price FROM "

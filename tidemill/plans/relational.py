@@ -116,14 +116,15 @@ def day_first_dates(t):
 
 @query("prj_11_numeric_test", """
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)
-SELECT doc_id, count_if(regexp_full_match(w, '[0-9]{1,9}')) AS numbers, count(*) AS words,
-       coalesce(sum(CASE WHEN regexp_full_match(w, '[0-9]{1,9}') THEN CAST(w AS BIGINT) END), 0)::BIGINT AS total
+SELECT doc_id, count_if(regexp_full_match(w, '[0-9]+')) AS numbers, count(*) AS words,
+       coalesce(sum(CASE WHEN regexp_full_match(w, '[0-9]+') THEN TRY_CAST(w AS DECIMAL(38, 0)) END), 0)::VARCHAR AS total
 FROM w GROUP BY doc_id""")
 def numeric_test(t):
     words = t.documents.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
-    number = F.when(F.col("w").rlike("^[0-9]{1,9}$"), F.col("w").try_cast("bigint"))
-    return words.groupBy("doc_id").agg(F.count_if(number.isNotNull()).alias("numbers"), F.count(F.lit(1)).alias("words"),
-                                       F.coalesce(F.sum(number), F.lit(0)).alias("total"))
+    numeric = F.col("w").rlike(r"\A[0-9]+\z")
+    total = F.sum(F.when(numeric, F.col("w").try_cast("decimal(38,0)")))
+    return words.groupBy("doc_id").agg(F.count_if(numeric).alias("numbers"), F.count(F.lit(1)).alias("words"),
+                                       F.coalesce(total.cast("string"), F.lit("0")).alias("total"))
 
 
 @query("prj_12_collapse_sparse", """
@@ -153,7 +154,7 @@ def first_letter(t):
 
 @query("prj_14_buy_back", """
 WITH a AS (SELECT o_orderkey, 2001 - year(o_orderdate) AS y,
-                  (13 - month(o_orderdate)) + (2001 - year(o_orderdate) - 1) * 12 + 12 AS m FROM orders)
+                  date_diff('month', date_trunc('month', o_orderdate), DATE '2001-12-01') AS m FROM orders)
 SELECT o_orderkey, CAST(CASE WHEN y = 0 THEN CASE WHEN m <= 6 THEN 90 WHEN m <= 9 THEN 80 ELSE 75 END
   WHEN y = 1 THEN CASE WHEN m <= 6 THEN 75 ELSE 70 END WHEN y = 2 THEN CASE WHEN m <= 6 THEN 65 ELSE 60 END
   WHEN y = 3 THEN CASE WHEN m <= 6 THEN 55 ELSE 50 END ELSE 50 END AS INTEGER) AS percent FROM a""")

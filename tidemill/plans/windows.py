@@ -160,9 +160,9 @@ def latest_run(t):
 # -- sorting and sets -----------------------------------------------------------------------
 
 @query("set_01_mixed_sort", """
-SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 50""")
+SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey""")
 def mixed_sort(t):
-    return t.part.select("p_partkey", "p_brand", "p_size").orderBy("p_brand", F.desc("p_size"), "p_partkey").limit(50)
+    return t.part.select("p_partkey", "p_brand", "p_size").orderBy("p_brand", F.desc("p_size"), "p_partkey")
 
 
 @query("set_02_computed_sort", """
@@ -172,10 +172,10 @@ def computed_sort(t):
 
 
 @query("set_03_null_placement", """
-SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY labels.quality NULLS FIRST, doc_id LIMIT 100""")
+SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY labels.quality NULLS FIRST, doc_id""")
 def null_placement(t):
     rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return rows.orderBy(F.col("quality").asc_nulls_first(), "doc_id").limit(100).na.fill({"quality": -1})
+    return rows.orderBy(F.col("quality").asc_nulls_first(), "doc_id").na.fill({"quality": -1})
 
 
 @query("set_04_unions", """

@@ -60,10 +60,12 @@ def read_with_rejects(spark: SparkSession, path: str, schema: str, **options) ->
 
 
 def by_field_count(lines: DataFrame, shapes: dict[str, list[str]], sep: str = "~", column: str = "value") -> dict[str, DataFrame]:
-    """One frame per record shape, told apart by the number of fields."""
-    parts = lines.select(F.split(column, sep, -1).alias("p"))
-    return {name: parts.where(F.size("p") == len(fields)).select(*[F.col("p")[i].alias(f) for i, f in enumerate(fields)])
-            for name, fields in shapes.items()}
+    """One frame per record shape, told apart by the number of fields; ``_reject`` holds the lines that fit no shape."""
+    parts = lines.select(F.split(column, sep, -1).alias("p"), F.col(column).alias("line"))
+    known = F.size("p").isin(*map(len, shapes.values())) & F.col("line").isNotNull()
+    found = {name: parts.where(F.size("p") == len(fields)).select(*[F.col("p")[i].alias(f) for i, f in enumerate(fields)])
+             for name, fields in shapes.items()}
+    return found | {"_reject": parts.where(~known).select(F.col("line").alias("_reject"))}
 
 
 def first_and_last_line(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import file_status
+
 TARGET_FILE_BYTES = 1024 * 1024
 
 
@@ -43,10 +45,19 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 
 
 def replace_matching(spark: SparkSession, path: str, predicate: Column, new: DataFrame, partition_by: list[str]) -> None:
-    """Replace whole partitions holding rows that match the predicate by the new rows, which must match it too."""
+    """Replace whole partitions holding rows that match the predicate by the new rows, which must match it too.
+
+    Matching partitions that get no new row are deleted."""
     if new.where(~F.coalesce(predicate, F.lit(False))).limit(1).count():
         raise ValueError("some new rows do not match the predicate")
+    old = spark.read.parquet(path).where(predicate).select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")).distinct()
+    stale = old.join(new.select(*(F.col(c).alias(f"_n_{c}") for c in partition_by)).distinct(),
+                     [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in partition_by], "left_anti")
+    stale = [r["_folder"] for r in stale.select("_folder").distinct().collect()]
     replace_partitions(new, path, partition_by)
+    for folder in stale:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,
@@ -90,11 +101,10 @@ def refresh_partitions(spark: SparkSession, name: str) -> None:
 
 
 def next_version(spark: SparkSession, path: str) -> int:
-    """One more than the greatest ``version=`` partition; 1 when there is none."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except Exception:
+    """One more than the greatest ``version=`` partition; 1 when the path does not exist. A table that cannot be read raises."""
+    if file_status(spark, path) is None:
         return 1
+    last = spark.read.parquet(path).agg(F.max("version")).first()[0]
     return 1 if last is None else int(last) + 1
 
 

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.session import file_status
+
 
 def read_stream(spark: SparkSession, kind: str, path: str | None = None, schema=None, **options) -> DataFrame:
     """Stream from files (parquet, json, csv, text, orc), ``rate``, ``rate-micro-batch``, ``socket`` or ``kafka``."""
@@ -16,8 +18,13 @@ def read_stream(spark: SparkSession, kind: str, path: str | None = None, schema=
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 200) -> DataFrame:
-    """A Parquet table as a stream of its appended files."""
+    """A Parquet table, one file or a directory of part files, as a stream of its appended files; a missing table raises."""
     path = f"{folder}/{name}.parquet"
+    status = file_status(spark, path)
+    if status is None:
+        raise FileNotFoundError(path)
+    if status.isDirectory():
+        return read_stream(spark, "parquet", path, spark.read.parquet(path).schema, maxFilesPerTrigger=str(files_per_trigger))
     return read_stream(spark, "parquet", folder, spark.read.parquet(path).schema, pathGlobFilter=f"{name}.parquet",
                        maxFilesPerTrigger=str(files_per_trigger))
 
