@@ -52,6 +52,14 @@ def test_version_of_an_unreadable_table(spark, folder):
             raise ValueError("read from the folder's name alone")
 
 
+def test_compaction_by_partition_does_not_multiply_files(spark, folder):
+    spark.range(20_000).withColumn("day", F.col("id") % 10).repartition(7).write.parquet(f"{folder}/in")
+    files = writers.compact(spark, f"{folder}/in", f"{folder}/out", file_bytes=20_000, partition_by=["day"])
+    per_day = spark.read.parquet(f"{folder}/out").groupBy("day", F.col("_metadata.file_path")).count().groupBy("day").count()
+    assert files > 1 and spark.read.parquet(f"{folder}/out").count() == 20_000
+    assert per_day.agg(F.max("count")).first()[0] <= -(-files // 10)
+
+
 def test_minutes_before_1970(spark):
     trips = spark.createDataFrame([(1, datetime.datetime(1969, 12, 31, 23, 50), datetime.datetime(1969, 12, 31, 23, 55))], "k int, a timestamp, b timestamp")
     assert [r["minutes"] for r in intervals.minute_slots(trips, ["k"], "a", "b").collect()] == [5]

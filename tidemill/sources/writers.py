@@ -90,7 +90,11 @@ def compact(spark: SparkSession, source: str, target: str, file_bytes: int = TAR
             partition_by: list[str] | None = None) -> int:
     """Rewrite small files: as many files as the stored bytes need, at least one. Returns that number."""
     files = max(1, math.ceil(stored_bytes(spark, source) / file_bytes))
-    df = spark.read.parquet(source).repartition(files)
+    df = spark.read.parquet(source)
+    if partition_by:  # the rows of a partition meet in its own tasks; dealt round robin each task would write a file for each partition
+        df = spread_for_partitions(df, partition_by, math.ceil(files / max(1, df.select(*partition_by).distinct().count())))
+    else:
+        df = df.repartition(files)
     write(df, "parquet", target, mode="overwrite", partition_by=partition_by)
     return files
 
