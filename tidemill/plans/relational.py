@@ -257,10 +257,11 @@ def anti(t):
 SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000) THEN 1 ELSE 0 END AS big_buyer
 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
 def semi_and_not_in(t):
-    t.nation.createOrReplaceTempView("nation")
-    t.customer.createOrReplaceTempView("customer")
-    outside = t.spark.sql("""SELECT c_custkey FROM customer
-        WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
+    # NOT IN as an anti join and one row that says whether the other side is empty or holds a null; no side is forced into a broadcast.
+    side = t.nation.where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    held = side.agg(F.count(F.lit(1)).alias("_rows"), F.count("c_nationkey").alias("_keys"))
+    outside = t.customer.select("c_custkey", "c_nationkey").join(side, "c_nationkey", "left_anti").join(F.broadcast(held))
+    outside = outside.where("_rows = 0 or (_keys = _rows and c_nationkey is not null)").select("c_custkey")
     big = t.orders.where("o_totalprice > 490000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     semi = outside.join(big, "c_custkey", "left_semi").withColumn("big_buyer", F.lit(1))
     rest = outside.join(big, "c_custkey", "left_anti").withColumn("big_buyer", F.lit(0))

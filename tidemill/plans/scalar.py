@@ -171,8 +171,10 @@ WITH t AS (SELECT string_split(lower(text), ' ') AS w FROM documents),
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t)
 SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def ngrams(t):
-    tokens = t.documents.select(F.split(F.lower("text"), " ", -1).alias("w"))
-    grams = tokens.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram"))
+    # The words are joined after the explode, in generated code.
+    tokens = t.documents.select(F.split(F.lower("text"), " ", -1).alias("w")).where(F.size("w") > 1)
+    pairs = tokens.select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
+    grams = pairs.select(F.concat_ws(" ", "p.a", "p.b").alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
