@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemill.operators.ordered import OrderedGroups, ranks
+from tidemill.operators.ordered import OrderedGroups, ranks, top_n
 from tidemill.operators.relational import allocate, missing_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,6 +89,26 @@ def test_allocation_in_rounds_equals_walk(spark, rows, limit):
     assert rows(allocate(df, ["k"], "i", "q", "room")) == sorted(expected, key=repr)
 
 
+def test_fractional_allocation_agrees(spark, rows):
+    """Quantities that doubles cannot hold give the same flags by folding and by rounds."""
+    data = [(k, i, [0.1, 0.2, 0.3, 0.7][(i * 13 + k) % 4], 3.0) for k in range(40) for i in range(60)]
+    df = spark.createDataFrame(data, "k int, i int, q double, room double")
+    folded = rows(allocate(df, ["k"], "i", "q", "room"))
+    assert folded == rows(allocate(df, ["k"], "i", "q", "room", max_fold_rows=1))
+    total, flags = {}, []
+    for k, i, q, room in data:
+        tried = total.get(k, 0) + round(q * 10)
+        total[k] = tried if tried <= 30 else total.get(k, 0)
+        flags.append((k, i, "ok" if tried <= 30 else "ko"))
+    assert sorted((r[0], r[1], r[5]) for r in folded) == sorted(flags)
+
+
+def test_top_n_beyond_the_group_limit(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id")
+    out = top_n(df, ["k"], ["-id"], 1500)
+    assert out.count() == 3000 and out.agg(F.min("id"), F.max("rn")).first()[:] == (2000, 1500)
+
+
 def test_worked_allocation(spark):
     qty = [20, 40, 10, 50, 40, 10, 20, 10]
     df = spark.createDataFrame([("f1", i + 1, q, 100) for i, q in enumerate(qty)], "f string, p int, q int, room int")

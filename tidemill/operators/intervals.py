@@ -79,7 +79,7 @@ def merge_overlapping(df: DataFrame, keys: list[str], start: str, end: str,
     """Join ranges that overlap, touch, or start within ``step`` (default one day) of the reach so far."""
     step = F.expr("interval 1 day") if step is None else step
     ranges = df.select(*keys, start, end, F.lit(1).alias("_n"))
-    fits = fits_one_task(ranges, keys, group_limit(df.sparkSession))
+    fits = fits_one_task(ranges, keys, group_limit(df.sparkSession, keys))
     if not fits:  # only the longest range per start matters, and copies of a range would not be cut apart
         ranges = ranges.groupBy(*keys, start).agg(F.max(end).alias(end), F.sum("_n").alias("_n"))
     groups = OrderedGroups(ranges, keys, [start, end], fits=fits).running_max("_reach", end, exclusive=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemill.session import MAX_GROUP_ROWS, largest_group, materialise, setting, shuffle_partitions
+from tidemill.session import MAX_GROUP_ROWS, MAX_TABLE_ROWS, largest_group, materialise, setting, shuffle_partitions
 
 CHUNK = "_chunk"
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -40,7 +40,10 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys], F.lit(True))
 
 
-def group_limit(spark: SparkSession) -> int:
+def group_limit(spark: SparkSession, keys: list[str]) -> int:
+    """Rows of a group that one task may sort. Without keys that task would be the only one at work, so far fewer."""
+    if not keys:
+        return setting(spark, "maxTableRows", MAX_TABLE_ROWS)
     return setting(spark, "maxGroupRows", MAX_GROUP_ROWS)
 
 
@@ -63,7 +66,7 @@ class OrderedGroups:
                  chunks: int | None = None, bound_by: DataFrame | None = None, fits: bool | None = None):
         spark = df.sparkSession
         self.keys, self.order = list(keys), list(order)
-        self.limit = max_group_rows or group_limit(spark)
+        self.limit = max_group_rows or group_limit(spark, self.keys)
         self.split = not (fits_one_task(df, self.keys, self.limit, bound_by) if fits is None else fits)
         if self.split:
             n = chunks or shuffle_partitions(spark)
@@ -228,7 +231,7 @@ def ranks(df: DataFrame, keys: list[str], order: list[str], rank: str | None = N
 
     Ranks depend only on how often each order value occurs. Groups too big for one task are
     therefore counted per value first and only these counts are accumulated in order."""
-    limit = max_group_rows or group_limit(df.sparkSession)
+    limit = max_group_rows or group_limit(df.sparkSession, keys)
     wanted = {n: k for n, k in ((rank, "rank"), (dense_rank, "dense"), (percent_rank, "percent"),
                                 (cume_dist, "cume")) if n}
     if fits_one_task(df, keys, limit):
@@ -255,8 +258,11 @@ def ranks(df: DataFrame, keys: list[str], order: list[str], rank: str | None = N
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[str], n: int, name: str = "rn") -> DataFrame:
-    """First ``n`` rows per group. Spark limits each map task to ``n`` rows per group before the
-    shuffle, so a group's size does not matter."""
+    """First ``n`` rows per group. Up to a thousand, Spark limits each map task to ``n`` rows per group before
+    the shuffle, so a group's size does not matter; beyond, big groups are numbered in pieces."""
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        numbered = OrderedGroups(df, keys, order).row_number(name).frame
+        return numbered.withColumn(name, F.col(name).cast("int")).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*ordering(order))
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 

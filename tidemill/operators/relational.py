@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators.ordered import OrderedGroups, beside, same_keys
+from tidemill.operators.ordered import OrderedGroups, beside, fits_one_task, same_keys
 from tidemill.session import MAX_BROADCAST_ROWS, materialise, setting
 
 
@@ -113,66 +113,74 @@ def total_across(frames: list[DataFrame], keys: list[str], value: str, name: str
 # -- greedy allocation ------------------------------------------------------------------------
 
 MAX_FOLD_ROWS = 2_000
+# Quantities and limits are added as decimals, so no order of adding changes a flag.
+AMOUNT = "decimal(28,6)"
 
 
 def allocate(df: DataFrame, keys: list[str], order: str, qty: str, limit: str,
              max_fold_rows: int | None = None) -> DataFrame:
     """Walk each group in ``order``; a row is ``ok`` when it still fits under ``limit``, else ``ko``
-    and not added. Adds ``computed`` (running total with this row) and ``control``.
-
-    Groups up to ``max_fold_rows`` rows are folded over a sorted array. Bigger ones are settled in
-    rounds: with capacity c left, rows of at most c/2 surely fit until they have used up c/2, and
-    only the first row above c/2 that still fits can change that. Each round finds that point with
-    a distributed running sum and at least halves c, so about log2(limit / smallest qty) rounds do."""
+    and not added. Adds ``computed`` (running total with this row, a double) and ``control``.
+
+    Quantities and limits are taken to six decimals and added exactly; bigger ones than 22 digits raise.
+    A null quantity never fits and gets null and ``ko``. Groups up to ``max_fold_rows`` rows are folded
+    over a sorted array. Bigger ones are settled in rounds: with capacity c left, rows of at most c/2
+    surely fit until they have used up c/2, and only the first row above c/2 that still fits can change
+    that. Each round finds that point with a distributed running sum and at least halves c, so about
+    log2(limit / smallest qty) rounds do. Both give the same rows."""
     fold_rows = max_fold_rows or setting(df.sparkSession, "maxFoldRows", MAX_FOLD_ROWS)
     sized = beside(df, keys, _rows=F.count(F.lit(1)))
     small = sized.where(F.col("_rows") <= fold_rows).drop("_rows")
     big = sized.where(F.col("_rows") > fold_rows).drop("_rows")
     done = _allocate_by_fold(small, keys, order, qty, limit)
-    if big.limit(1).count() == 0:
+    if fits_one_task(df, keys, fold_rows):
         return done
     return done.unionByName(_allocate_in_rounds(big, keys, order, qty, limit).select(*done.columns))
 
 
+def _control(computed: Column, limit: Column) -> Column:
+    return F.when(computed <= limit, "ok").otherwise("ko")
+
+
 def _allocate_by_fold(df: DataFrame, keys: list[str], order: str, qty: str, limit: str) -> DataFrame:
-    entry = F.struct(F.col(order).alias("_o"), F.col(qty).cast("double").alias("_q"), F.col(limit).cast("double").alias("_l"),
+    entry = F.struct(F.col(order).alias("_o"), F.col(qty).cast(AMOUNT).alias("_q"), F.col(limit).cast(AMOUNT).alias("_l"),
                      F.struct(*df.columns).alias("_row"))
     groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    nothing = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("seen"))
+    nothing = F.struct(F.lit(0).cast(AMOUNT).alias("total"), F.array().cast(f"array<{AMOUNT}>").alias("seen"))
 
     def step(acc, row):
-        tried = acc["total"] + row["_q"]
+        tried = (acc["total"] + row["_q"]).cast(AMOUNT)
         return F.struct(F.when(tried <= row["_l"], tried).otherwise(acc["total"]).alias("total"),
                         F.concat(acc["seen"], F.array(tried)).alias("seen"))
 
     seen = groups.withColumn("_seen", F.aggregate("_rows", nothing, step)["seen"])
     pairs = seen.select(F.explode(F.arrays_zip("_rows", "_seen")).alias("_p"))
-    control = F.when(F.col("computed") <= F.col(limit), "ok").otherwise("ko")
-    return pairs.select("_p._rows._row.*", F.col("_p._seen").alias("computed")).withColumn("control", control)
+    return pairs.select("_p._rows._row.*", F.col("_p._seen").cast("double").alias("computed"),
+                        _control(F.col("_p._seen"), F.col("_p._rows._l")).alias("control"))
 
 
 def _allocate_in_rounds(df: DataFrame, keys: list[str], order: str, qty: str, limit: str) -> DataFrame:
-    q = F.col(qty).cast("double")
+    q, room, used = F.col(qty).cast(AMOUNT), F.col("_room"), F.col("_used")
     groups = OrderedGroups(df, keys, [order]).row_number("_seq")
-    rows = groups.df.withColumn("_room", F.col(limit).cast("double"))
+    rows = groups.df.withColumn("_room", F.col(limit).cast(AMOUNT))
     settled = []
     while True:
-        half = F.col("_room") / 2
-        fits_half = F.when(q <= half, q).otherwise(F.lit(0.0))
+        small = q + q <= room
+        fits_half = F.when(small, q).otherwise(F.lit(0).cast(AMOUNT))
         step = groups._next(rows).running_sum("_used", fits_half, exclusive=True).df
-        step = materialise(step)
-        used_after = F.col("_used") + fits_half
-        turning = ((q <= half) & (used_after > half)) | ((q > half) & (q <= F.col("_room") - F.col("_used")))
-        left = F.col("_room") - F.col("_used") - q
+        step = materialise(step.withColumn("_used", used.cast(AMOUNT)))
+        used_after = used + fits_half
+        turning = (small & (used_after + used_after > room)) | (~small & (q <= room - used))
+        left = (room - used - q).cast(AMOUNT)
         events = (step.where(turning).groupBy(*keys)
                   .agg(F.min_by(F.struct(F.col("_seq").alias("seq"), left.alias("room")), "_seq").alias("_event")))
         events = events.select(*[F.col(k).alias("_e_" + k) for k in keys], "_event")
         step = step.join(events, same_keys(keys, "_e_"), "left").drop(*["_e_" + k for k in keys])
         decided = F.col("_event").isNull() | (F.col("_seq") <= F.col("_event.seq"))
-        computed = F.col(limit) - F.col("_room") + F.col("_used") + q
-        settled.append(step.where(decided).withColumn("computed", computed).withColumn(
-            "control", F.when(computed <= F.col(limit), "ok").otherwise("ko")))
+        computed = F.col(limit).cast(AMOUNT) - room + used + q
+        settled.append(step.where(decided).withColumn("control", _control(computed, F.col(limit).cast(AMOUNT)))
+                       .withColumn("computed", computed.cast("double")))
         rows = step.where(~decided).withColumn("_room", F.col("_event.room")).drop("_used", "_event")
         rows = materialise(rows)
-        if rows.limit(1).count() == 0:
+        if rows.isEmpty():
             return reduce(DataFrame.unionByName, settled)

@@ -173,12 +173,11 @@ def all_match(t):
 @query("agg_17_header_maps", """
 SELECT event_type, count(DISTINCT props) AS maps, min(CAST(json_extract(props, '$.k') AS INTEGER)) AS least_k FROM events GROUP BY 1""")
 def header_maps(t):
-    """Each record's headers as a map; the distinct maps are listed per type as JSON texts."""
+    """Each record's headers as a map; the distinct maps are counted and compared, not listed."""
     headers = t.events.select("event_type", F.map_from_entries(F.array(F.struct(
         F.lit("k"), F.get_json_object("props", "$.k")))).alias("h")).select("event_type", F.to_json("h").alias("h")).distinct()
-    maps = headers.groupBy("event_type").agg(F.collect_list(F.from_json("h", "map<string,string>")).alias("maps"))
-    least = F.array_min(F.transform("maps", lambda m: m["k"].cast("int")))
-    return maps.select("event_type", F.size("maps").cast("bigint").alias("maps"), least.alias("least_k"))
+    k = F.from_json("h", "map<string,string>")["k"].cast("int")
+    return headers.groupBy("event_type").agg(F.count(F.lit(1)).alias("maps"), F.min(k).alias("least_k"))
 
 
 @query("agg_18_total_across_tables", """
@@ -197,14 +196,14 @@ def most_frequent(t):
 
 
 @query("agg_20_greedy_allocation", """
-WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS qty,
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(28,6)) AS qty,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
-r AS (SELECT o_custkey, o_orderkey, rn, qty AS computed, CASE WHEN qty <= 800000 THEN qty ELSE 0 END AS total FROM o WHERE rn = 1
-  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.rn, r.total + o.qty, CASE WHEN r.total + o.qty <= 800000 THEN r.total + o.qty ELSE r.total END
+r AS (SELECT o_custkey, o_orderkey, rn, qty AS computed, CASE WHEN qty <= 800000.5 THEN qty ELSE 0 END AS total FROM o WHERE rn = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.rn, r.total + o.qty, CASE WHEN r.total + o.qty <= 800000.5 THEN r.total + o.qty ELSE r.total END
   FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.rn = r.rn + 1)
-SELECT o_custkey, o_orderkey, CAST(computed AS DOUBLE) AS computed, CASE WHEN computed <= 800000 THEN 'ok' ELSE 'ko' END AS control FROM r""")
+SELECT o_custkey, o_orderkey, CAST(computed AS DOUBLE) AS computed, CASE WHEN computed <= 800000.5 THEN 'ok' ELSE 'ko' END AS control FROM r""")
 def greedy_allocation(t):
-    rows = t.orders.select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("bigint").alias("qty"),
-                           F.lit(800000).cast("bigint").alias("room"))
+    rows = t.orders.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("qty"),
+                           F.lit(800000.5).alias("room"))
     out = relational.allocate(rows, ["o_custkey"], "o_orderkey", "qty", "room")
     return out.select("o_custkey", "o_orderkey", "computed", "control")

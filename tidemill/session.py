@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Rows of one group that a single task may sort in a plain window.
 MAX_GROUP_ROWS = 4_000_000
+# The same where the whole table is one group.
+MAX_TABLE_ROWS = 100_000
 # Rows up to which a lookup side may be hinted for broadcast.
 MAX_BROADCAST_ROWS = 200_000
 
