@@ -1,11 +1,13 @@
 """Rows that an operator must keep, reject or raise on."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import intervals, merge, relational
+from tidemill.operators.merge import delete, insert, update
 from tidemill.sources import readers, writers
 from tidemill.streaming import sources
 
@@ -60,6 +62,35 @@ def test_compaction_by_partition_does_not_multiply_files(spark, folder):
     assert per_day.agg(F.max("count")).first()[0] <= -(-files // 10)
 
 
+def test_merge_rewrites_only_touched_partitions(spark, folder, rows):
+    path = f"{folder}/t"
+    spark.createDataFrame([(i, i % 4, "old") for i in range(20)], "k int, p int, v string").write.partitionBy("p").parquet(path)
+    files = lambda p: sorted(os.listdir(f"{path}/p={p}"))
+    before = {p: files(p) for p in range(4)}
+    # 1 changes, 5 moves to partition 2, 21 is new in partition 1 and 30 in a new one; 3, 7, 11, 15, 19 empty partition 3
+    new = [(1, 1, "new"), (5, 2, "moved"), (21, 1, "new"), (30, 9, "new"), *((k, 3, "gone") for k in (3, 7, 11, 15, 19))]
+    source = spark.createDataFrame(new, "k int, p int, v string")
+    writers.merge_into_path(spark, path, source, ["k"], ["p"], [delete(F.col("s.v") == "gone"), update()], [insert()])
+    expected = [(i, i % 4, "old") for i in range(20) if i % 4 != 3 and i not in (1, 5)] + new[:4]
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == sorted(expected, key=repr)
+    assert files(0) == before[0] and set(before[2]) < set(files(2)) and not os.path.exists(f"{path}/p=3")
+
+
+def test_replace_matching_deletes_partitions_without_rows(spark, folder, rows):
+    path = f"{folder}/t"
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "k int, y int").write.partitionBy("y").parquet(path)
+    writers.replace_matching(spark, path, F.col("y") >= 2, spark.createDataFrame([(9, 2)], "k int, y int"), ["y"])
+    assert rows(spark.read.parquet(path).select("k", "y")) == [(1, 1), (9, 2)]
+
+
+def test_open_ended_ranges_are_cut_to_the_points(spark, rows):
+    day = datetime.date
+    ranges = spark.createDataFrame([(1, "a", day(1, 1, 1), day(9999, 12, 31)), (2, "a", day(2024, 1, 1), None)], "r int, k string, s date, e date")
+    points = spark.createDataFrame([("a", day(2024, 5, 1)), ("a", day(2024, 9, 1)), ("b", day(2024, 9, 1))], "k string, d date")
+    out = intervals.range_join(ranges, points, ["k"], "s", "e", "d").select("r", F.date_format("d", "MM"))
+    assert rows(out) == [(1, "05"), (1, "09")]
+
+
 def test_minutes_before_1970(spark):
     trips = spark.createDataFrame([(1, datetime.datetime(1969, 12, 31, 23, 50), datetime.datetime(1969, 12, 31, 23, 55))], "k int, a timestamp, b timestamp")
     assert [r["minutes"] for r in intervals.minute_slots(trips, ["k"], "a", "b").collect()] == [5]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.ordered import latest
 from tidemill.operators.quality import layer_counts
 from tidemill.sources.messages import positional
-from tidemill.sources.writers import replace_partitions, spread_for_partitions, stored_bytes
+from tidemill.sources.writers import replace_partitions, spread_by_bytes, stored_bytes
 
 FIELDS = [("reading", "double"), ("year", "int"), ("circuit", "string"), ("session", "string"), ("process_date", "date")]
 
@@ -43,8 +43,7 @@ def ingest(path: str):
 def to_silver(spark: SparkSession, source: str, target: str, file_bytes: int = 128 * 1024 * 1024) -> None:
     """Bronze rows by processing day, rewritten to as many files as their size asks for."""
     rows = silver(spark.read.parquet(source))
-    files = max(1, -(-stored_bytes(spark, source) // file_bytes))
-    replace_partitions(spread_for_partitions(rows, ["process_date"], files), target, ["process_date"])
+    replace_partitions(spread_by_bytes(rows, ["process_date"], stored_bytes(spark, source), file_bytes), target, ["process_date"])
 
 
 def to_gold(spark: SparkSession, source: str, target: str) -> None:

@@ -133,11 +133,16 @@ def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def range_join(rows: DataFrame, refs: DataFrame, keys: list[str], start: str, end: str, point: str,
                bin_days: int = 32) -> DataFrame:
     """Pairs with equal keys and ``start < point < end``. Ranges are spread over fixed day bins and
-    the point looks into its own bin, so a hot key is cut by time and each pair appears once."""
+    the point looks into its own bin, so a hot key is cut by time and each pair appears once. Ranges
+    are cut to the span of their key's points first, so an open end costs no bins without points."""
     def bin_of(c):
         return F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bin_days)
-    left = rows.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(F.col(end)))))
     right = refs.withColumn("_bin", bin_of(F.col(point)))
+    span = right.groupBy(*keys).agg(F.min("_bin").alias("_low"), F.max("_bin").alias("_high"))
+    left = (rows.join(span, keys).withColumn("_low", F.greatest("_low", bin_of(F.col(start))))
+            .withColumn("_high", F.least("_high", bin_of(F.col(end))))
+            .where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col("_low") <= F.col("_high"))))
+    left = left.withColumn("_bin", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
     return (left.join(right, [*keys, "_bin"])
             .where((F.col(point) > F.col(start)) & (F.col(point) < F.col(end))).drop("_bin"))
 

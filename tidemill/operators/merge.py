@@ -67,7 +67,7 @@ def _columns(names, clauses, source_names, keep) -> list[Column]:
 
 def check_unique(source: DataFrame, keys: list[str]) -> None:
     doubled = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if doubled.limit(1).count():
+    if not doubled.isEmpty():
         raise ValueError(f"merge source has several rows for one key {keys}")
 
 
@@ -76,7 +76,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], matched: list[C
     """Rows of ``target`` after applying the clauses; of each list the first true clause wins.
 
     The stored side is on the left of a left join, so a key that fills much of the target can be
-    split by the adaptive skew join. New keys come from an anti join against distinct keys."""
+    split by the adaptive skew join. New keys come from an anti join that reads only the stored keys."""
     if check:
         check_unique(source, keys)
     matched, not_matched = list(matched), list(not_matched)
@@ -91,7 +91,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], matched: list[C
     kept = both.select(*_columns(target.columns, matched, source.columns, lambda n: F.col("t." + n)))
     if not not_matched:
         return kept
-    fresh = source.join(target.select(*keys).distinct(), keys, "left_anti").alias("s")
+    fresh = source.join(target.select(*keys), keys, "left_anti").alias("s")
     fresh = fresh.withColumn("_clause", _first_true(not_matched, F.lit(True))).where("_clause >= 0")
     types = {f.name: f.dataType for f in target.schema}
     added = fresh.select(*_columns(target.columns, not_matched, source.columns,
@@ -113,7 +113,7 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
 
 def replace_where(df: DataFrame, predicate: Column, new: DataFrame) -> DataFrame:
     """Drop the rows matching the predicate and add the new ones; raises if some of them do not match it."""
-    if new.where(~F.coalesce(predicate, F.lit(False))).limit(1).count():
+    if not new.where(~F.coalesce(predicate, F.lit(False))).isEmpty():
         raise ValueError("some new rows do not match the predicate")
     return delete_where(df, predicate).unionByName(new)
 

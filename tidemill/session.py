@@ -50,6 +50,13 @@ def file_status(spark: SparkSession, path: str):
     return system.getFileStatus(found) if system.exists(found) else None
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under a path; none where there is no such path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(found) if s.isDirectory()) if system.exists(found) else []
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import file_status
+from tidemill.operators.merge import Clause, check_unique, merge
+from tidemill.operators.ordered import same_keys
+from tidemill.session import MAX_BROADCAST_ROWS, file_status, materialise, setting
 
-TARGET_FILE_BYTES = 1024 * 1024
+TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
 def write(df: DataFrame, kind: str, path: str | None = None, mode: str = "errorifexists",
@@ -39,25 +41,66 @@ def spread_for_partitions(df: DataFrame, keys: list[str], files_per_key: int = 1
     return df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
 
 
+def spread_by_bytes(df: DataFrame, keys: list[str], total_bytes: int, file_bytes: int) -> DataFrame:
+    """Repartition so that each partition is written as at most ``ceil(its bytes / file_bytes)`` files. A partition's bytes
+    are its share of the rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    counts = counts.select(*[F.col(k).alias("_p_" + k) for k in keys], F.ceil(F.col("_n") * (total_bytes / total / file_bytes)).alias("_files"))
+    salt = F.pmod(F.xxhash64(*df.columns), F.greatest("_files", F.lit(1)))
+    salted = df.join(counts, same_keys(keys, "_p_"), "left").withColumn("_salt", salt)
+    return salted.repartition(*keys, "_salt").drop("_salt", "_files", *["_p_" + k for k in keys])
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions that occur in ``df``."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
 
 
+def drop_emptied(spark: SparkSession, old: DataFrame, new: DataFrame, partition_by: list[str]) -> None:
+    """Delete the partition folders that rows of ``old``, read from files, lie in and that ``new`` has no row for.
+
+    Only names of folders to delete reach the driver. Call it before ``new`` is written."""
+    there = old.select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")).distinct()
+    filled = new.select(*(F.col(c).alias(f"_n_{c}") for c in partition_by)).distinct()
+    stale = there.join(filled, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in partition_by], "left_anti")
+    for row in stale.select("_folder").distinct().collect():
+        gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["_folder"]))
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def replace_matching(spark: SparkSession, path: str, predicate: Column, new: DataFrame, partition_by: list[str]) -> None:
     """Replace whole partitions holding rows that match the predicate by the new rows, which must match it too.
 
     Matching partitions that get no new row are deleted."""
-    if new.where(~F.coalesce(predicate, F.lit(False))).limit(1).count():
+    new = materialise(new)  # it may be read from the partitions it replaces
+    if not new.where(~F.coalesce(predicate, F.lit(False))).isEmpty():
         raise ValueError("some new rows do not match the predicate")
-    old = spark.read.parquet(path).where(predicate).select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")).distinct()
-    stale = old.join(new.select(*(F.col(c).alias(f"_n_{c}") for c in partition_by)).distinct(),
-                     [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in partition_by], "left_anti")
-    stale = [r["_folder"] for r in stale.select("_folder").distinct().collect()]
+    drop_emptied(spark, spark.read.parquet(path).where(predicate), new, partition_by)
     replace_partitions(new, path, partition_by)
-    for folder in stale:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def merge_into_path(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_by: list[str],
+                    matched: list[Clause] = (), not_matched: list[Clause] = ()) -> None:
+    """Merge into a stored, partitioned table, rewriting only partitions that hold a matched key.
+
+    Stored keys and partition columns are scanned once to find those partitions, then these alone are read. Rows that are
+    new in any other partition, or move to it, are appended there as files of their own. What is written lies in the shared
+    folder first; the writes themselves follow one another, so run the merge again if it was cut off."""
+    check_unique(source, keys)
+    source = materialise(source)
+    stored = spark.read.parquet(path)
+    hit = stored.join(source.select(*keys), keys, "left_semi").select(*partition_by).distinct()
+    touched = materialise(hit.select(*[F.col(c).alias("_t_" + c) for c in partition_by]))
+    in_touched = same_keys(partition_by, "_t_")
+    side = F.broadcast(touched) if touched.count() <= setting(spark, "maxBroadcastRows", MAX_BROADCAST_ROWS) else touched
+    old = stored.join(side, in_touched, "left_semi")
+    merged = materialise(merge(old, source, keys, matched, not_matched, check=False))
+    if not touched.isEmpty():
+        rewritten = merged.join(side, in_touched, "left_semi")
+        drop_emptied(spark, stored.select(*partition_by, "_metadata").join(side, in_touched, "left_semi"), rewritten, partition_by)
+        replace_partitions(rewritten, path, partition_by)
+    merged.join(side, in_touched, "left_anti").write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,
@@ -92,7 +135,7 @@ def compact(spark: SparkSession, source: str, target: str, file_bytes: int = TAR
     files = max(1, math.ceil(stored_bytes(spark, source) / file_bytes))
     df = spark.read.parquet(source)
     if partition_by:  # the rows of a partition meet in its own tasks; dealt round robin each task would write a file for each partition
-        df = spread_for_partitions(df, partition_by, math.ceil(files / max(1, df.select(*partition_by).distinct().count())))
+        df = spread_by_bytes(df, partition_by, stored_bytes(spark, source), file_bytes)
     else:
         df = df.repartition(files)
     write(df, "parquet", target, mode="overwrite", partition_by=partition_by)
