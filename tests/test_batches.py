@@ -44,7 +44,9 @@ def test_hold_and_release_between_batches(spark, folder, rows):
     first = rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id"))
     assert first == [("b1", 0), ("b2", 1), ("b4", 1)]  # b3 expired while held
     assert batches.current_state(spark, f"{folder}/held", like).count() == 0
-    fn(spark.read.schema(schema).json(f"{src}/f1.json"), 1)  # a replay of the last batch changes nothing
+    for name in ("1", ".1.crc"):
+        os.remove(f"{folder}/ck/commits/{name}")  # the last batch runs again and changes nothing
+    run(spark, src, schema, f"{folder}/ck", fn)
     assert rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id")) == first
 
 
@@ -69,6 +71,32 @@ def test_versions_by_merge(spark, folder, rows):
     assert rows(batches.current_state(spark, f"{folder}/t", empty)) == [("a", 2), ("b", 5)]
 
 
+def test_a_new_checkpoint_goes_on_from_the_stored_state(spark, folder, rows):
+    src, schema = f"{folder}/in", "k string, v int"
+    empty = spark.createDataFrame([], schema)
+    fn = batches.merge_into_versions(f"{folder}/t", lambda stored, batch: stored.unionByName(batch).groupBy("k").agg(
+        F.sum("v").cast("int").alias("v")), empty)
+    for n, checkpoint in enumerate(["ck1", "ck1", "ck2", "ck2"]):
+        put(f"{src}-{checkpoint}", [{"k": "a", "v": 10 ** n}])
+        run(spark, f"{src}-{checkpoint}", schema, f"{folder}/{checkpoint}", fn)
+    assert rows(batches.current_state(spark, f"{folder}/t", empty)) == [("a", 1111)]
+    assert len(os.listdir(f"{folder}/t")) == 2
+    batches.drop_old_states(spark, f"{folder}/t", keep=1)
+    assert rows(batches.current_state(spark, f"{folder}/t", empty)) == [("a", 1111)]
+
+
+def test_triggers_drop_partitions_without_rows(spark, folder, rows):
+    points = f"{folder}/points"
+    spark.createDataFrame([(2020, 5), (2021, 1)], "season int, p int").write.parquet(points)
+    fn = batches.recompute_affected(lambda s: s.read.parquet(points), ["season"],
+                                    lambda df: df.groupBy("season").agg(F.sum("p").alias("total")), f"{folder}/totals")
+    named = spark.createDataFrame([(2020,), (2021,)], "season int")
+    fn(named, 0)
+    spark.createDataFrame([(2021, 2)], "season int, p int").write.mode("overwrite").parquet(points)
+    fn(named, 1)
+    assert rows(spark.read.parquet(f"{folder}/totals").select("season", "total")) == [(2021, 2)]
+
+
 def test_triggers_recompute_only_affected_keys(spark, folder, rows):
     points = f"{folder}/points"
     spark.createDataFrame([(2020, "d1", 5), (2020, "d2", 7), (2021, "d1", 1)], "season int, d string, p int").write.parquet(points)
@@ -95,6 +123,10 @@ def test_routing_with_unknown_types(spark, folder, rows):
         fn(batch, 0)
     assert rows(spark.read.parquet(f"{folder}/a").select("n")) == [(1,)]
     assert rows(spark.read.parquet(f"{folder}/err").select("n")) == [(3,), (4,)]
+    fn(batch.where("kind = 'a'"), 1)
+    only = sinks.route_by_type({"c": f"{folder}/c"}, "kind", f"{folder}/err2")
+    only(batch, 0)
+    assert sinks.read_batches(spark, f"{folder}/c", batch.schema).count() == 0  # a type without rows
 
 
 def test_rate_source_row_writer_and_modes(spark, folder):

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 
 from tidemill.streaming import sinks, state
@@ -94,6 +95,64 @@ def test_hierarchy_rules(spark, folder, rows):
                    (8, "child", "Delete"), (8, "grandchild", "Delete"), (8, "parent", "Delete")]
 
 
+def test_hierarchy_with_a_schema_of_its_own(spark, folder, rows):
+    src = f"{folder}/in"
+    names = ("key", "level", "crud", "at", "message")
+    put(src, "a", [dict(zip(names, ("k", "parent", "Insert", 1, '{"year": 2020, "title": "maths"}'))),
+                   dict(zip(names, ("k", "child", "Insert", 2, '{"year": 2021}')))])
+    df = source(spark, src, "key string, level string, crud string, at long, message string")
+    out = drain(state.hierarchy(df, "title string, year int, level string, at string"), folder)
+    assert out.columns == ["title", "year", "level", "at"]
+    assert rows(out) == [("maths", 2020, "parent", "1"), (None, 2021, "child", "2")]
+
+
+def test_held_message_expires_by_processing_time(spark, folder, rows):
+    src = f"{folder}/in"
+    put(src, "a", [{"key": "x", "message": "1"}])
+    stream = state.hold_first(source(spark, src, "key string, message string"), timeout_ms=500)
+    query = sinks.start(stream, f"{folder}/ck", path=f"{folder}/out", every="200 milliseconds")
+
+    def wait_for(total):
+        end = time.time() + 30
+        while time.time() < end and sum(p["numInputRows"] for p in query.recentProgress) < total:
+            time.sleep(0.2)
+
+    try:
+        wait_for(1)
+        time.sleep(4)  # batches without rows go on, and x's timeout is due
+        put(src, "b", [{"key": "x", "message": "2"}])
+        wait_for(2)
+    finally:
+        query.stop()
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 2
+    assert rows(out) == []  # held as a first message again
+
+
+def test_passing_keys_are_forgotten(spark, folder, rows):
+    src = f"{folder}/in"
+    for name, batch in {"a": [("x", "1", "01 00:00:00"), ("x", "2", "01 00:00:01")], "b": [("y", "1", "02 00:00:00")],
+                        "c": [("y", "2", "02 00:10:00")], "d": [("x", "3", "02 00:20:00")]}.items():
+        put(src, name, [{"key": k, "message": m, "ts": f"2024-01-{t}"} for k, m, t in batch])
+    df = source(spark, src, "key string, message string, ts timestamp").withWatermark("ts", "1 minute")
+    out = rows(drain(state.hold_first(df, timeout_ms=3_600_000, ts="ts"), folder))
+    assert out == [("x", "1"), ("x", "2"), ("y", "1"), ("y", "2")]
+
+
+def test_pair_up_expires_each_entry(spark, folder, rows):
+    """The first member and the first owner expire alone; later entries of the key live on."""
+    src = f"{folder}/in"
+    t = "2024-01-01 %02d:%02d:00"
+    batches = [[("T1", "", "old", t % (0, 0), "o")], [("T1", "", "new", t % (0, 50), "n")], [("T9", "", "x", t % (1, 10), "x")],
+               [("T1", "owner", "", t % (1, 20), "team")], [("T2", "owner", "", t % (1, 0), "gone")], [("T9", "", "y", t % (2, 30), "y")],
+               [("T2", "", "late", t % (2, 40), "l")]]
+    for i, b in enumerate(batches):
+        put(src, f"f{i}", [dict(zip(("key", "side", "id", "ts", "message"), r)) for r in b])
+    df = source(spark, src, "key string, side string, id string, ts timestamp, message string").withWatermark("ts", "0 seconds")
+    out = drain(state.pair_up(df.where("side = 'owner'"), df.where("side = ''"), 3_600_000), folder)
+    assert rows(out) == [("T1", "member", "new", "n"), ("T1", "owner", "", "team")]
+
+
 def test_pair_up_both_orders(spark, folder, rows):
     src = f"{folder}/in"
     t = "2024-01-01 00:%02d:00"

@@ -52,6 +52,39 @@ def watermarked_windows(t):
     return out.select(dates.second_text("window_start").alias("window_start"), "event_type", "n")
 
 
+def newest(out):
+    """Rows of the newest batch of a complete-mode stream."""
+    last = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(F.broadcast(last), "batch_id", "left_semi")
+
+
+@query("str_11_sliding_stream", """
+WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL 3 MINUTE, ts), time_bucket(INTERVAL 3 MINUTE, ts) - INTERVAL 3 MINUTE]) AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY s, event_type""")
+def sliding_stream(t):
+    """No watermark, so update mode: the newest batch of a window holds its totals."""
+    out = windows.windowed(events(t), "ts", "6 minutes", ["event_type"], "3 minutes", n=F.count(F.lit(1)), total=F.sum("value"))
+    out = sinks.run_to_end(out, "update").groupBy("window_start", "event_type").agg(
+        F.max_by(F.struct("n", "total"), "batch_id").alias("now"))
+    return out.select(dates.second_text("window_start").alias("window_start"), "event_type", "now.n", F.round("now.total", 4).alias("total"))
+
+
+@query("str_13_tumbling_stream", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1""")
+def tumbling_stream(t):
+    out = windows.windowed(events(t), "ts", "1 hour", [], n=F.count(F.lit(1)), last=F.max("event_id"))
+    return newest(sinks.run_to_end(out, "complete")).select(dates.second_text("window_start").alias("window_start"), "n", "last")
+
+
+@query("str_13_session_stream", """
+WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 30 * 60000000::BIGINT THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM s GROUP BY user_id, sid""")
+def session_stream(t):
+    out = windows.sessions(events(t), "ts", "30 minutes", ["user_id"], n=F.count(F.lit(1)))
+    return newest(sinks.run_to_end(out, "complete")).select("user_id", dates.second_text("window_start").alias("window_start"), "n")
+
+
 @query("str_13_tumbling_windows", """
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def tumbling_windows(t):
@@ -91,9 +124,10 @@ SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'error out
 def route_by_type(t):
     folder = sinks.new_folder(t.spark)
     paths = {k: f"{folder}/{k}" for k in ("view", "click")}
-    sinks.start(events(t).select("event_id", "event_type"), f"{folder}/checkpoint",
+    rows = events(t).select("event_id", "event_type")
+    sinks.start(rows, f"{folder}/checkpoint",
                 sinks.route_by_type(paths, "event_type", f"{folder}/errors")).awaitTermination()
-    parts = [t.spark.read.parquet(p).agg(F.lit(name).alias("route"), F.count(F.lit(1)).alias("n"))
+    parts = [sinks.read_batches(t.spark, p, rows.schema).agg(F.lit(name).alias("route"), F.count(F.lit(1)).alias("n"))
              for name, p in [*paths.items(), ("error output", f"{folder}/errors")]]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -183,8 +217,7 @@ def complete_mode(t):
     """Complete mode: every batch writes all counts, so the newest batch is the result."""
     counts = events(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
     out = sinks.run_to_end(counts, "complete")
-    newest = out.agg(F.max("batch_id").alias("batch_id"))
-    return out.join(F.broadcast(newest), "batch_id", "left_semi").select("user_id", "n", "last")
+    return newest(out).select("user_id", "n", "last")
 
 
 @query("str_22_pair_up", """

@@ -1,7 +1,8 @@
 """Batch functions for ``foreachBatch`` that keep tables between batches and survive a replay.
 
 What a batch writes lies in a partition named after its id, so running the batch again writes the
-same partition again.
+same partition again. A state table also tells apart the queries that wrote it, as a query started
+with a new checkpoint counts its batches from 0 again: ``run=<number>-<query id>/batch_id=<id>``.
 """
 
 from __future__ import annotations
@@ -10,59 +11,80 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemill.operators import holding
-from tidemill.sources.writers import replace_partitions
+from tidemill.session import file_status, materialise, subfolders
+from tidemill.sources.writers import drop_emptied, replace_partitions
 from tidemill.streaming.sinks import into_batch_partition
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at ``path`` with the columns of ``like``, empty when nothing was written yet."""
-    try:
-        return spark.read.parquet(path).select(*like.columns)
-    except AnalysisException:
-        return like.where("false")
+    """The table at ``path`` with the columns of ``like``, empty when there is no such path. A table that lacks a column raises."""
+    return like.where("false") if file_status(spark, path) is None else spark.read.parquet(path).select(*like.columns)
+
+
+def run_name(spark: SparkSession, path: str) -> str:
+    """Name of the running query among those that wrote the state table: its place in time and its id, which a restart
+    from the same checkpoint keeps. Batch functions called without a query share one name."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    runs = [n.removeprefix("run=") for n in subfolders(spark, path) if n.startswith("run=")]
+    own = [n for n in runs if n.partition("-")[2] == query]
+    return own[0] if own else f"{max((int(n.partition('-')[0]) for n in runs), default=0) + 1:06d}-{query}"
+
+
+def _state(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    return spark.read.parquet(folder).select(*like.columns).dropna("all")
+
+
+def _last_of(spark: SparkSession, path: str, runs: list[str], like: DataFrame) -> DataFrame:
+    """State of the last batch of the last of these runs that finished one."""
+    for run in reversed(runs):
+        ids = [int(n.removeprefix("batch_id=")) for n in subfolders(spark, f"{path}/{run}") if n.startswith("batch_id=")]
+        if ids:
+            return _state(spark, f"{path}/{run}/batch_id={max(ids)}", like)
+    return like.where("false")
 
 
 def before_batch(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> DataFrame:
-    """State the previous batch wrote. Batch ids are consecutive and every batch writes its partition,
-    so one partition is read, however long the table has grown."""
-    try:
-        stored = spark.read.parquet(path).where(F.col("batch_id") == batch_id - 1)
-    except AnalysisException:
-        return like.where("false")
-    return stored.select(*like.columns).dropna("all")
+    """State the previous batch wrote. Batch ids are consecutive and every batch writes its partition, so one
+    partition is read, however long the table has grown; if it is gone, reading raises. The first batch of a
+    query goes on from the last batch of the query before it."""
+    run = f"run={run_name(spark, path)}"
+    if batch_id:
+        return _state(spark, f"{path}/{run}/batch_id={batch_id - 1}", like)
+    return _last_of(spark, path, [n for n in subfolders(spark, path) if n.startswith("run=") and n < run], like)
 
 
 def current_state(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """State of the newest batch, for readers of the table."""
-    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    return before_batch(spark, path, like, last + 1)
+    return _last_of(spark, path, [n for n in subfolders(spark, path) if n.startswith("run=")], like)
+
+
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    """Write the state after a batch. A state without rows still needs its partition, or the next batch would find
+    none; a row of nulls marks it and is dropped on reading."""
+    spark = state.sparkSession
+    marker = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema])
+    folder = f"{path}/run={run_name(spark, path)}/batch_id={batch_id}"
+    state.unionByName(marker).write.mode("overwrite").parquet(folder)
 
 
 def hold_and_release(released: str, held: str, parents: Callable[[SparkSession], list[tuple[DataFrame, list[str]]]],
                      identity: list[str], ts: str, now: Callable[[], Column], expiry: str) -> Callable:
     """Keep unresolved rows in the ``held`` table and write resolved ones to ``released``; the held
-    state of a batch is written last."""
+    state of a batch is written last. Released rows carry ``run`` and ``batch_id``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         waiting = before_batch(spark, held, batch, batch_id)
         step = holding.resolve(waiting, batch, parents(spark), identity, ts, now(), expiry)
-        into_batch_partition(released)(step.released, batch_id)
-        into_batch_partition(held)(_with_marker(step.held), batch_id)
+        out = step.released.withColumns({"run": F.lit(run_name(spark, held)), "batch_id": F.lit(batch_id)})
+        replace_partitions(out, released, ["run", "batch_id"])
+        write_state(step.held, held, batch_id)
         batch.unpersist()
     return write
 
 
-def _with_marker(state: DataFrame) -> DataFrame:
-    """A state without rows still needs its partition, or the next batch would read an older one; a
-    row of nulls marks it and is dropped on reading."""
-    marker = state.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema])
-    return state.unionByName(marker)
-
-
 def count_into(path: str, keys: list[str], total: str = "hits") -> Callable:
     """Counters as one partition of partial counts per batch; ``counter_totals`` adds them up."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -75,19 +97,34 @@ def counter_totals(spark: SparkSession, path: str, keys: list[str], total: str =
 
 
 def merge_into_versions(path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame) -> Callable:
-    """Keep a table as one state per batch: ``apply(stored, batch)`` gives the next state."""
+    """Keep a table as one state per batch: ``apply(stored, batch)`` gives the next state. Of a big table that a batch
+    changes in few places, merge into the touched partitions instead: ``writers.merge_into_path``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = before_batch(batch.sparkSession, path, empty, batch_id)
-        into_batch_partition(path)(_with_marker(apply(stored, batch)), batch_id)
+        write_state(apply(stored, batch), path, batch_id)
     return write
 
 
+def drop_old_states(spark: SparkSession, path: str, keep: int = 10) -> None:
+    """Delete all but the newest ``keep`` batches of every run of a state table."""
+    for run in subfolders(spark, path):
+        batches = sorted((n for n in subfolders(spark, f"{path}/{run}") if n.startswith("batch_id=")), key=lambda n: int(n.partition("=")[2]))
+        for name in batches[:-keep]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{run}/{name}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def recompute_affected(source: Callable[[SparkSession], DataFrame], keys: list[str],
                        compute: Callable[[DataFrame], DataFrame], path: str) -> Callable:
-    """Triggered job: recompute only the key values named in the trigger batch and replace their partitions."""
+    """Triggered job: recompute only the key values named in the trigger batch and replace their partitions. The
+    partition of a named value for which nothing is computed any more is deleted."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        affected = source(batch.sparkSession).join(batch.select(*keys).distinct(), keys, "left_semi")
-        replace_partitions(compute(affected), path, keys)
+        spark, named = batch.sparkSession, batch.select(*keys).distinct()
+        computed = materialise(compute(source(spark).join(named, keys, "left_semi")))
+        if file_status(spark, path) is not None:
+            stored = spark.read.parquet(path).select(*keys, "_metadata")
+            drop_emptied(spark, stored.join(named, keys, "left_semi"), computed, keys)
+        replace_partitions(computed, path, keys)
     return write
 
 

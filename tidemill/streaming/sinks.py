@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.session import shared_folder
@@ -37,8 +38,14 @@ def into_batch_partition(path: str, lineage: str = "batch_id") -> Callable:
     return write
 
 
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``into_batch_partition`` wrote under a path; without rows, where no batch had any."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(path)
+
+
 def route_by_type(paths: dict[str, str], column: str, errors: str) -> Callable:
-    """Batch function writing each message type to its own table; unknown types go to ``errors``."""
+    """Batch function writing each message type to its own table; unknown types go to ``errors``. A type may have no
+    rows; ``read_batches`` reads its table all the same."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         for kind, path in paths.items():
@@ -84,7 +91,7 @@ def run_to_end(df: DataFrame, mode: str = "append", each_batch: Callable | None
         else:
             query = start(df, f"{folder}/checkpoint", each_batch or into_batch_partition(out), mode)
         query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out) if to_files else spark.read.parquet(out)
+    return spark.read.schema(df.schema).parquet(out) if to_files else read_batches(spark, out, df.schema)
 
 
 class RowWriter:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -25,8 +26,10 @@ def hold_first(stream: DataFrame, timeout_ms: int | None = None, ts: str | None
     ones; from then on messages pass. Independent of how rows fall into micro-batches: all messages
     of keys with at least two come out.
 
-    With ``timeout_ms`` a held message is dropped after that much processing time without news or,
-    when ``ts`` is given, once the watermark passes its event time plus ``timeout_ms``."""
+    With ``timeout_ms`` a key is forgotten, and its held message dropped, after that much processing time
+    without news or, when ``ts`` is given, once the watermark passes the event time of the held message, or
+    of the newest one that passed, plus ``timeout_ms``. Without it every key is remembered for ever.
+    Processing-time timeouts need a trigger that goes on; ``availableNow`` waits for them without end."""
     by_event = timeout_ms is not None and ts is not None
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -44,8 +47,10 @@ def hold_first(stream: DataFrame, timeout_ms: int | None = None, ts: str | None
                     out, held, passing = [held, *out], None, True
             if out:
                 yield pd.DataFrame({"key": [key[0]] * len(out), "message": out})
+            if by_event and passing:
+                at = max(at, _millis(pdf[ts].max()))
         state.update((held, passing, at))
-        if by_event and not passing:
+        if by_event:
             state.setTimeoutTimestamp(max(at + timeout_ms, state.getCurrentWatermarkMs() + 1))
         elif timeout_ms and not by_event:
             state.setTimeoutDuration(timeout_ms)
@@ -117,7 +122,12 @@ def release_with_parent(stream: DataFrame, parents: DataFrame | None, expiry_ms:
 
 
 class _PairUp(StatefulProcessor):
-    """Members wait in a map in the state store until their owner comes; an owner waits for its first member."""
+    """Members wait in a map in the state store until their owner comes; an owner waits for its first member.
+
+    Every entry has a timer of its own, and what has expired is not paired even if its timer has yet to run.
+    While the owner is there, members pass without touching the map; it is walked only when an owner comes."""
+
+    COLUMNS = ["key", "side", "id", "message"]
 
     def __init__(self, expiry_ms: int):
         self.expiry_ms = expiry_ms
@@ -127,47 +137,64 @@ class _PairUp(StatefulProcessor):
         self.owner = handle.getValueState("owner", "message string, at long, released boolean")
         self.waiting = handle.getMapState("waiting", "id string", "message string, at long")
 
+    def _live(self, at: int, now: int) -> bool:
+        return at + self.expiry_ms > now
+
+    def _owner(self, now: int):
+        owner = self.owner.get() if self.owner.exists() else None
+        return tuple(owner) if owner is not None and self._live(owner[1], now) else None
+
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs()
-        deadline = 0
         for pdf in rows:
-            pdf = pdf[pdf["at"] + self.expiry_ms > now]
+            pdf = pdf[pdf["at"] + self.expiry_ms > now].sort_values(["at", "message"])
             out = []
-            owner = self.owner.get() if self.owner.exists() else None
-            for side, member, message, at in zip(pdf["side"], pdf["id"], pdf["message"], pdf["at"]):
-                deadline = max(deadline, int(at) + self.expiry_ms)
-                if side == "owner":
-                    if owner is None or at >= owner[1]:
-                        released = owner is not None and bool(owner[2])
-                        owner = (str(message), int(at), released)
-                        if released:
-                            out.append(("owner", "", owner[0]))
-                else:
-                    found = self.waiting.getValue((str(member),)) if self.waiting.containsKey((str(member),)) else None
-                    if found is None or at >= found[1]:
-                        self.waiting.updateValue((str(member),), (str(message), int(at)))
-            if owner is not None:
-                for (member,), (message, _) in list(self.waiting.iterator()):
-                    if not owner[2]:
-                        owner = (owner[0], owner[1], True)
+            before = owner = self._owner(now)
+            owners = pdf[pdf["side"] == "owner"]
+            for message, at in zip(owners["message"], owners["at"]):
+                if owner is None or at >= owner[1]:
+                    owner = (str(message), int(at), owner is not None and bool(owner[2]))
+                    if owner[2]:
                         out.append(("owner", "", owner[0]))
-                    out.append(("member", member, message))
-                    self.waiting.removeKey((member,))
-                self.owner.update(owner)
+            members = pdf[pdf["side"] != "owner"].drop_duplicates("id", keep="last")
+            found = {str(m): (str(text), int(at)) for m, text, at in zip(members["id"], members["message"], members["at"])}
+            if owner is None:
+                self._wait(found)
+            else:
+                if before is None:
+                    self._take_waiting(found, now)
+                if found and not owner[2]:
+                    owner = (owner[0], owner[1], True)
+                    out.append(("owner", "", owner[0]))
+                out += [("member", m, message) for m, (message, _) in found.items()]
+                if owner != before:
+                    self.owner.update(owner)
+                    self.handle.registerTimer(owner[1] + self.expiry_ms)
             if out:
-                yield pd.DataFrame({"key": [key[0]] * len(out), "side": [o[0] for o in out], "id": [o[1] for o in out],
-                                    "message": [o[2] for o in out]})
-        if deadline > now:
-            self.handle.registerTimer(deadline)
+                yield pd.DataFrame([(key[0], *o) for o in out], columns=self.COLUMNS)
+
+    def _wait(self, members: dict) -> None:
+        for member, (message, at) in members.items():
+            old = self.waiting.getValue((member,)) if self.waiting.containsKey((member,)) else None
+            if old is None or at >= old[1]:
+                self.waiting.updateValue((member,), (message, at))
+                self.handle.registerTimer(at + self.expiry_ms)
+
+    def _take_waiting(self, members: dict, now: int) -> None:
+        """Move the waiting members that have not expired to ``members``; of two versions the newer stays."""
+        for (member,), (message, at) in list(self.waiting.iterator()):
+            if self._live(at, now) and (member not in members or members[member][1] < at):
+                members[member] = (message, at)
+        self.waiting.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         for (member,), (_, at) in list(self.waiting.iterator()):
-            if at + self.expiry_ms <= now:
+            if not self._live(at, now):
                 self.waiting.removeKey((member,))
-        if self.owner.exists() and self.owner.get()[1] + self.expiry_ms <= now:
+        if self.owner.exists() and not self._live(self.owner.get()[1], now):
             self.owner.clear()
-        yield pd.DataFrame({"key": [], "side": [], "id": [], "message": []}, dtype=str)
+        yield pd.DataFrame({c: [] for c in self.COLUMNS}, dtype=str)
 
     def close(self) -> None:
         pass
@@ -188,12 +215,18 @@ def pair_up(owners: DataFrame, members: DataFrame, expiry_ms: int, ts: str = "ts
 LEVELS = ["parent", "child", "grandchild"]
 
 
-def hierarchy(stream: DataFrame, output: str = "key string, level string, crud string, at long, message string") -> DataFrame:
-    """(key, level, crud, at, message) rows of a three-level hierarchy; ``output`` is given at run time.
+HIERARCHY = "key string, level string, crud string, at long, message string"
+
+
+def hierarchy(stream: DataFrame, output: str = HIERARCHY) -> DataFrame:
+    """(key, level, crud, at, message) rows of a three-level hierarchy.
 
     Parent inserts and updates pass while the key was deleted fewer than two times. A parent delete is
     copied to child and grandchild, a child delete to the grandchild. Orphans wait, latest version only,
-    until the parent exists. The latest record per level counts."""
+    until the parent exists. The latest record per level counts.
+
+    ``output``, given at run time, names and types the columns to return: any of these five, and fields of
+    messages that are JSON objects. A field that a message lacks is null."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         active, deletes, child, grandchild = state.get if state.exists else (False, 0, None, None)
@@ -236,5 +269,10 @@ def hierarchy(stream: DataFrame, output: str = "key string, level string, crud s
                                 "at": [o[1] for o in out], "message": [o[3] for o in out]})
         state.update((active, deletes, waiting["child"], waiting["grandchild"]))
 
-    return stream.groupBy("key").applyInPandasWithState(
-        step, output, "active boolean, deletes int, child string, grandchild string", "append", GroupStateTimeout.NoTimeout)
+    out = stream.groupBy("key").applyInPandasWithState(
+        step, HIERARCHY, "active boolean, deletes int, child string, grandchild string", "append", GroupStateTimeout.NoTimeout)
+    wanted = T.StructType.fromDDL(output).fields
+    fields = T.StructType([f for f in wanted if f.name not in out.columns])
+    if fields:
+        out = out.withColumn("_fields", F.from_json("message", fields))
+    return out.select(*[(F.col("_fields")[f.name] if f in fields.fields else F.col(f.name).cast(f.dataType)).alias(f.name) for f in wanted])

@@ -35,13 +35,17 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], late: str | None
     return out.select("window_start", "window_end", *keys, *aggs)
 
 
-def with_own_windows(df: DataFrame, ts: str, length: str, key: str, late: str, **aggs: Column) -> DataFrame:
-    """A stream beside the totals of the tumbling window each row falls into."""
+def with_own_windows(df: DataFrame, ts: str, length: str, key: str, late: str, salts: int = 16, **aggs: Column) -> DataFrame:
+    """A stream beside the totals of the tumbling window each row falls into.
+
+    Totals are combined map-side and copied to every salt, rows are dealt over the salts by a hash of their values, so that
+    a key with most of a window's rows lies in several state partitions."""
     marked = df.withWatermark(ts, late)
     totals = marked.groupBy(F.window(ts, length).alias("_w"), F.col(key).alias("_k")).agg(*[a.alias(n) for n, a in aggs.items()])
-    rows = marked.withColumn("_window", F.window(ts, length))
-    return (rows.join(totals, (F.col(key) == F.col("_k")) & (F.col("_window") == F.col("_w")))
-            .drop("_w", "_k", "_window"))
+    totals = totals.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = marked.withColumn("_window", F.window(ts, length)).withColumn("_salt", F.pmod(F.hash(*df.columns), F.lit(salts)))
+    on = (F.col(key) == F.col("_k")) & (F.col("_window") == F.col("_w")) & (F.col("_salt") == F.col("_s"))
+    return rows.join(totals, on).drop("_w", "_k", "_window", "_salt", "_s")
 
 
 def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str, how: str = "inner",
