@@ -1,12 +1,11 @@
 """Projection, cleansing and join queries."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions import dates, rules, text
 from tidemill.operators import intervals, relational
-from tidemill.operators.ordered import ranks
 from tidemill.plans.registry import query
-from tidemill.session import materialise
 
 
 @query("flagship_nation_revenue", """
@@ -22,18 +21,19 @@ SELECT coalesce(n_name, 'ALL') AS n_name, coalesce(CAST(o_year AS VARCHAR), 'sub
 FROM r""")
 def nation_revenue(t):
     """Revenue per nation and year with sub-totals, ranked within each level and year."""
-    lines = t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount")
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"),
+                                                 F.count(F.lit(1)).alias("lines"))
     orders = t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
     customers = t.customer.select("c_custkey", "c_nationkey")
     nations = t.nation.select("n_nationkey", "n_name")
     joined = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
               .join(customers, F.col("o_custkey") == F.col("c_custkey"))
               .join(nations, F.col("c_nationkey") == F.col("n_nationkey")))
-    totals = joined.rollup("n_name", "o_year").agg(
-        F.grouping_id().cast("int").alias("lvl"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
-        F.count(F.lit(1)).alias("line_count"))
-    placed = ranks(materialise(totals), ["lvl", "o_year"], ["-revenue"], rank="place")
+    # only the totals of each nation and year are expanded by the rollup, and their ranks sort a few hundred rows
+    yearly = joined.groupBy("n_name", "o_year").agg(F.sum("amount").alias("amount"), F.sum("lines").alias("lines"))
+    totals = yearly.rollup("n_name", "o_year").agg(F.grouping_id().cast("int").alias("lvl"),
+                                                   F.round(F.sum("amount"), 2).alias("revenue"), F.sum("lines").alias("line_count"))
+    placed = totals.withColumn("place", F.rank().over(Window.partitionBy("lvl", "o_year").orderBy(F.desc("revenue"))))
     return placed.select(F.coalesce("n_name", F.lit("ALL")).alias("n_name"),
                          F.coalesce(F.col("o_year").cast("string"), F.lit("subTotal")).alias("o_year"),
                          "lvl", "revenue", "line_count", "place").orderBy("lvl", "o_year", "place")
