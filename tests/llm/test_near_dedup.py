@@ -65,6 +65,26 @@ def test_all_pairs(spark, limit, percent):
     assert sorted(map(tuple, found.collect())) == brute(rows, percent)
 
 
+def drifting():
+    """Families in which each copy is a link away from the next only, though all share most of a text; ids in any order."""
+    pick = random.Random(8)
+    rows = []
+    for _ in range(12):
+        words = [pick.choice(WORDS) for _ in range(120)]
+        for k, place in enumerate(pick.sample(range(6, 114, 9), 9)):
+            words[place] = f"new{k}"
+            rows.append(" ".join(words))
+    pick.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("limit", [6, 1])
+def test_links_between_classes_linked_to_different_centres(spark, limit):
+    rows = drifting()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_dedup(df, limit=limit).collect())) == brute(rows, 85)
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, kept string, n long"
     assert near_dedup(spark.createDataFrame([], schema)).collect() == []

@@ -13,7 +13,8 @@ link takes a deviation of over six standard errors). For the other classes the f
 1 - threshold of its shingles in short lists must share one with any partner. What is left are classes made almost wholly of
 shingles that many share: a large family of near copies, or a passage with a few words around it. They are linked with the class
 of each long list that has the least of its own, and by the triangle inequality of the Jaccard distance only those stay in the list that could still link
-with a class not linked to it. After ``ROUNDS`` rounds all pairs that remain possible are verified, so no link is given up.
+with a class not linked to it, whether that one is linked to others or to none. After ``ROUNDS`` rounds all pairs that remain possible are
+verified, but for those that links join already, so no link between classes of one list is given up.
 """
 
 from __future__ import annotations
@@ -149,6 +150,12 @@ class _Linker:
             links = links.unionByName(more)
         return components(links)
 
+    def settled(self) -> DataFrame:
+        """The components of the links so far, which from now on stand for them."""
+        found = materialise(self.components())
+        self.links = [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        return found
+
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that meet in lists: a, b, shared (number of lists), with the sketch sizes and hot counts of both."""
@@ -180,29 +187,41 @@ def _split(lists: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 def _stars(rows: DataFrame, linker: _Linker, percent: int, rounds: int) -> None:
     """Link classes of long lists: rows (v, rep, n, own) of classes that no short list can settle; ``own`` counts shingles few others have.
 
-    The class of a list with the least of its own comes nearest to what the list has in common, so it links with most others. Classes linked to the same
-    centre need not meet. A linked class stays only while its distance to the centre leaves room for a link with a class not linked.
+    The class of a list with the least of its own comes nearest to what the list has in common, so it links with most others; a list whose classes
+    are all linked goes on with one of them while it holds classes not linked to each other. Classes with one label are linked in chains and need not
+    meet. A linked class stays only while its distance to the centre leaves room for a link with a class of another label or of none.
     """
     reach = 1 - percent / 100
     rows = rows.withColumn("label", F.lit(None).cast("long"))
     for _ in range(rounds):
-        centres = rows.filter("label is null").groupBy("v").agg(F.min(F.struct("own", "n", "rep")).alias("centre"))
-        rows = materialise(rows.join(centres, "v").select("v", "rep", "n", "own", "label", F.col("centre.rep").alias("c"), F.col("centre.n").alias("cn")))
+        centres = rows.groupBy("v").agg(F.min(F.struct(F.col("label").isNotNull().alias("linked"), "own", "n", "rep", "label")).alias("centre"))
+        centre = [F.col("centre.rep").alias("c"), F.col("centre.n").alias("cn"), F.coalesce("centre.label", "centre.rep").alias("name")]
+        rows = materialise(rows.join(centres, "v").select("v", "rep", "n", "own", "label", *centre))
         sizes = F.least("cn", "n") / F.greatest("cn", "n")  # the most that sizes allow; beyond twice the reach nothing linked to one can link to the other
-        near = materialise(rows.filter((F.col("rep") != F.col("c")) & (sizes >= 1 - 2 * reach)).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct())
+        apart = (F.col("rep") != F.col("c")) & ~F.col("label").eqNullSafe(F.col("name"))
+        near = materialise(rows.filter(apart & (sizes >= 1 - 2 * reach - 1e-9)).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct())
         if not near.limit(1).count():
             break
         met = linker.measured(near)
         linker.add(met)
         d = rows.join(met.select(F.col("a").alias("c"), F.col("b").alias("rep"), "common", "joint"), ["c", "rep"], "left")
-        d = d.withColumn("d", F.coalesce(1 - F.col("common") / F.col("joint"), 1 - sizes)).withColumn("linked", 100 * F.col("common") >= percent * F.col("joint"))
-        d = d.withColumn("label", F.when(F.col("label").isNull() & F.col("linked"), F.col("c")).otherwise(F.col("label"))).filter("rep <> c")
-        open_ = d.filter("label is null").groupBy("v").agg(F.min("d").alias("nearest"))  # a list without an open class is settled
-        rows = materialise(d.join(open_, "v").filter(F.col("label").isNull() | (F.col("nearest") - F.col("d") <= reach)).select("v", "rep", "n", "own", "label"))
-    # Classes that share no short list have at most the smaller of their common parts in common.
+        exact, linked = 1 - F.col("common") / F.col("joint"), F.coalesce(100 * F.col("common") >= percent * F.col("joint"), F.lit(False))
+        # A class not measured lies somewhere between what the sizes allow and 1.
+        d = materialise(d.withColumns({"low": F.coalesce(exact, 1 - sizes), "high": F.coalesce(exact, F.lit(1.0)), "linked": linked}).filter("rep <> c"))
+        through = d.groupBy("v").agg(F.collect_set(F.when(F.col("linked"), F.col("label"))).alias("through"))  # labels, at most one a round, that meet in the centre
+        label = F.when(F.col("linked") | F.array_contains("through", F.col("label")), F.col("name")).otherwise(F.col("label"))
+        d = d.join(through, "v").withColumn("label", label)
+        nearest = d.groupBy("v", "label").agg(F.min("low").alias("low")).groupBy("v").agg(F.collect_list(F.struct("low", "label")).alias("nearest"))
+        other = F.exists("nearest", lambda x: ~x["label"].eqNullSafe(F.col("label")) & (x["low"] - F.col("high") <= reach + 1e-9))
+        rows = materialise(d.join(nearest, "v").filter(F.col("label").isNull() | other).select("v", "rep", "n", "own", "label"))
+    rows = rows.select("v", "rep", "n", "own")
+    if not rows.limit(1).count():
+        return
+    # What links of any list join already need not meet. Classes that share no short list have at most the smaller of their common parts in common.
+    rows = materialise(rows.join(linker.settled().withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")))
     x = rows.select("v", F.col("rep").alias("a"), F.col("label").alias("la"), (F.col("n") - F.col("own")).alias("ha"), F.col("own").alias("oa"))
     y = rows.select("v", F.col("rep").alias("b"), F.col("label").alias("lb"), (F.col("n") - F.col("own")).alias("hb"), F.col("own").alias("ob"))
-    left = x.join(y, "v").filter(f"a < b and (la is null or lb is null or la <> lb) and 100 * least(ha, hb) >= {percent} * (greatest(ha, hb) + oa + ob)")
+    left = x.join(y, "v").filter(f"a < b and la <> lb and 100 * least(ha, hb) >= {percent} * (greatest(ha, hb) + oa + ob)")
     pairs = materialise(left.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
     if pairs.limit(1).count():
         linker.link(pairs)
