@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemill.llm.exact_dedup import keep_distinct
 from tidemill.llm.near_dedup import keep_one_each, near_dedup
 
 WORDS = [a + b for a in "ba de fi go lu mi na po ru sa".split() for b in "ban der fil gor lum mit nas por rut sal".split()]
@@ -94,3 +95,13 @@ def test_odd_tables(spark):
     assert found == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True), (5, 2, 5, True)], key=str)
     kept = keep_one_each(df)
     assert kept.columns == df.columns
+
+
+def test_rows_of_null_and_repeated_ids_stay_by_their_own_text(spark):
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    df = spark.createDataFrame([(None, a), (None, b), (5, a), (3, c), (3, d), (1, c), (6, None), (6, b + " y")], "doc_id long, text string")
+    stay = [(1, c), (3, d), (5, a), (6, None), (6, b + " y"), (None, b)]
+    assert sorted(map(tuple, keep_one_each(df).collect()), key=str) == sorted(stay, key=str)
+    df = spark.createDataFrame([(None, a), (None, b), (5, a.upper()), (3, c), (3, d), (7, c), (2, ""), (8, None), (2, "x")], "doc_id long, text string")
+    stay = [(None, b), (5, a.upper()), (3, d), (7, c), (8, None), (2, "x")]
+    assert sorted(map(tuple, keep_distinct(df).collect()), key=str) == sorted(stay, key=str)

@@ -30,6 +30,10 @@ def chunks_of(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(CHUNK), F.lit(0))
 
 
+def text_sha256(text: Column) -> Column:
+    return F.sha2(lowered(text).cast("binary"), 256)
+
+
 def verified(chunk: DataFrame, identifier=short_id) -> bool:
     """Whether no two different values of the one column of ``chunk`` share an identifier."""
     name = chunk.columns[0]
@@ -43,7 +47,7 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     identifier = short_id if verified(docs.select(F.explode(chunks_of(F.col("text"))).alias("chunk"))) else long_id
     return materialise(docs.select(
         "doc_id", F.transform(chunks_of(F.col("text")), identifier).alias("recipe"),
-        F.sha2(lowered(F.col("text")).cast("binary"), 256).alias("text_sha256")))
+        text_sha256(F.col("text")).alias("text_sha256")))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,6 +66,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text stays, all columns; of rows that repeat an id and a text one stays."""
-    rows = without(docs, exact_dedup(docs, doc_id, text).filter("not kept").select("doc_id"), doc_id)
+    decided = exact_dedup(docs, doc_id, text).select("doc_id", F.col("text_sha256").alias("sign"), "kept")
+    rows = without(docs, decided, doc_id, text_sha256(F.col(text)))
     repeated = docs.groupBy(doc_id).count().filter("count > 1").limit(1).count() > 0
     return rows.dropDuplicates([doc_id, text]) if repeated else rows

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
@@ -74,8 +74,8 @@ def _sketches(size: int, kept: int):
                 sketches.append(_signed(values[:kept]))
             ends = np.cumsum([0, *map(len, sketches)])
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(signs, pa.binary()), sketch],
-                                             names=["doc_id", "n", "sign", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(signs, pa.binary()), sketch, *batch.columns[2:]],
+                                             names=["doc_id", "n", "sign", "sketch", *batch.schema.names[2:]])
     return run
 
 
@@ -235,8 +235,15 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     with nothing, not even each other. Rows that repeat an id repeat its result. Null ids are rows of their own: they join the
     class of their set, and are kept only where no id is. An empty table gives an empty table; other columns are not read.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs_sets = materialise(source.mapInArrow(_sketches(size, sketch), "doc_id long, n long, sign binary, sketch array<long>"))
+    return _decided(docs, doc_id, text, percent, size, sketch, limit, rounds).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, percent: int, size: int = SHINGLE, sketch: int = SKETCH, limit: int = LIST, rounds: int = ROUNDS,
+             **beside: Column) -> DataFrame:
+    """The rows of ``near_dedup`` with string columns of ``docs`` beside them."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(c.alias(name) for name, c in beside.items()))
+    schema = ", ".join(["doc_id long, n long, sign binary, sketch array<long>", *(f"{name} string" for name in beside)])
+    docs_sets = materialise(source.mapInArrow(_sketches(size, sketch), schema))
     classes = materialise(docs_sets.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                                                         F.first("sketch").alias("sketch")))
     linker = _Linker(source, percent, size)
@@ -252,13 +259,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
         last = materialise(wide.filter(f"100 * hot >= {percent} * n").select("rep", (F.col("n") - F.col("hot")).alias("own")).distinct())
         if last.limit(1).count():
             _stars(materialise(long.filter(F.col("place") < PROBES).join(last, "rep").select("v", "rep", "n", "own")), linker, percent, rounds)
-    found = docs_sets.select("doc_id", "n", "sign").join(classes.select("sign", "rep"), "sign", "left")
+    found = docs_sets.select("doc_id", "n", "sign", *beside).join(classes.select("sign", "rep"), "sign", "left")
     found = found.join(linker.components().withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), *beside)
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose document stays, all columns."""
-    return without(docs, near_dedup(docs, doc_id, text, percent).filter("not kept").select("doc_id"), doc_id)
+    same = F.sha2(F.col(text).cast("binary"), 256)  # equal texts have equal sets, so the text tells the rows of an id apart as well as its set does
+    return without(docs, _decided(docs, doc_id, text, percent, text_sha256=same).select("doc_id", F.col("text_sha256").alias("sign"), "kept"), doc_id, same)

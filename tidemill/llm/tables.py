@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import MAX_BROADCAST_ROWS, materialise
 
 
-def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id (null like any other) is not in the one column of ``ids``; all columns.
+def without(docs: DataFrame, decided: DataFrame, doc_id: str, sign: Column) -> DataFrame:
+    """The rows of ``docs`` not decided against; all columns. ``decided`` has one row (doc_id, sign, kept) per row of ``docs``.
 
-    Up to ``MAX_BROADCAST_ROWS`` ids, one number each, are broadcast; more are joined by a shuffle.
+    Rows of an id (null like any other) that is never kept go by the id alone: up to ``MAX_BROADCAST_ROWS`` ids, one number each, are broadcast;
+    more are joined by a shuffle. Where an id has rows of both kinds, ``sign``, an expression over ``docs``, tells which of its rows go.
     """
-    ids = materialise(ids.toDF("_dropped_id").distinct())
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
-    return docs.join(side, docs[doc_id].eqNullSafe(F.col("_dropped_id")), "left_anti")
+    ids = materialise(decided.groupBy(F.col("doc_id").alias("_dropped_id")).agg(F.bool_or("kept").alias("_some"), F.bool_and("kept").alias("_all")).filter("not _all"))
+    gone = ids.filter("not _some").select("_dropped_id")
+    side = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
+    rows = docs.join(side, docs[doc_id].eqNullSafe(F.col("_dropped_id")), "left_anti")
+    mixed = ids.filter("_some").select("_dropped_id")
+    if not mixed.limit(1).count():
+        return rows
+    pairs = decided.filter("not kept").select("doc_id", F.col("sign").alias("_dropped_sign")).distinct()
+    pairs = pairs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_dropped_id")), "left_semi").withColumnRenamed("doc_id", "_dropped_id")
+    return rows.join(pairs, rows[doc_id].eqNullSafe(F.col("_dropped_id")) & sign.eqNullSafe(F.col("_dropped_sign")), "left_anti")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
