@@ -105,6 +105,25 @@ def test_decontamination_recall(spark, odd, none):
     assert decontaminate.keep_clean(odd, benchmark).count() == len(ODD) and decontaminate.find_items(docs, benchmark.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("length", range(3, 16))
+def test_decontamination_finds_short_items_by_any_edits(length):
+    pick = random.Random(length)
+    vocabulary = ["".join(pick.choice("abcdefghij") for _ in range(4)) for _ in range(2000)]
+    items = [[pick.choice(vocabulary) for _ in range(length)] for _ in range(40)]
+    index = decontaminate.build_index(list(range(40)), [" ".join(x) for x in items])
+    rows, truth = [], []
+    for i, item in enumerate(items):
+        for first in range(length):
+            words = list(item)
+            for place in [first, *pick.sample(range(length), int(0.2 * length))][:int(0.2 * length)]:
+                place = min(place, len(words) - 1)
+                words[place:place + 1] = pick.choice([["zzz"], [], ["zzz", words[place]]])
+            rows.append(" ".join([pick.choice(vocabulary) for _ in range(first % 3)] + words + [pick.choice(vocabulary) for _ in range(i % 3)]))
+            truth.append(i)
+    found = {(r[0], r[1]) for r in decontaminate._found(index, pa.array(rows), 0.2)}
+    assert sum((k, i) in found for k, i in enumerate(truth)) >= (1 if length < 15 else 0.99) * len(truth)
+
+
 def test_lattice_sums_all_segmentations():
     with open(lm.VOCABULARY, "rb") as file:
         lattice = lm.Lattice(file.read(), {300: 50, 1000: 20}, 3)

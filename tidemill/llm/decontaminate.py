@@ -4,7 +4,8 @@ Texts are sequences of words (runs of letters and digits, lower case). The CGK r
 head at each step and moves on by a random bit of (repetition, step, word); two sequences at small edit distance
 come back into step, so their walks have a small Hamming distance. A repetition starts its walk at some offset of each item-sized
 window and samples ``SAMPLED`` of the walk's first ``STEPS`` outputs; windows that agree on all samples with an item are
-candidates. Each candidate is verified by the exact edit distance of the item to the best stretch of the window.
+candidates. Items under ``SHORT`` words have too few starts for that: they are cut into one piece more than the edits allowed, so that one piece stands
+unchanged in every copy, and windows that hold a piece are candidates. A piece is a walk that moves at each step. Each candidate is verified by the exact edit distance of the item to the best stretch of the window.
 
 The walk of a document's windows is followed lazily: a start whose first samples fit no item is dropped there, which finds
 the same candidates as whole keys would. Items are the query set: blocks of ``BLOCK`` go to the tasks as one broadcast of bounded size each.
@@ -25,6 +26,7 @@ from tidemill.llm.text import chunks, hash_spans, mix, spans_of
 REPETITIONS = 24
 STEPS = 8
 SAMPLED = 4
+SHORT = 15
 BLOCK = 1000
 EDITS = 0.2
 TRIES, OFTEN = 6, 4   # random offsets to choose a start from, and how often one offset is preferred
@@ -65,7 +67,13 @@ def _key(key, word):
         return mix(key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) + np.uint64(1))
 
 
-def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETITIONS, seed: int = 11) -> Index:
+def _cuts(words: int, edits: float) -> list[int]:
+    """The ends of an item's pieces, one more than the edits allowed."""
+    pieces = min(int(edits * words) + 1, words)
+    return [words * k // pieces for k in range(pieces + 1)]
+
+
+def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETITIONS, seed: int = 11, edits: float = EDITS) -> Index:
     hashes = []
     for _, _, data, offsets in chunks(_lower(pa.array(texts, pa.string()))):
         found, first = _word_hashes(data, offsets)
@@ -75,17 +83,28 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
     spread = np.bincount(np.concatenate([np.unique(i) for i in items]) if items else [], minlength=len(vocabulary) + 1)
     random = np.random.default_rng(seed)
     words = len(vocabulary) + 1
-    moves = random.integers(0, 256, (repetitions, words), dtype=np.uint8)
+    cuts = [_cuts(len(item), edits) if 0 < len(item) < SHORT else [] for item in items]
+    pieces = max((len(c) - 1 for c in cuts if c), default=0)
+    moves = np.concatenate([random.integers(0, 256, (repetitions, words), dtype=np.uint8), np.full((pieces, words), 255, np.uint8)])
     samples, prefixes, owners = [], [], []
     used = [np.zeros(len(item), dtype=np.int64) for item in items]
     starts = np.zeros(words, dtype=np.uint64)
-    for r in range(repetitions):
-        steps = [0, *sorted(random.choice(np.arange(1, STEPS), SAMPLED - 1, replace=False).tolist())]
+    for r in range(repetitions + pieces):
+        steps = list(range(STEPS)) if r >= repetitions else [0, *sorted(random.choice(np.arange(1, STEPS), SAMPLED - 1, replace=False).tolist())]
         samples.append(steps)
         levels: list[list[int]] = [[] for _ in steps]
         full: list[tuple[int, int, int]] = []
         for number, item in enumerate(items):
-            if not len(item):
+            if not len(item) or (len(item) < SHORT) != (r >= repetitions) or (r >= repetitions and r - repetitions >= len(cuts[number]) - 1):
+                continue
+            if r >= repetitions:
+                offset, end = cuts[number][r - repetitions:r - repetitions + 2]
+                key = np.zeros(1, np.uint64)
+                for step, word in enumerate(item[offset:min(end, offset + STEPS)]):
+                    key = _key(key, word[None])
+                    levels[step].append(int(key[0]))
+                starts[item[offset]] |= np.uint64(1) << np.uint64(r)
+                full.append((int(key[0]), number, offset))
                 continue
             # Of some random offsets the one whose word the fewest items have, but none too often: fewer starts to follow, the same windows.
             tries = random.integers(0, max(1, len(item) - STEPS + 1), TRIES)
@@ -243,7 +262,8 @@ def _search(index, edits: float):
     return run
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", repetitions: int = REPETITIONS):
+def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", repetitions: int = REPETITIONS,
+            edits: float = EDITS):
     """One broadcast index for each block of items, in order of their ids; items without an id are left out."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null").orderBy("id", "text")
@@ -251,10 +271,10 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "te
     for row in items.toLocalIterator():
         block.append(row)
         if len(block) == BLOCK:
-            yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions))
+            yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions, edits=edits))
             block = []
     if block:
-        yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions))
+        yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions, edits=edits))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -267,7 +287,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for index in indexes(benchmark, item_id, item_text, repetitions):
+    for index in indexes(benchmark, item_id, item_text, repetitions, edits):
         found = found.unionByName(source.mapInArrow(_search(index, edits), SCHEMA))
     return found
 
@@ -282,6 +302,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 keep[[r[0] for r in _found(index.value, batch.column(text), edits)]] = False
                 yield batch.filter(pa.array(keep))
         return clean
-    for index in indexes(benchmark, item_id, item_text, repetitions):
+    for index in indexes(benchmark, item_id, item_text, repetitions, edits):
         docs = docs.mapInArrow(run(index), docs.schema)
     return docs
