@@ -124,6 +124,14 @@ def test_decontamination_finds_short_items_by_any_edits(length):
     assert sum((k, i) in found for k, i in enumerate(truth)) >= (1 if length < 15 else 0.99) * len(truth)
 
 
+def test_mixing_hands_on_what_leaves_without_weight_leave(spark):
+    rows = [("a", "x", 100), ("a", None, 10_000), ("b", "x", 1000), ("b", "y", 1000), ("c", None, 5000)]
+    leaves = spark.createDataFrame(rows, "d string, s string, tokens long")
+    weights = {"d": F.lit(1), "s": F.length(F.coalesce("s", F.lit("")))}
+    found = {(r["d"], r["s"]): r["leaf_budget"] for r in mixing.budgets(leaves, ["d", "s"], weights, 2000, 2).collect()}
+    assert found == {("a", "x"): 200, ("a", None): 0, ("b", "x"): 900, ("b", "y"): 900, ("c", None): 0}
+
+
 def test_lattice_sums_all_segmentations():
     with open(lm.VOCABULARY, "rb") as file:
         lattice = lm.Lattice(file.read(), {300: 50, 1000: 20}, 3)

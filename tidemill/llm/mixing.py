@@ -2,7 +2,7 @@
 
 Weights stand on a tree (by default domain, language, source). A token budget flows down from the root: the
 children of a node get shares in proportion to their weights, none more than its leaves can give
-(their tokens times ``max_epochs``). What a child cannot take goes to its siblings first; only what all
+(their tokens times ``max_epochs``; leaves whose weight, or that of a node above, is 0 or null give nothing). What a child cannot take goes to its siblings first; only what all
 of them together cannot take has already been given to the node's own siblings. All of this runs on
 the table of leaves, in whole numbers.
 
@@ -61,10 +61,14 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], bu
     top = materialise(leaves.groupBy(*levels).agg(F.sum("tokens").cast("long").alias("tokens")))
     total = top.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")).first()[0]
     budget = budget(total) if callable(budget) else budget
+    open_ = F.lit(True)
+    for level in levels:
+        open_ = open_ & (F.coalesce(weights[level].cast("long"), F.lit(0)) > 0)
+    top = materialise(top.withColumn("_usable", F.when(open_, F.col("tokens")).otherwise(0)))
     given = None
     for depth in range(len(levels)):
         path = levels[:depth + 1]
-        nodes = top.groupBy(*path).agg((F.sum("tokens") * max_epochs).cast("long").alias("capacity"))
+        nodes = top.groupBy(*path).agg((F.sum("_usable") * max_epochs).cast("long").alias("capacity"))
         nodes = nodes.withColumn("weight", weights[levels[depth]])
         if given is None:
             nodes = nodes.withColumns({"budget": F.lit(int(budget)).cast("long"), "_root": F.lit(0)})
@@ -72,7 +76,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], bu
         else:
             nodes = on_levels(nodes, given.withColumnRenamed("share", "budget"), levels[:depth])
             given = shares(nodes, levels[:depth], levels[depth]).select(*path, "share")
-    return on_levels(top, given.withColumnRenamed("share", "leaf_budget"), levels)
+    return on_levels(top.drop("_usable"), given.withColumnRenamed("share", "leaf_budget"), levels)
 
 
 def mix(docs: DataFrame, levels: list[str], weights: dict[str, Column], budget, max_epochs: int = 4, seed: int = 7,
