@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, exact_dedup, langid, lm, mixing, near_dedup, pii, quality, text, toxicity, warc
+from tidemill.llm import alignment, decontaminate, exact_dedup, langid, lm, mixing, near_dedup, pii, quality, spelling, text, token_file, toxicity, warc
 from tidemill.session import table
 
 LEVELS = ["domain", "lang", "source"]
@@ -146,6 +146,43 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (text.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
+# crc32 by its table of 256 remainders, each from eight steps of the polynomial; near words by equal remainders after one deleted code point.
+OP11_SQL = rf"""
+with recursive steps as (select i, i::bigint r, 0 k from range(256) t(i)
+  union all select i, case when r % 2 = 1 then xor(r >> 1, 3988292384) else r >> 1 end, k + 1 from steps where k < 8),
+remainders as (select list(r order by i) t from steps where k = 8),
+runs as (select coalesce(doc_id::varchar, '') id, translate(unnest(regexp_extract_all(text, '{spelling.LETTERS}+')), '{text.UPPER}', '{text.LOWER}') run from documents),
+seen as (select id, run, count(*) n from runs group by all),
+keyed as (select *, id || ':' || run as key, hex(encode(id || ':' || run)) as bytes from seen),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(len(bytes) // 2), lambda i: ('0x' || substr(bytes, (2 * i + 1)::int, 2))::bigint)),
+    lambda h, b: xor(h >> 8, t[xor(h % 256, b) + 1])), 4294967295) h from keyed, remainders),
+words as (select case when h % {spelling.CUT} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, sum(n)::bigint n
+  from hashed group by 1 having length(word) >= {spelling.SHORTEST} and sum(n) >= {spelling.LEAST}),
+less as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) rest from (select *, unnest(range(length(word))) i from words)),
+pairs as (select a.word, b.word near, b.n near_n from less a join less b on a.rest = b.rest and a.i = b.i and length(a.word) = length(b.word) and a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (select word, count(*) n_near, min((-near_n, near)) first from pairs group by 1),
+formed as (select w.word, w.n, coalesce(n_near, 0)::bigint n_near, case when -first[1] >= {spelling.TIMES} * w.n then first[2] end form,
+    case when -first[1] >= {spelling.TIMES} * w.n then -first[1] end form_n from words w left join best b on w.word = b.word),
+chains as (select word, word at_ from formed union all select c.word, f.form from chains c join formed f on c.at_ = f.word where f.form is not null),
+roots as (select c.word, c.at_ root from chains c join formed f on c.at_ = f.word where f.form is null)
+select f.word, form, root, n, n_near, form_n::bigint form_n from formed f join roots r on f.word = r.word"""
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
+def op13_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file.read_documents(token_file.write_tokens(table(spark, folder, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_decontamination, op5_near_dedup, op6_pii, op7_exact_dedup, op8_lm_scores,
-                                   op9_language_id, op10_quality)}
-ORACLE = {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+                                   op9_language_id, op10_quality, op11_spelling, op12_alignment, op13_token_file)}
+ORACLE = {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op11_spelling": OP11_SQL}
