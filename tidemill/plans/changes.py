@@ -1,5 +1,7 @@
 """As-of reads, rewrites, upserts, slowly changing dimensions and merges."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates
@@ -7,6 +9,8 @@ from tidemill.operators import merge as m
 from tidemill.operators import relational, scd
 from tidemill.operators.ordered import latest
 from tidemill.plans.registry import query
+from tidemill.session import shared_folder
+from tidemill.sources import redo, writers
 
 
 def order_changes(t):
@@ -46,6 +50,19 @@ def replace_where(t):
     return m.replace_where(rows, late, new.where(late)).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
+@query("snk_07_replace_matching_path", """
+SELECT l_orderkey, l_linenumber, CAST(l_quantity * CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS DOUBLE) AS l_quantity, l_returnflag FROM lineitem
+WHERE l_returnflag <> 'R' OR l_linestatus = 'F'""")
+def replace_matching_path(t):
+    path = f"{shared_folder(t.spark).rstrip('/')}/replaced-{uuid.uuid4().hex}"
+    writers.replace_partitions(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_returnflag"), path, ["l_returnflag"])
+    returned = F.col("l_returnflag") == "R"
+    new = redo.read_table(t.spark, path).where(returned & (F.col("l_linestatus") == "F")).withColumn("l_quantity", F.col("l_quantity") * 2)
+    for _ in range(2):  # the second run finds the named change done
+        writers.replace_matching(t.spark, path, returned, new, ["l_returnflag"], name="returned")
+    return redo.read_table(t.spark, path).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
 @query("snk_10_append_evolving", """
 SELECT c_custkey AS k, c_name AS name, -1.0::DOUBLE AS acctbal FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 1""")
@@ -291,6 +308,24 @@ def merge_clauses(t):
                              F.col("s.c_name").isNotNull())])
 
 
+@query("mrg_01_merge_into_path", "WITH " + _BATCH + """
+SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_mktsegment, c.c_mktsegment) AS c_mktsegment,
+ CAST(CASE WHEN c.c_custkey IS NULL THEN -1 WHEN b.c_custkey IS NOT NULL AND c.c_acctbal > 5000 THEN (c.c_nationkey + 1) % 25 ELSE c.c_nationkey END AS INTEGER) AS c_nationkey
+FROM customer c FULL JOIN batch b ON c.c_custkey = b.c_custkey
+WHERE (b.c_custkey IS NULL OR c.c_custkey IS NULL OR c.c_acctbal >= 0) AND (c.c_custkey IS NOT NULL OR b.c_name IS NOT NULL)""")
+def merge_into_path(t):
+    """Rows are deleted, changed in place, moved to another partition and added to a new one; run twice under one name."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/merged-{uuid.uuid4().hex}"
+    stored = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal", F.col("c_nationkey").cast("int"))
+    writers.replace_partitions(stored, path, ["c_nationkey"])
+    moved = F.when(F.col("t.c_acctbal") > 5000, (F.col("t.c_nationkey") + 1) % 25).otherwise(F.col("t.c_nationkey"))
+    matched = [m.delete(F.col("t.c_acctbal") < 0), m.update({"c_mktsegment": F.col("s.c_mktsegment"), "c_nationkey": moved})]
+    added = m.insert({"c_custkey": F.col("s.c_custkey"), "c_mktsegment": F.col("s.c_mktsegment"), "c_nationkey": F.lit(-1)}, F.col("s.c_name").isNotNull())
+    for _ in range(2):
+        writers.merge_into_path(t.spark, path, customer_batch(t), ["c_custkey"], ["c_nationkey"], matched, [added], name="customers")
+    return redo.read_table(t.spark, path).select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
 @query("mrg_02_guarded_changes", """
 WITH st AS (SELECT user_id AS k, ts AS s, event_type AS v FROM events WHERE ts < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 src AS (SELECT user_id AS k, ts AS s, event_type AS v, CASE WHEN event_type = 'error' THEN 'Delete' ELSE 'Insert' END AS crud FROM events WHERE ts >= TIMESTAMP '2024-01-19' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.merge import Clause, check_unique, merge
 from tidemill.operators.ordered import same_keys
 from tidemill.session import MAX_BROADCAST_ROWS, file_status, materialise, setting
+from tidemill.sources import redo
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
@@ -57,37 +58,41 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
 
 
-def drop_emptied(spark: SparkSession, old: DataFrame, new: DataFrame, partition_by: list[str]) -> None:
-    """Delete the partition folders that rows of ``old``, read from files, lie in and that ``new`` has no row for.
+def files_of(rows: DataFrame) -> DataFrame:
+    """The files that rows read from a stored table lie in."""
+    return rows.select(F.col("_metadata.file_path").alias("file")).distinct()
 
-    Only names of folders to delete reach the driver. Call it before ``new`` is written."""
-    there = old.select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")).distinct()
-    filled = new.select(*(F.col(c).alias(f"_n_{c}") for c in partition_by)).distinct()
-    stale = there.join(filled, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in partition_by], "left_anti")
-    for row in stale.select("_folder").distinct().collect():
-        gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["_folder"]))
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
-
-def replace_matching(spark: SparkSession, path: str, predicate: Column, new: DataFrame, partition_by: list[str]) -> None:
+def replace_matching(spark: SparkSession, path: str, predicate: Column, new: DataFrame, partition_by: list[str], name: str | None = None) -> None:
     """Replace whole partitions holding rows that match the predicate by the new rows, which must match it too.
 
-    Matching partitions that get no new row are deleted."""
+    Matching partitions that get no new row are deleted. The change goes through a redo record: cut off at any point, it is made in whole or not at all, and a
+    change that has a ``name`` is made once however often it is run."""
+    name = redo.begin(spark, path, name)
+    if name is None:
+        return
     new = materialise(new)  # it may be read from the partitions it replaces
     if not new.where(~F.coalesce(predicate, F.lit(False))).isEmpty():
         raise ValueError("some new rows do not match the predicate")
-    drop_emptied(spark, spark.read.parquet(path).where(predicate), new, partition_by)
-    replace_partitions(new, path, partition_by)
+    stored = spark.read.parquet(path)
+    hit = stored.where(predicate).select(*[F.col(c).alias("_t_" + c) for c in partition_by]).distinct()
+    filled = new.select(*[F.col(c).alias("_t_" + c) for c in partition_by]).distinct()
+    old = stored.select(*partition_by, "_metadata").join(hit.union(filled).distinct(), same_keys(partition_by, "_t_"), "left_semi")
+    redo.change(spark, path, name, new, files_of(old), partition_by)
 
 
 def merge_into_path(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_by: list[str],
-                    matched: list[Clause] = (), not_matched: list[Clause] = ()) -> None:
+                    matched: list[Clause] = (), not_matched: list[Clause] = (), name: str | None = None) -> None:
     """Merge into a stored, partitioned table, rewriting only partitions that hold a matched key.
 
     Stored keys and partition columns are scanned once to find those partitions, then these alone are read. Rows that are
-    new in any other partition, or move to it, are appended there as files of their own. What is written lies in the shared
-    folder first; the writes themselves follow one another, so run the merge again if it was cut off."""
+    new in any other partition, or move to it, are added there as files of their own. The change goes through a redo record: cut off before the record,
+    nothing has changed; after it, the next ``redo.read_table`` or writer finishes it. A merge that has a ``name`` is made once however often it is run; without
+    one, a second run merges into what the first left."""
     check_unique(source, keys)
+    name = redo.begin(spark, path, name)
+    if name is None:
+        return
     source = materialise(source)
     stored = spark.read.parquet(path)
     hit = stored.join(source.select(*keys), keys, "left_semi").select(*partition_by).distinct()
@@ -95,12 +100,8 @@ def merge_into_path(spark: SparkSession, path: str, source: DataFrame, keys: lis
     in_touched = same_keys(partition_by, "_t_")
     side = F.broadcast(touched) if touched.count() <= setting(spark, "maxBroadcastRows", MAX_BROADCAST_ROWS) else touched
     old = stored.join(side, in_touched, "left_semi")
-    merged = materialise(merge(old, source, keys, matched, not_matched, check=False))
-    if not touched.isEmpty():
-        rewritten = merged.join(side, in_touched, "left_semi")
-        drop_emptied(spark, stored.select(*partition_by, "_metadata").join(side, in_touched, "left_semi"), rewritten, partition_by)
-        replace_partitions(rewritten, path, partition_by)
-    merged.join(side, in_touched, "left_anti").write.mode("append").partitionBy(*partition_by).parquet(path)
+    dropped = files_of(stored.select(*partition_by, "_metadata").join(side, in_touched, "left_semi"))
+    redo.change(spark, path, name, merge(old, source, keys, matched, not_matched, check=False), dropped, partition_by)
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,

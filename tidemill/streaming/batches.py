@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import holding
+from tidemill.operators.ordered import same_keys
 from tidemill.session import file_status, materialise, subfolders
-from tidemill.sources.writers import drop_emptied, replace_partitions
+from tidemill.sources import redo
+from tidemill.sources.writers import files_of, replace_partitions
 from tidemill.streaming.sinks import into_batch_partition
 
 
@@ -117,14 +119,18 @@ def drop_old_states(spark: SparkSession, path: str, keep: int = 10) -> None:
 def recompute_affected(source: Callable[[SparkSession], DataFrame], keys: list[str],
                        compute: Callable[[DataFrame], DataFrame], path: str) -> Callable:
     """Triggered job: recompute only the key values named in the trigger batch and replace their partitions. The
-    partition of a named value for which nothing is computed any more is deleted."""
+    partition of a named value for which nothing is computed any more is deleted. A table that is there changes through a redo record."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, named = batch.sparkSession, batch.select(*keys).distinct()
-        computed = materialise(compute(source(spark).join(named, keys, "left_semi")))
-        if file_status(spark, path) is not None:
-            stored = spark.read.parquet(path).select(*keys, "_metadata")
-            drop_emptied(spark, stored.join(named, keys, "left_semi"), computed, keys)
-        replace_partitions(computed, path, keys)
+        computed = compute(source(spark).join(named, keys, "left_semi"))
+        if file_status(spark, path) is None:
+            replace_partitions(computed, path, keys)
+            return
+        name = redo.begin(spark, path, None)
+        computed = materialise(computed)
+        gone = named.unionByName(computed.select(*keys)).select(*[F.col(k).alias("_t_" + k) for k in keys]).distinct()
+        stored = spark.read.parquet(path).select(*keys, "_metadata").join(gone, same_keys(keys, "_t_"), "left_semi")
+        redo.change(spark, path, name, computed, files_of(stored), keys)
     return write
 
 
