@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections import Counter
 from itertools import chain
 
@@ -61,24 +62,35 @@ class Aligner:
 
     def __init__(self, a: Vocabulary, b: Vocabulary, most: int = REMEMBERED):
         self.a, self.b, self.most, self.kept = a, b, most, {}
+        self.sizes_a, self.sizes_b = a.sizes.tolist(), b.sizes.tolist()
 
     def window(self, x: bytes, y: bytes) -> tuple[str, int, tuple[int, ...]]:
         """The groups of a window as text, their number, and its links (a id times 2**32 plus b id); ids come as 32-bit numbers."""
         found = self.kept.get((x, y))
         if found is None:
-            found = self.align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
+            found = self.align(array("I", x).tolist(), array("I", y).tolist())
             if len(x) + len(y) <= 4 * LONGEST:
                 if len(self.kept) >= self.most:
                     self.kept.clear()
                 self.kept[x, y] = found
         return found
 
-    def align(self, x: np.ndarray, y: np.ndarray) -> tuple[str, int, tuple[int, ...]]:
-        _, i, j = np.intersect1d(np.cumsum(self.a.sizes[x]), np.cumsum(self.b.sizes[y]), assume_unique=True, return_indices=True)
-        i, j, left, right = i.tolist(), j.tolist(), x.tolist(), y.tolist()
-        groups = [",".join(map(str, left[p:q + 1])) + "|" + ",".join(map(str, right[r:s + 1]))
-                  for p, q, r, s in zip([0, *(k + 1 for k in i[:-1])], i, [0, *(k + 1 for k in j[:-1])], j, strict=True)]
-        return ";".join(groups), len(groups), tuple(left[p] << 32 | right[q] for p, q in zip(i, j, strict=True))
+    def align(self, x: list[int], y: list[int]) -> tuple[str, int, tuple[int, ...]]:
+        """Walk both runs of ids, the shorter one by bytes first; where their ends meet a group is cut."""
+        groups, links, sizes_a, sizes_b = [], [], self.sizes_a, self.sizes_b
+        low_a = low_b = at_a = at_b = i = j = 0
+        while i < len(x) or j < len(y):
+            if j == len(y) or (i < len(x) and at_a <= at_b):
+                at_a += sizes_a[x[i]]
+                i += 1
+            else:
+                at_b += sizes_b[y[j]]
+                j += 1
+            if at_a == at_b:
+                groups.append(",".join(map(str, x[low_a:i])) + "|" + ",".join(map(str, y[low_b:j])))
+                links.append(x[i - 1] << 32 | y[j - 1])
+                low_a, low_b = i, j
+        return ";".join(groups), len(groups), tuple(links)
 
 
 def spelled(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
