@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from array import array
 from collections import Counter
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,39 +57,52 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
 
 
 class Aligner:
-    """Alignment of windows by the sizes of their tokens, remembered by token ids."""
+    """Alignment of windows by the sizes of their tokens, remembered by token ids.
+
+    A window is a pair of runs of 32-bit ids; its alignment the text of its groups and its links (64-bit numbers: a id times 2**32 plus b id)."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, most: int = REMEMBERED):
         self.a, self.b, self.most, self.kept = a, b, most, {}
-        self.sizes_a, self.sizes_b = a.sizes.tolist(), b.sizes.tolist()
-
-    def window(self, x: bytes, y: bytes) -> tuple[str, int, tuple[int, ...]]:
-        """The groups of a window as text, their number, and its links (a id times 2**32 plus b id); ids come as 32-bit numbers."""
-        found = self.kept.get((x, y))
-        if found is None:
-            found = self.align(array("I", x).tolist(), array("I", y).tolist())
-            if len(x) + len(y) <= 4 * LONGEST:
-                if len(self.kept) >= self.most:
-                    self.kept.clear()
-                self.kept[x, y] = found
+        self.numbers = Vocabulary([b"%d;" % i for i in range(max(len(a.sizes), len(b.sizes)))])
+
+    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """The alignment of each window; those not remembered are worked out once each, all together."""
+        if len(self.kept) >= self.most:
+            self.kept.clear()
+        found = list(map(self.kept.get, keys))
+        new = list(dict.fromkeys(k for k, f in zip(keys, found, strict=True) if f is None))
+        if new:
+            fresh = dict(zip(new, self.align(new), strict=True))
+            found = [fresh[k] if f is None else f for k, f in zip(keys, found, strict=True)]
+            room = self.most - len(self.kept)
+            self.kept.update(islice(((k, f) for k, f in fresh.items() if len(k[0]) + len(k[1]) <= 4 * LONGEST), room))
         return found
 
-    def align(self, x: list[int], y: list[int]) -> tuple[str, int, tuple[int, ...]]:
-        """Walk both runs of ids, the shorter one by bytes first; where their ends meet a group is cut."""
-        groups, links, sizes_a, sizes_b = [], [], self.sizes_a, self.sizes_b
-        low_a = low_b = at_a = at_b = i = j = 0
-        while i < len(x) or j < len(y):
-            if j == len(y) or (i < len(x) and at_a <= at_b):
-                at_a += sizes_a[x[i]]
-                i += 1
-            else:
-                at_b += sizes_b[y[j]]
-                j += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, x[low_a:i])) + "|" + ",".join(map(str, y[low_b:j])))
-                links.append(x[i - 1] << 32 | y[j - 1])
-                low_a, low_b = i, j
-        return ";".join(groups), len(groups), tuple(links)
+    def align(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """Groups end where tokens of both end; windows lie one after another, each as many bytes long in A as in B."""
+        x, y = (np.frombuffer(b"".join([k[i] for k in keys]), np.uint32) for i in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a.sizes[x]), np.cumsum(self.b.sizes[y])
+        mark = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        mark[ends_a] = 1
+        mark[ends_b] += 2
+        shared = np.flatnonzero(mark == 3)
+        last_a, last_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        # Ids in the order of the text: of each group those of A, then those of B; a sign after each.
+        place_a = np.arange(len(x)) + np.append(0, last_b + 1)[group_a]
+        place_b = np.arange(len(y)) + (last_a + 1)[group_b]
+        ids, sign = np.empty(len(x) + len(y), np.int64), np.full(len(x) + len(y), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = x, y
+        sign[place_a[last_a]], sign[place_b[last_b]] = ord("|"), ord(";")
+        text = self.numbers.spell(ids)
+        after = np.cumsum(self.numbers.sizes[ids])
+        text[after - 1] = sign
+        links = (x[last_a].astype(np.int64) << 32 | y[last_b]).tobytes()
+        # Where the windows end, in groups and in the text.
+        closed = np.searchsorted(last_a, np.cumsum([len(k[0]) // 4 for k in keys]) - 1)
+        cuts, groups = after[place_b[last_b[closed]]].tolist(), (8 * (closed + 1)).tolist()
+        text = text.tobytes()
+        return [(text[p:q - 1], links[r:s]) for p, q, r, s in zip([0, *cuts[:-1]], cuts, [0, *groups[:-1]], groups, strict=True)]
 
 
 def spelled(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -106,8 +118,7 @@ def spelled(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, data: np
 
 def _rows(data, offsets, a, b, aligner):
     """n_a, n_b, n_groups, groups_sha256, links (pairs and how often) of each row of bytes, a space before each text."""
-    ia, fa = tokens.encode_rows(a.memo, data, offsets)
-    ib, fb = tokens.encode_rows(b.memo, data, offsets)
+    (ia, fa), (ib, fb) = tokens.encode_rows([a.memo, b.memo], data, offsets)
     same = spelled(aligner.a, ia, fa, data, offsets) & spelled(aligner.b, ib, fb, data, offsets) & (np.diff(offsets) > 0)
     ia, ib = ia[np.repeat(same, np.diff(fa))], ib[np.repeat(same, np.diff(fb))]
     na, nb = np.diff(fa) * same, np.diff(fb) * same
@@ -121,18 +132,19 @@ def _rows(data, offsets, a, b, aligner):
     anchors = np.flatnonzero(mark[:-1] == 3)
     wa, wb = ((4 * np.append(np.searchsorted(at, anchors), len(at))).tolist() for at in (at_a, at_b))
     xa, xb = (np.ascontiguousarray(i, np.uint32).tobytes() for i in (ia, ib))
-    look, kept = aligner.window, aligner.kept
-    found = [kept.get(key := (xa[p:q], xb[r:s])) or look(*key) for p, q, r, s in zip(wa[:-1], wa[1:], wb[:-1], wb[1:], strict=True)]
+    found = aligner.windows([(xa[p:q], xb[r:s]) for p, q, r, s in zip(wa[:-1], wa[1:], wb[:-1], wb[1:], strict=True)])
     cuts = np.append(np.searchsorted(anchors, rows), len(anchors)).tolist()
     groups, digests, links, k = np.zeros(len(same), np.int64), [""] * len(same), [b""] * len(same), 0
     for row in np.flatnonzero(same).tolist():
         mine = found[cuts[k]:cuts[k + 1]]
         k += 1
-        digests[row] = hashlib.sha256(";".join([x[0] for x in mine]).encode()).hexdigest()
-        codes = np.fromiter(chain.from_iterable([x[2] for x in mine]), np.int64)
-        groups[row] = sum([x[1] for x in mine])
+        digests[row] = hashlib.sha256(b";".join([x[0] for x in mine])).hexdigest()
+        codes = np.frombuffer(b"".join([x[1] for x in mine]), np.int64)
+        groups[row] = len(codes)
         codes, times = np.unique(codes, return_counts=True)
-        links[row] = np.rec.fromarrays([codes >> 32, codes & 0xFFFFFFFF, times], dtype=LINK).tobytes()
+        packed = np.empty(len(codes), LINK)
+        packed["a"], packed["b"], packed["n"] = codes >> 32, codes & 0xFFFFFFFF, times
+        links[row] = packed.tobytes()
     return na, nb, groups, digests, links
 
 
@@ -152,7 +164,7 @@ def _aligned(content, proto):
         a, b = tokens.byte_tokenizer(content.value, True), tokens.piece_tokenizer(proto.value)
         aligner = Aligner(Vocabulary(a.token_bytes()), Vocabulary(b.token_bytes()))
         for batch in batches:
-            for low, high, data, offsets in chunks(_spaced(batch.column("text")), 1 << 20):
+            for low, high, data, offsets in chunks(_spaced(batch.column("text")), 1 << 21):
                 na, nb, groups, digests, links = _rows(data, offsets, a, b, aligner)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[low:high], pa.array(na), pa.array(nb), pa.array(groups), pa.array(digests, pa.string()), pa.array(links, pa.binary())],

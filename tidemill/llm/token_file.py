@@ -198,7 +198,7 @@ def _write(folder: str, vocabulary, end: int, most: int, piece: int):
         memo, shelf = tokens.byte_tokenizer(vocabulary.value, False).memo, _Shelf(folder, most, piece)
         for batch in batches:
             for low, high, data, offsets in chunks(batch.column("text"), 1 << 21):
-                ids, starts = tokens.encode_rows(memo, data, offsets)
+                (ids, starts), = tokens.encode_rows([memo], data, offsets)
                 ids = np.insert(ids, starts[1:], end)
                 yield from shelf.add(batch.column("doc_id")[low:high], np.diff(starts) + 1, ids)
         if shelf.held:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ def unit_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before, after = data[at - 1], data[at + 1]
     wide = (before >= 128) & ((data[at - 2] == 0xC2) | _LEAD[data[at - 3]])
     at = at[~(_SPACE[after] | wide | ((before < 128) & _SPACE[before]))]
-    return np.union1d(at, offsets[:-1][np.diff(offsets) > 0])
+    edge[:] = False
+    edge[at] = True
+    edge[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(edge)
 
 
 def strings(data: np.ndarray, begins: np.ndarray) -> pa.LargeStringArray:
@@ -51,34 +55,34 @@ class Memo:
     def __init__(self, encode, most: int = REMEMBERED):
         self.encode, self.most, self.kept = encode, most, {}
 
-    def ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many belong to each unit."""
+    def ids(self, keys: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units ``keys[place]``, and how many belong to each."""
         if len(self.kept) >= self.most:
             self.kept.clear()
-        coded = units.dictionary_encode()
-        keys = coded.dictionary.to_pylist()
         found = list(map(self.kept.get, keys))
         new = [i for i, x in enumerate(found) if x is None]
         for low in range(0, len(new), 8192):
             some = new[low:low + 8192]
             for i, ids in zip(some, self.encode([keys[i] for i in some]), strict=True):
                 found[i] = array("I", ids).tobytes()
-                if len(keys[i]) <= LONGEST and len(self.kept) < self.most:
-                    self.kept[keys[i]] = found[i]
+        self.kept.update(islice(((keys[i], found[i]) for i in new if len(keys[i]) <= LONGEST), self.most - len(self.kept)))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
-        place = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[place]
         first = (np.cumsum(sizes) - sizes)[place]
         return flat[np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)], counts
 
 
-def encode_rows(memo: Memo, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows and where each row's begin (one more entry than rows)."""
+def encode_rows(memos: list[Memo], data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By each memo the ids of all rows, and where each row's begin (one more entry than rows)."""
     begins = unit_begins(data, offsets)
-    ids, counts = memo.ids(strings(data, begins)) if len(begins) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return ids, ends[np.searchsorted(begins, offsets)]
+    coded = strings(data, begins).dictionary_encode()
+    keys, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    rows, out = np.searchsorted(begins, offsets), []
+    for memo in memos:
+        ids, counts = memo.ids(keys, place)
+        out.append((ids, np.concatenate([[0], np.cumsum(counts)])[rows]))
+    return out
 
 
 class Bytes:
