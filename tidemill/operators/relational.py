@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemill.operators.ordered import OrderedGroups, beside, fits_one_task, same_keys
+from tidemill.operators.ordered import OrderedGroups, beside, fits_one_task, group_limit, same_keys
 from tidemill.session import MAX_BROADCAST_ROWS, materialise, setting
 
 
+# Values of a range sum are added as such decimals.
+PREFIX = "decimal(38,12)"
 # Copies of one row that are written out together.
 COPY_BLOCK = 10_000
 
@@ -79,22 +80,26 @@ def expand_to_siblings(keys: DataFrame, hierarchy: DataFrame, parent: str) -> Da
     return hierarchy.join(parents, parent, "left_semi").distinct()
 
 
-def value_range_sum(df: DataFrame, keys: list[str], value: str, around: int, name: str) -> DataFrame:
+def value_range_sum(df: DataFrame, keys: list[str], value: str, around: int, name: str, max_group_rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over rows of the group whose value lies within ``around`` of the row's own.
 
-    Equal values are added up first; the distinct values are cut into blocks ``2 * around`` wide and copied to the
-    neighbour blocks they can reach. Values are kept as they are; only the block number is whole. Null values get null."""
+    Equal values are added up first. The sum is the difference of two prefixes of the group's ordered distinct values, up to v + around and up to just below
+    v - around: both places are put among the values and one running sum passes all of them, so however crowded the values, no row is copied to others
+    and a big group is cut like any ordered group. Prefixes are added as decimals of twelve places, so their difference is exact to these; a group whose values add up to more than
+    26 digits raises. Null values get null."""
     own = F.col(value).cast("double")
-    counts = df.where(F.col(value).isNotNull()).withColumn("_v", own).groupBy(*keys, "_v").agg(F.sum(own).alias("_s"))
-    block = lambda v: F.floor(v / (2 * around))
-    home = block(F.col("_v"))
-    spread = counts.withColumn("_home", home).withColumn("_block", F.explode(F.array_distinct(F.array(
-        block(F.col("_v") - around), home, block(F.col("_v") + around)))))
-    w = Window.partitionBy(*keys, "_block").orderBy("_v").rangeBetween(-around, around)
-    sums = (spread.withColumn(name, F.sum("_s").over(w)).where("_block = _home")
-            .select(*[F.col(k).alias("_v_" + k) for k in keys], F.col("_v").alias("_v__v"), name))
-    return df.withColumn("_v", own).join(sums, same_keys([*keys, "_v"], "_v_"), "left").drop(
-        "_v", "_v__v", *["_v_" + k for k in keys])
+    counts = df.where(F.col(value).isNotNull()).withColumn("_v", own).groupBy(*keys, "_v").agg(F.sum(own.cast(PREFIX)).alias("_s"))
+    none = F.lit(0).cast(PREFIX)
+    # At one place what lies below comes first, then the value, then what includes it.
+    places = F.array(*[F.struct((F.col("_v") + F.lit(float(tag * around))).alias("_at"), F.lit(tag).alias("_tag"), (none if tag else F.col("_s").cast(PREFIX)).alias("_add"))
+                       for tag in (-1, 0, 1)])
+    limit = max_group_rows or group_limit(df.sparkSession, keys)
+    fits = fits_one_task(counts, keys, limit // 3, bound_by=df)
+    marks = counts.select(*keys, "_v", F.explode(places).alias("_p")).select(*keys, "_v", "_p.*")
+    sums = OrderedGroups(marks, keys, ["_at", "_tag", "_v"], max_group_rows=limit, fits=fits).running_sum("_upto", "_add").frame
+    sums = sums.where("_tag <> 0").groupBy(*keys, "_v").agg(F.sum(F.when(F.col("_tag") > 0, F.col("_upto")).otherwise(-F.col("_upto"))).cast("double").alias(name))
+    sums = sums.select(*[F.col(k).alias("_v_" + k) for k in keys], F.col("_v").alias("_v__v"), name)
+    return df.withColumn("_v", own).join(sums, same_keys([*keys, "_v"], "_v_"), "left").drop("_v", "_v__v", *["_v_" + k for k in keys])
 
 
 def top_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
