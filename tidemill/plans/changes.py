@@ -286,13 +286,15 @@ def invalidate_and_insert(t):
 
 
 @query("ups_15_cap_of_four", """
-WITH st AS (SELECT DISTINCT c_nationkey AS p, c_custkey AS c FROM customer WHERE c_custkey % 29 = 0), b AS (SELECT c_nationkey AS p, c_custkey AS c FROM customer WHERE c_custkey % 31 = 0),
+WITH st AS (SELECT DISTINCT o_custkey AS p, o_orderkey AS c FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS p, o_orderkey AS c FROM orders WHERE o_orderstatus <> 'F'),
 u AS (SELECT p, count(*) AS n FROM st WHERE c NOT IN (SELECT c FROM b) GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY c) AS rn FROM b)
 SELECT r.p, r.c FROM r LEFT JOIN u ON r.p = u.p WHERE rn + coalesce(u.n, 0) <= 4""")
 def cap_of_four(t):
-    rows = t.customer.select(F.col("c_nationkey").alias("p"), F.col("c_custkey").alias("c"))
-    stored = rows.where("c % 29 = 0").withColumn("flag", F.lit("Y"))
-    return scd.cap_active(stored, rows.where("c % 31 = 0"), "p", "c", "flag", 4)
+    """Finished orders are the stored children of a customer, the others come in: at most four stay in all."""
+    rows = t.orders.select(F.col("o_custkey").alias("p"), F.col("o_orderkey").alias("c"), F.col("o_orderstatus") == "F")
+    rows = rows.toDF("p", "c", "done")
+    stored = rows.where("done").select("p", "c", F.lit("Y").alias("flag"))
+    return scd.cap_active(stored, rows.where("not done").select("p", "c"), "p", "c", "flag", 4)
 
 
 @query("mrg_01_merge", "WITH " + _BATCH + """

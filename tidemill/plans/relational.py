@@ -219,21 +219,21 @@ def inner(t):
 
 
 @query("join_02_full_outer", """
-WITH a AS (SELECT o_custkey AS k, count(*) AS open_orders FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000 GROUP BY 1),
-     b AS (SELECT o_custkey AS k, count(*) AS closed_orders FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000 GROUP BY 1)
+WITH a AS (SELECT o_custkey AS k, count(*) AS open_orders FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+     b AS (SELECT o_custkey AS k, count(*) AS closed_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT k, coalesce(open_orders, 0) AS open_orders, coalesce(closed_orders, 0) AS closed_orders FROM a FULL JOIN b USING (k)""")
 def full_outer(t):
-    big = t.orders.where("o_totalprice > 400000").withColumnRenamed("o_custkey", "k")
-    a = big.where("o_orderstatus = 'O'").groupBy("k").agg(F.count(F.lit(1)).alias("open_orders"))
-    b = big.where("o_orderstatus = 'F'").groupBy("k").agg(F.count(F.lit(1)).alias("closed_orders"))
+    rows = t.orders.withColumnRenamed("o_custkey", "k")
+    a = rows.where("o_orderstatus = 'O'").groupBy("k").agg(F.count(F.lit(1)).alias("open_orders"))
+    b = rows.where("o_orderstatus = 'F'").groupBy("k").agg(F.count(F.lit(1)).alias("closed_orders"))
     return a.join(b, "k", "full").na.fill(0)
 
 
 @query("join_03_insert_or_update", """
 SELECT b.c_custkey, b.c_name, CASE WHEN s.k IS NULL THEN 'insert' ELSE 'update' END AS action
-FROM customer b LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 450000) s ON b.c_custkey = s.k""")
+FROM customer b LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) s ON b.c_custkey = s.k""")
 def insert_or_update(t):
-    stored = t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    stored = t.orders.select(F.col("o_custkey").alias("c_custkey"))
     return relational.split_matched(t.customer.select("c_custkey", "c_name"), stored, ["c_custkey"])
 
 
