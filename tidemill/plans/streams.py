@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import dates
 from tidemill.plans.registry import query
-from tidemill.streaming import sinks, state, windows
+from tidemill.streaming import sinks, state, versions, windows
 from tidemill.streaming.sources import table_stream
 
 
@@ -240,3 +240,29 @@ def pair_up(t):
         return sinks.run_to_end(out).select("key", "side", "id")
     finally:
         t.spark.conf.set(setting, before)
+
+
+@query("str_02_table_changes", """
+WITH v1 AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_totalprice AS p FROM orders WHERE o_orderkey % 3 <> 0),
+v2 AS (SELECT k, st, CASE WHEN st = 'F' THEN p * 2 ELSE p END AS p FROM v1), v3 AS (SELECT * FROM v2 WHERE st <> 'P' UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)
+SELECT k, p, 'insert' AS change, 1::BIGINT AS version FROM v1
+UNION ALL (SELECT k, p, 'insert', 2 FROM v2 EXCEPT SELECT k, p, 'insert', 2 FROM v1) UNION ALL (SELECT k, p, 'delete', 2 FROM v1 EXCEPT SELECT k, p, 'delete', 2 FROM v2)
+UNION ALL (SELECT k, p, 'insert', 3 FROM v3 EXCEPT SELECT k, p, 'insert', 3 FROM v2) UNION ALL (SELECT k, p, 'delete', 3 FROM v2 EXCEPT SELECT k, p, 'delete', 3 FROM v3)""")
+def table_changes(t):
+    """Orders as a table of three versions: a third is missing at first, then finished orders are rewritten, then some are deleted and the missing ones come.
+    The stream ends after the second version and starts again from its checkpoint."""
+    folder = sinks.new_folder(t.spark)
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").alias("p"))
+    first = rows.where("k % 3 <> 0")
+    second = first.withColumn("p", F.when(F.col("st") == "F", F.col("p") * 2).otherwise(F.col("p")))
+    third = second.where("st <> 'P'").unionByName(rows.where("k % 3 = 0"))
+
+    def drain():
+        changes = versions.version_stream(t.spark, f"{folder}/table", "rows")
+        sinks.start(changes, f"{folder}/checkpoint", path=f"{folder}/data").awaitTermination()
+    versions.write_version(first, f"{folder}/table", 1)
+    versions.write_version(second, f"{folder}/table", 2)
+    drain()
+    versions.write_version(third, f"{folder}/table", 3)
+    drain()
+    return t.spark.read.parquet(f"{folder}/data").select("k", "p", F.col("_change").alias("change"), F.col("_version").alias("version"))
