@@ -4,6 +4,9 @@ import json
 import os
 import time
 
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tidemill.streaming import sinks, state
 
@@ -164,3 +167,146 @@ def test_pair_up_both_orders(spark, folder, rows):
     out = drain(state.pair_up(df.where("side = 'owner'"), df.where("side = ''"), 3_600_000), folder)
     assert rows(out) == [("T5", "member", "D5", "senna"), ("T5", "member", "D7", "senna2"), ("T5", "owner", "", "alpine"),
                          ("T6", "member", "D8", "m8"), ("T6", "owner", "", "team6")]
+
+
+class _Handle:
+    """State of one key in memory, counting what is read."""
+
+    def __init__(self):
+        self.reads, self.timers, self.states = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value())
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, _Map(self))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Map:
+    def __init__(self, handle):
+        self.handle, self.rows = handle, {}
+
+    def containsKey(self, key):
+        self.handle.reads += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.handle.reads += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.rows.pop(key, None)
+
+    def iterator(self):
+        for item in list(self.rows.items()):
+            self.handle.reads += 1
+            yield item
+
+    def clear(self):
+        self.rows.clear()
+
+
+class _At:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_expiry_reads_are_linear():
+    """100,000 waiting members of one key expire with a few reads each, whenever their timers run."""
+    pair, handle = state._PairUp(64_000), _Handle()
+    pair.init(handle)
+    n = 100_000
+    for low in range(0, n, 10_000):
+        ids = range(low, low + 10_000)
+        chunk = pd.DataFrame({"side": "", "id": [str(i) for i in ids], "message": "m", "at": [i // 10 for i in ids]})
+        assert list(pair.handleInputRows(("k",), iter([chunk]), _At(0))) == []
+    assert len(pair.waiting.rows) == n and len(handle.timers) <= 70
+    before = handle.reads
+    for timer in sorted(handle.timers):
+        alive = len([1 for (_, at) in pair.waiting.rows.values() if at + 64_000 > timer])
+        list(pair.handleExpiredTimer(("k",), _At(timer), _At(timer)))
+        assert len(pair.waiting.rows) == alive
+    assert not pair.waiting.rows and not pair.due.rows and not pair.parts.rows
+    assert handle.reads - before <= 2.1 * n
+
+
+def test_waiting_members_come_out_in_parts():
+    pair, handle = state._PairUp(64_000), _Handle()
+    pair.init(handle)
+    members = pd.DataFrame({"side": "", "id": [str(i) for i in range(2500)], "message": "old", "at": 10})
+    list(pair.handleInputRows(("k",), iter([members]), _At(0)))
+    again = pd.DataFrame({"side": ["", "", "owner"], "id": ["7", "x", ""], "message": ["new", "first", "o"], "at": [20, 20, 30]})
+    out = list(pair.handleInputRows(("k",), iter([again]), _At(0)))
+    assert max(map(len, out)) <= pair.PART
+    found = pd.concat(out)
+    assert len(found) == 2502 and found["id"].is_unique and dict(zip(found["id"], found["message"]))["7"] == "new"
+    assert not pair.waiting.rows and pair.owner.get() == ("o", 30, True)
+
+
+@pytest.mark.parametrize("payload, make", [
+    ("name string, tags array<string>, price decimal(8,3), one struct<a:int,b:array<double>>", lambda i: {"name": f"n{i}", "tags": [f"t{i}", None], "price": f"{i}.125", "one": {"a": i, "b": [0.5 * i]}}),
+    ("seen timestamp, counts array<bigint>, flag boolean", lambda i: {"seen": f"2024-01-0{i + 1}T00:00:00Z", "counts": [i, i + 1], "flag": i % 2 == 0})], ids=["decimals", "times"])
+def test_rows_of_a_schema_given_at_run_time(spark, folder, payload, make):
+    """Several rows of a level wait with all their columns, over a restart, and come out as they went in."""
+    src = f"{folder}/in"
+
+    def row(level, id_, crud, at, i):
+        return {"key": "k", "level": level, "id": id_, "crud": crud, "at": at, **make(i)}
+    put(src, "f0", [row("child", "c1", "Insert", 1, 1), row("child", "c2", "Insert", 1, 2), row("grandchild", "c1", "Insert", 1, 3)])
+    schema = f"key string, level string, id string, crud string, at long, {payload}"
+    run = lambda: drain(state.row_hierarchy(source(spark, src, schema), payload), folder)
+    assert run().count() == 0
+    put(src, "f1", [row("child", "c1", "Update", 2, 4)])
+    run()
+    put(src, "f2", [row("parent", "p", "Insert", 3, 5)])
+    out = {(r["level"], r["id"]): r for r in run().collect()}
+    expected = {("parent", "p"): 5, ("child", "c1"): 4, ("child", "c2"): 2, ("grandchild", "c1"): 3}
+    rows = spark.createDataFrame([json.dumps({"w": make(i), "l": level, "i": id_}) for (level, id_), i in expected.items()], "string")
+    rows = rows.select(F.from_json("value", f"w struct<{', '.join(p.replace(' ', ':', 1) for p in _columns(payload))}>, l string, i string").alias("r")).select("r.l", "r.i", "r.w.*").collect()
+    names = [p.split(" ")[0] for p in _columns(payload)]
+    assert {k: [r[n] for n in names] for k, r in out.items()} == {(r["l"], r["i"]): [r[n] for n in names] for r in rows}
+    put(src, "f3", [row("child", "c1", "Delete", 4, 6), row("grandchild", "c1", "Update", 4, 0), row("child", "c3", "Insert", 4, 0)])
+    late = {(r["level"], r["id"], r["crud"]) for r in run().where("at = 4").collect()}
+    assert late == {("child", "c1", "Delete"), ("grandchild", "c1", "Delete"), ("child", "c3", "Insert")}
+    put(src, "f4", [row("parent", "p", "Delete", 5, 0)])
+    put(src, "f5", [row("child", "c9", "Insert", 6, 0)])
+    assert {(r["level"], r["crud"]) for r in run().where("at >= 5").collect()} == {("parent", "Delete")}
+
+
+def _columns(payload):
+    out, depth = [""], 0
+    for c in payload:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out]

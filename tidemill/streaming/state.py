@@ -7,8 +7,10 @@ group's rows of one micro-batch arrive in Arrow chunks and are reduced chunk by
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,22 +126,30 @@ def release_with_parent(stream: DataFrame, parents: DataFrame | None, expiry_ms:
 class _PairUp(StatefulProcessor):
     """Members wait in a map in the state store until their owner comes; an owner waits for its first member.
 
-    Every entry has a timer of its own, and what has expired is not paired even if its timer has yet to run.
-    While the owner is there, members pass without touching the map; it is walked only when an owner comes."""
+    Deadlines are rounded up to buckets, 64 to an expiry. A second map lists, under its bucket, the members that came to wait in it, in parts of at most ``PART`` ids; a bucket has one
+    timer, which looks up the members listed there and nothing else. What has expired is not paired even if its timer has yet to run.
+    While the owner is there, members pass without touching the maps; the waiting ones are walked, in parts, only when an owner comes."""
 
     COLUMNS = ["key", "side", "id", "message"]
+    PART = 1000
 
     def __init__(self, expiry_ms: int):
         self.expiry_ms = expiry_ms
+        self.width = max(1, expiry_ms // 64)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.owner = handle.getValueState("owner", "message string, at long, released boolean")
         self.waiting = handle.getMapState("waiting", "id string", "message string, at long")
+        self.due = handle.getMapState("due", "bucket long, part long", "ids string")
+        self.parts = handle.getMapState("parts", "bucket long", "n long")
 
     def _live(self, at: int, now: int) -> bool:
         return at + self.expiry_ms > now
 
+    def _bucket(self, at: int) -> int:
+        return -(-(at + self.expiry_ms) // self.width)
+
     def _owner(self, now: int):
         owner = self.owner.get() if self.owner.exists() else None
         return tuple(owner) if owner is not None and self._live(owner[1], now) else None
@@ -161,37 +171,67 @@ class _PairUp(StatefulProcessor):
             if owner is None:
                 self._wait(found)
             else:
+                released = 0
                 if before is None:
-                    self._take_waiting(found, now)
-                if found and not owner[2]:
+                    for part in self._take_waiting(found, now):
+                        released += len(part)
+                        yield self._frame(key, part)
+                if (found or released) and not owner[2]:
                     owner = (owner[0], owner[1], True)
                     out.append(("owner", "", owner[0]))
                 out += [("member", m, message) for m, (message, _) in found.items()]
                 if owner != before:
                     self.owner.update(owner)
-                    self.handle.registerTimer(owner[1] + self.expiry_ms)
+                    self.handle.registerTimer(self._bucket(owner[1]) * self.width)
             if out:
-                yield pd.DataFrame([(key[0], *o) for o in out], columns=self.COLUMNS)
+                yield self._frame(key, out)
+
+    def _frame(self, key, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *o) for o in out], columns=self.COLUMNS)
 
     def _wait(self, members: dict) -> None:
+        lists: dict[int, list[str]] = {}
         for member, (message, at) in members.items():
             old = self.waiting.getValue((member,)) if self.waiting.containsKey((member,)) else None
             if old is None or at >= old[1]:
                 self.waiting.updateValue((member,), (message, at))
-                self.handle.registerTimer(at + self.expiry_ms)
-
-    def _take_waiting(self, members: dict, now: int) -> None:
-        """Move the waiting members that have not expired to ``members``; of two versions the newer stays."""
-        for (member,), (message, at) in list(self.waiting.iterator()):
+                if old is None or self._bucket(old[1]) != self._bucket(at):
+                    lists.setdefault(self._bucket(at), []).append(member)
+        for bucket, ids in lists.items():
+            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+            for low in range(0, len(ids), self.PART):
+                self.due.updateValue((bucket, n), (json.dumps(ids[low:low + self.PART]),))
+                n += 1
+            self.parts.updateValue((bucket,), (n,))
+            self.handle.registerTimer(bucket * self.width)
+
+    def _take_waiting(self, members: dict, now: int) -> Iterator[list]:
+        """The waiting members that have not expired, in parts; of two versions the newer comes out, here or with ``members``."""
+        out = []
+        for (member,), (message, at) in self.waiting.iterator():
             if self._live(at, now) and (member not in members or members[member][1] < at):
-                members[member] = (message, at)
+                members.pop(member, None)
+                out.append(("member", member, message))
+                if len(out) == self.PART:
+                    yield out
+                    out = []
+        if out:
+            yield out
         self.waiting.clear()
+        self.due.clear()
+        self.parts.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        for (member,), (_, at) in list(self.waiting.iterator()):
-            if not self._live(at, now):
-                self.waiting.removeKey((member,))
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.width
+        if self.parts.containsKey((bucket,)):
+            for part in range(self.parts.getValue((bucket,))[0]):
+                for member in json.loads(self.due.getValue((bucket, part))[0]):
+                    found = self.waiting.getValue((member,)) if self.waiting.containsKey((member,)) else None
+                    if found is not None and not self._live(found[1], now):  # a newer version waits in a later bucket
+                        self.waiting.removeKey((member,))
+                self.due.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
         if self.owner.exists() and not self._live(self.owner.get()[1], now):
             self.owner.clear()
         yield pd.DataFrame({c: [] for c in self.COLUMNS}, dtype=str)
@@ -276,3 +316,91 @@ def hierarchy(stream: DataFrame, output: str = HIERARCHY) -> DataFrame:
     if fields:
         out = out.withColumn("_fields", F.from_json("message", fields))
     return out.select(*[(F.col("_fields")[f.name] if f in fields.fields else F.col(f.name).cast(f.dataType)).alias(f.name) for f in wanted])
+
+
+# -- the hierarchy with rows of a schema known only at run time --------------------------------
+
+def _plain(value, kind: T.DataType):
+    """A pandas value as the state store takes it."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value and not isinstance(kind, (T.DoubleType, T.FloatType))):
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        found = value if isinstance(value, dict) else value.asDict() if hasattr(value, "asDict") else dict(zip(kind.names, value, strict=True))
+        return tuple(_plain(found[f.name], f.dataType) for f in kind)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    if isinstance(kind, T.IntegralType):
+        return int(value)
+    return value.item() if isinstance(value, np.generic) else value
+
+
+class _RowHierarchy(StatefulProcessor):
+    """Per key the parent's standing and, for children and grandchildren, the latest waiting row of each id, typed as the payload given at run time."""
+
+    def __init__(self, payload: T.StructType):
+        self.payload = payload
+        self.columns = ["level", "id", "crud", "at", *payload.names]
+        self.kinds = [T.StringType(), T.StringType(), T.StringType(), T.LongType(), *(f.dataType for f in payload)]
+
+    def init(self, handle) -> None:
+        self.parent = handle.getValueState("parent", "active boolean, deletes int")
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("level", T.StringType()), T.StructField("id", T.StringType())]),
+                                          T.StructType([T.StructField("crud", T.StringType()), T.StructField("at", T.LongType()), *self.payload.fields]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        best: dict[tuple, tuple] = {}
+        for pdf in rows:
+            for row in zip(*(pdf[c] for c in self.columns), strict=True):
+                row = tuple(_plain(v, k) for v, k in zip(row, self.kinds, strict=True))
+                at = (row[0], row[1])
+                if at not in best or (row[3], row[2]) >= (best[at][3], best[at][2]):
+                    best[at] = row
+        active, deletes = tuple(self.parent.get()) if self.parent.exists() else (False, 0)
+        out = []
+        parents = sorted((r for r in best.values() if r[0] == "parent"), key=lambda r: r[3])
+        others = [r for r in best.values() if r[0] != "parent"]
+        for row in parents:
+            if row[2] == "Delete":
+                deletes, active = min(deletes + 1, 2), False
+                out.append(row)
+            elif deletes < 2:
+                active = True
+                out.append(row)
+        if active or any(r[2] == "Delete" for r in parents):
+            others += [r for r in self._waiting() if (r[0], r[1]) not in best]
+            self.waiting.clear()
+        if parents and not active:
+            last = parents[-1]
+            out += [(*r[:2], "Delete", last[3], *r[4:]) for r in others] if last[2] == "Delete" else []
+        elif active:
+            deleted = {r[1] for r in others if r[0] == "child" and r[2] == "Delete"}
+            out += [(*r[:2], "Delete", *r[3:]) if r[0] == "grandchild" and r[1] in deleted else r for r in others]
+        else:
+            for row in others:
+                if not self.waiting.containsKey(row[:2]) or tuple(self.waiting.getValue(row[:2]))[1] <= row[3]:
+                    self.waiting.updateValue(row[:2], row[2:])
+        self.parent.update((active, deletes))
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", *self.columns])
+
+    def _waiting(self) -> Iterator[tuple]:
+        for at, row in self.waiting.iterator():
+            yield (*tuple(at), *(_plain(v, k) for v, k in zip(tuple(row), self.kinds[2:], strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def row_hierarchy(stream: DataFrame, payload: T.StructType | str) -> DataFrame:
+    """(key, level, id, crud, at) and the columns of ``payload``, a schema known only at run time, through three-level hierarchy state.
+
+    Level is ``parent``, ``child`` or ``grandchild``; of each (key, level, id) the latest row of a batch, then of state and batch, counts. A level may hold many ids. Rows of children
+    and grandchildren wait, with all their columns as they are typed, until the parent is there; a parent delete sends out all that came or wait as deletes, a child's delete
+    the grandchildren of its id. A parent comes back while it was deleted fewer than two times. State is typed by ``payload``, so a query restarts with the
+    schema it began with. Needs the RocksDB state store."""
+    payload = T.StructType.fromDDL(payload) if isinstance(payload, str) else payload
+    columns = ["key", "level", "id", "crud", "at", *payload.names]
+    output = T.StructType([*T.StructType.fromDDL("key string, level string, id string, crud string, at long").fields, *payload.fields])
+    return stream.select(*columns).groupBy("key").transformWithStateInPandas(_RowHierarchy(payload), output, "Append", "None")
