@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.operators.ordered import OrderedGroups, fits_one_task, group_limit
+from tidemill.session import largest_group, materialise, setting
+
+# Rows of one side that a bin of a range join may hold before it is cut, and the parts it is cut into.
+MAX_BIN_ROWS = 200_000
+EQUAL_PARTS = 64
 
 
 def epoch_minute(col: Column | str) -> Column:
@@ -131,10 +137,13 @@ def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def range_join(rows: DataFrame, refs: DataFrame, keys: list[str], start: str, end: str, point: str,
-               bin_days: int = 32) -> DataFrame:
+               bin_days: int = 32, max_bin_rows: int | None = None) -> DataFrame:
     """Pairs with equal keys and ``start < point < end``. Ranges are spread over fixed day bins and
     the point looks into its own bin, so a hot key is cut by time and each pair appears once. Ranges
-    are cut to the span of their key's points first, so an open end costs no bins without points."""
+    are cut to the span of their key's points first, so an open end costs no bins without points.
+
+    A bin of a key with more than ``max_bin_rows`` (``spark.tidemill.maxBinRows``) rows of one side is cut again, at the quantiles of its points, into parts of about equal depth. A part
+    that is still too full, as one day may be, is dealt in a grid: its bigger side by a hash into as many pieces as it needs, and the other side to all of them."""
     def bin_of(c):
         return F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bin_days)
     right = refs.withColumn("_bin", bin_of(F.col(point)))
@@ -143,8 +152,38 @@ def range_join(rows: DataFrame, refs: DataFrame, keys: list[str], start: str, en
             .withColumn("_high", F.least("_high", bin_of(F.col(end))))
             .where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col("_low") <= F.col("_high"))))
     left = left.withColumn("_bin", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-    return (left.join(right, [*keys, "_bin"])
-            .where((F.col(point) > F.col(start)) & (F.col(point) < F.col(end))).drop("_bin"))
+    on = [*keys, "_bin"]
+    inside = (F.col(point) > F.col(start)) & (F.col(point) < F.col(end))
+    limit = max_bin_rows or setting(rows.sparkSession, "maxBinRows", MAX_BIN_ROWS)
+    # A bin's rows are at most those of its key: where no key is over the limit, no bin is, and only the keys are counted.
+    if largest_group(refs, keys) <= limit and largest_group(rows, keys) <= limit:
+        return left.join(right, on).where(inside).drop("_bin")
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l"), F.lit(0).cast("long").alias("_r")).unionByName(
+        right.groupBy(*on).agg(F.lit(0).cast("long").alias("_l"), F.count(F.lit(1)).alias("_r")))
+    counts = counts.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    full = counts.where(F.greatest("_l", "_r") > limit).select(*on)
+    shares = [i / EQUAL_PARTS for i in range(1, EQUAL_PARTS)]
+    day = F.unix_micros(F.col(point).cast("timestamp"))
+    cuts = materialise(right.join(full, on, "left_semi").groupBy(*on).agg(F.array_distinct(F.percentile_approx(day, shares, 10_000)).alias("_cuts")))
+
+    def part(c):
+        return F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.unix_micros(c.cast("timestamp")))), F.lit(0))
+    left = left.join(cuts, on, "left").withColumn("_part", F.explode(F.sequence(part(F.col(start)), part(F.col(end))))).drop("_cuts")
+    right = right.join(cuts, on, "left").withColumn("_part", part(F.col(point))).drop("_cuts")
+    on = [*on, "_part"]
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l"), F.lit(0).cast("long").alias("_r")).unionByName(
+        right.groupBy(*on).agg(F.lit(0).cast("long").alias("_l"), F.count(F.lit(1)).alias("_r")))
+    counts = counts.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    grid = materialise(counts.where(F.greatest("_l", "_r") > limit).select(
+        *on, F.ceil(F.greatest("_l", "_r") / limit).cast("int").alias("_pieces"), (F.col("_l") >= F.col("_r")).alias("_by_left")))
+
+    def dealt(df, mine):
+        df = df.join(grid, on, "left")
+        own = F.array(F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]), F.col("_pieces")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_pieces") - 1)
+        piece = F.when(F.col("_pieces").isNull(), F.array(F.lit(0))).when(F.col("_by_left") == F.lit(mine), own).otherwise(every)
+        return df.withColumn("_piece", F.explode(piece)).drop("_pieces", "_by_left")
+    return dealt(left, True).join(dealt(right, False), [*on, "_piece"]).where(inside).drop("_bin", "_part", "_piece")
 
 
 def as_of_lookup(rows: DataFrame, dated: DataFrame, keys: list[str], at: str, start: str,

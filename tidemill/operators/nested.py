@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.session import materialise
+
 
 def _find(struct: T.StructType, name: str) -> T.StructField | None:
     return next((f for f in struct.fields if f.name.lower() == name.lower()), None)
@@ -209,3 +211,53 @@ def deep_flatten(df: DataFrame, sep: str = "_") -> DataFrame:
         if not arrays:
             return df
         df = df.withColumn(arrays[0], F.explode_outer(arrays[0]))
+
+
+# -- documents as related frames ----------------------------------------------------------------
+
+ROOT = ""
+
+
+def _array_fields(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+
+
+def split_documents(df: DataFrame, sep: str = "_") -> dict[str, DataFrame]:
+    """Documents as one frame for each array of structs at any depth: sibling arrays give as many rows as they have entries, not their product.
+
+    The frame ``""`` has the flattened fields of the documents and ``_id``; the frame of an array, named by its path, has ``_id``, the ``_parent`` it lies in, its place
+    ``_pos`` from 0 on, and its flattened fields; a null entry has null fields and ``_null`` set. ``join_documents`` puts them together again. Ids are generated once: the documents are written out with them."""
+    rows = materialise(df.withColumn("_id", F.monotonically_increasing_id().cast("string")))
+    out: dict[str, DataFrame] = {}
+
+    def split(frame: DataFrame, name: str) -> None:
+        flat = flatten_structs(frame, sep)
+        arrays = _array_fields(flat.schema)
+        out[name] = flat.drop(*arrays)
+        for array in arrays:
+            items = flat.select(F.col("_id").alias("_parent"), F.posexplode(array).alias("_pos", "_item"))
+            items = items.select(F.concat_ws(".", "_parent", "_pos").alias("_id"), "_parent", "_pos", F.col("_item").isNull().alias("_null"), "_item.*")
+            split(items, f"{name}{sep}{array}" if name else array)
+
+    split(rows, ROOT)
+    return out
+
+
+def join_documents(frames: dict[str, DataFrame], sep: str = "_") -> DataFrame:
+    """The documents of ``split_documents`` with flattened fields; arrays are lists of structs in their order. A document's array is gathered from its own entries alone.
+
+    An empty array and a null one are told apart no more: both come back empty."""
+    def rebuilt(name: str) -> DataFrame:
+        df = frames[name]
+        depth = {n: n.removeprefix(f"{name}{sep}") if name else n for n in frames if n and n != name and (not name or n.startswith(name + sep))}
+        direct = [n for n in depth if not any(n != o and n.startswith(o + sep) for o in depth)]
+        for child in direct:
+            items = rebuilt(child)
+            fields = [c for c in items.columns if c not in ("_id", "_parent", "_pos", "_null")]
+            entry = F.when(~F.col("_null"), F.struct(*fields))
+            lists = items.groupBy(F.col("_parent").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_pos", entry.alias("e")))).alias("_list"))
+            kind = T.ArrayType(T.StructType([items.schema[c] for c in fields]))
+            df = df.join(lists, df["_id"] == lists["_of"], "left").withColumn(
+                depth[child], F.coalesce(F.transform("_list", lambda x: x["e"]), F.array().cast(kind))).drop("_of", "_list")
+        return df
+    return rebuilt(ROOT).drop("_id")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.functions import text
+from tidemill.functions import dates, text
 from tidemill.operators import nested
 from tidemill.plans.registry import query
 from tidemill.sources.messages import order_items
@@ -80,6 +80,20 @@ def deep_flatten(t):
     return nested.deep_flatten(order_documents(t))
 
 
+@query("nest_10_relational_split", _DOCS + """, d AS (SELECT DISTINCT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s FROM lineitem),
+i AS (SELECT k, count(*)::INTEGER AS items, sum(qty) AS qty, min(flag) AS first_flag FROM l GROUP BY k)
+SELECT i.k, items, qty, first_flag, count(*)::INTEGER AS dates, strftime(max(s), '%Y-%m-%d') AS last_date FROM i JOIN d ON i.k = d.k GROUP BY ALL""")
+def relational_split(t):
+    """Documents with two arrays side by side, split into a frame for each and put together again."""
+    sent = t.lineitem.select(F.col("l_orderkey").alias("k"), F.to_date("l_shipdate").alias("day")).distinct()
+    sent = sent.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(dates.day_text("day").alias("day")))).alias("dates"))
+    frames = nested.split_documents(order_documents(t).join(sent, "k"))
+    docs = nested.join_documents(frames)
+    qty = F.aggregate("info_items", F.lit(0.0), lambda s, x: s + x["amount_qty"])
+    return docs.select("k", F.size("info_items").alias("items"), qty.alias("qty"), F.col("info_items")[0]["flag"].alias("first_flag"),
+                       F.size("dates").alias("dates"), F.element_at("dates", -1)["day"].alias("last_date"))
+
+
 @query("nest_11_explode_list", """
 WITH w AS (SELECT source, unnest(string_split(lang || ',' || source, ',')) AS tag, n_chars FROM documents)
 SELECT tag, CAST(sum(n_chars) AS BIGINT) AS chars FROM w GROUP BY 1""")
