@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tidemill.functions import dates
 from tidemill.operators import nested
 from tidemill.plans.registry import query
-from tidemill.sources import messages, readers, schemas
+from tidemill.sources import messages, readers, schemas, writers
+from tidemill.streaming.sinks import new_folder
 
 
 @query("src_03_scan", """
@@ -32,10 +33,11 @@ def xml(t):
 @query("src_11_partition_values", """
 SELECT o_orderkey, o_orderpriority FROM orders WHERE year(o_orderdate) IN (1996, 1998) AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
 def partition_values(t):
-    wanted = {"o_year": [1996, 1998, 2050], "o_orderpriority": ["1-URGENT", "2-HIGH", "9-NONE"]}
-    rows = t.orders.withColumn("o_year", F.year("o_orderdate"))
-    for column, values in wanted.items():
-        rows = rows.where(F.col(column).isin(values))
+    """The orders are written in folders by year and priority; two years and two priorities of them are read."""
+    path = new_folder(t.spark, "partitions")
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("o_year"), "o_orderpriority")
+    writers.write(rows, "parquet", path, partition_by=["o_year", "o_orderpriority"], repartition_by=["o_year", "o_orderpriority"])
+    rows = readers.read_partitions(t.spark, path, {"o_year": [1996, 1998, 2050], "o_orderpriority": ["1-URGENT", "2-HIGH", "9-NONE"]})
     return rows.select("o_orderkey", "o_orderpriority")
 
 
@@ -104,5 +106,9 @@ def add_column_after(t):
 @query("src_16_first_and_last", """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY 1""")
 def first_and_last(t):
-    at = F.struct("ts", "event_id")
-    return t.events.groupBy(dates.day_text("ts").alias("day")).agg(F.min_by("event_id", at).alias("first"), F.max_by("event_id", at).alias("last"))
+    """Events are written as lines of a file for each day, in order; the ends of the files are read."""
+    path = new_folder(t.spark, "lines")
+    rows = t.events.select(dates.day_text("ts").alias("day"), "ts", "event_id").repartition("day").sortWithinPartitions("day", "ts", "event_id")
+    rows.select("day", F.col("event_id").cast("string").alias("value")).write.partitionBy("day").text(path)
+    ends = readers.first_and_last_line(t.spark, path)
+    return ends.select(F.regexp_extract("file", "day=([0-9-]+)", 1).alias("day"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))

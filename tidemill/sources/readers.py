@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.paths import open_path
+
 # Formats whose package is not part of Spark itself.
 EXTERNAL = {"avro": "spark-avro", "delta": "delta-spark", "kafka": "spark-sql-kafka-0-10"}
 
@@ -39,14 +45,43 @@ def read_partitions(spark: SparkSession, path: str, wanted: dict[str, list]) ->
     return reduce(lambda d, kv: d.where(F.col(kv[0]).isin(kv[1])), wanted.items(), df)
 
 
+def _literal(value) -> str:
+    """A key value as SQL text."""
+    return str(value) if isinstance(value, (int, float, Decimal)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def slices(key: str, bounds: list) -> list[str]:
+    """Predicates that cut a key at ascending bounds; together they hold every row once, null keys in the first."""
+    if not bounds:
+        return ["1 = 1"]
+    texts = [_literal(b) for b in bounds]
+    middle = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    return [f"{key} < {texts[0]} OR {key} IS NULL", *middle, f"{key} >= {texts[-1]}"]
+
+
+def quantile_query(query: str, key: str, parts: int, ordered_window: bool = True) -> str:
+    """SQL for the key values at about every 1/parts of the rows; databases without ordered windows number an ordered subquery."""
+    if ordered_window:
+        numbered = f"SELECT {key} AS k, ROW_NUMBER() OVER (ORDER BY {key}) AS r FROM ({query}) q WHERE {key} IS NOT NULL"
+    else:
+        numbered = f"SELECT k, ROW_NUMBER() OVER () AS r FROM (SELECT {key} AS k FROM ({query}) q WHERE {key} IS NOT NULL ORDER BY {key}) o"
+    step = f"(SELECT CASE WHEN COUNT(*) < {parts} THEN 1 ELSE COUNT(*) / {parts} END FROM ({query}) c WHERE {key} IS NOT NULL)"
+    return f"SELECT DISTINCT k FROM ({numbered}) n WHERE MOD(r, {step}) = 0"
+
+
 def read_jdbc(spark: SparkSession, url: str, query: str, driver: str | None = None, partition: str | None = None,
               bounds: tuple | None = None, partitions: int = 8, **options) -> DataFrame:
-    """Run a query in the database; with ``partition`` and bounds it is read in parallel slices."""
+    """Run a query in the database. With ``partition``, a column as the database writes it, it is read in parallel slices: of equal width between ``bounds``, or without
+    them of about equal row counts, between quantiles of the column that the database is asked for once."""
     options |= {"driver": driver} if driver else {}
     reader = spark.read.format("jdbc").options(url=url, **options)
-    if partition:
+    if partition and bounds:
         return reader.options(dbtable=f"({query}) q", partitionColumn=partition, lowerBound=bounds[0],
                               upperBound=bounds[1], numPartitions=partitions).load()
+    if partition:
+        asked = quantile_query(query, partition, partitions, not url.startswith("jdbc:derby"))
+        found = sorted(r[0] for r in reader.option("query", asked).load().collect())  # about as many rows as slices
+        return spark.read.jdbc(url, f"({query}) q", predicates=slices(partition, found), properties=options)
     return reader.option("query", query).load()
 
 
@@ -68,12 +103,48 @@ def by_field_count(lines: DataFrame, shapes: dict[str, list[str]], sep: str = "~
     return found | {"_reject": parts.where(~known).select(F.col("line").alias("_reject"))}
 
 
+def line_ends(read_at: Callable[[int, int], bytes], size: int, chunk: int = 4096) -> tuple[bytes, bytes]:
+    """First and last line of a text of ``size`` bytes, read from its ends: ``read_at(length, offset)`` is asked for twice as much until a line end is seen."""
+    def upto(n: int) -> bytes:
+        data = read_at(n, 0)
+        places = [i for i in (data.find(b"\n"), data.find(b"\r")) if i >= 0]
+        return data[:min(places)] if places else data if n >= size else upto(min(size, 2 * n))
+
+    def since(n: int) -> bytes:
+        data = read_at(n, size - n)
+        for end in (b"\r\n", b"\n", b"\r"):
+            if data.endswith(end):
+                data = data[:-len(end)]
+                break
+        place = max(data.rfind(b"\n"), data.rfind(b"\r"))
+        return data[place + 1:] if place >= 0 or n >= size else since(min(size, 2 * n))
+    return upto(min(size, chunk)), since(min(size, chunk))
+
+
+def _ends_of_files(batches):
+    for batch in batches:
+        rows = []
+        for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            system, name = open_path(path)
+            if name.endswith((".gz", ".bz2")):  # no way into the middle of these: read through, a line held at a time
+                first = last = None
+                with system.open_input_stream(name, compression="detect") as raw, io.BufferedReader(raw) as lines:
+                    for line in lines:
+                        last = line.rstrip(b"\r\n")
+                        first = last if first is None else first
+            else:
+                with system.open_input_file(name) as file:
+                    first, last = line_ends(lambda n, at, file=file: bytes(file.read_at(n, at)), size)
+            if first is not None:
+                rows.append((path, first.decode("utf-8", "replace"), last.decode("utf-8", "replace")))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["file", "first", "last"])
+
+
 def first_and_last_line(spark: SparkSession, path: str) -> DataFrame:
-    """First and last line of every file, found with two map-side combined aggregates."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-    return lines.groupBy("file").agg(F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"))
+    """file, first, last: the first and last line of every file under a path that is not empty, read by range from the ends of the file; bytes read do not grow with the
+    file, unless it is compressed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "length")
+    return files.mapInArrow(_ends_of_files, "file string, first string, last string")
 
 
 def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
