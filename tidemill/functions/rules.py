@@ -13,6 +13,7 @@ GRADE_BANDS = {
            (50, "E")],
     "final": [(95, "A+"), (90, "A"), (85, "B+"), (80, "B"), (75, "C"), (70, "D"), (60, "E")],
 }
+# Full marks, pass percentage and weight in the semester of each kind of exam.
 MAX_MARKS = {"SA": 100, "CA": 60}
 PASS_PERCENT = {"SA": 50, "CA": 45}
 FINAL_WEIGHT = {"SA": 60, "CA": 40}

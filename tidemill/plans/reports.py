@@ -35,12 +35,16 @@ def layers_latest(t):
 _KIND = "CASE WHEN l_orderkey % 2 = 0 THEN 'SA' ELSE 'CA' END"
 
 
+# A number of thousandths as a decimal of three places.
+_MARK = "CAST(CAST({} AS BIGINT) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(16,3))"
+
+
 def exam_marks(t):
-    """An order is an exam sitting, its line numbers are subjects."""
+    """An order is an exam sitting, its line numbers are subjects; the marks of half of them have a 5 in the fourth place."""
     return t.lineitem.groupBy(F.col("l_orderkey").alias("student"), F.col("l_linenumber").alias("subject")).agg(
         F.max("l_quantity").alias("q")).select(
         F.lit(1).alias("exam"), "student", F.when(F.col("student") % 2 == 0, "SA").otherwise("CA").alias("kind"), "subject",
-        F.when(F.col("student") % 2 == 0, F.col("q") * 2).otherwise(F.col("q")).alias("marks"))
+        F.when(F.col("student") % 2 == 0, F.col("q") * 2).otherwise(F.col("q") * 17 / 16).alias("marks"))
 
 
 _GRADE = """CASE WHEN p > 95 THEN 'A+' WHEN p > 90 THEN 'A' WHEN p > 85 THEN 'B+' WHEN p > 80 THEN 'B' WHEN p > 75 THEN 'C+' WHEN p > 70 THEN 'C' WHEN p > 65 THEN 'D+' WHEN p > 60 THEN 'D'
@@ -49,9 +53,10 @@ _GRADE = """CASE WHEN p > 95 THEN 'A+' WHEN p > 90 THEN 'A' WHEN p > 85 THEN 'B+
 
 @query("e2e_02_exam_results", f"""
 WITH q AS (SELECT l_orderkey AS student, l_linenumber AS subject, {_KIND} AS kind, max(l_quantity) AS q FROM lineitem GROUP BY ALL),
-m AS (SELECT student, subject, kind, CASE kind WHEN 'SA' THEN q * 2 ELSE q END AS marks, CASE kind WHEN 'SA' THEN 100.0::DOUBLE ELSE 60 END AS mx, CASE kind WHEN 'SA' THEN 50.0::DOUBLE ELSE 27 END AS pm FROM q),
+m AS (SELECT student, subject, kind, {_MARK.format("CASE kind WHEN 'SA' THEN q::BIGINT * 2000 ELSE (q::BIGINT * 34000 + 16) // 32 END")} AS marks,
+ CAST(CASE kind WHEN 'SA' THEN 100 ELSE 60 END AS DECIMAL(16,3)) AS mx, CAST(CASE kind WHEN 'SA' THEN 50 ELSE 27 END AS DECIMAL(16,3)) AS pm FROM q),
 u AS (SELECT student, kind, CAST(subject AS VARCHAR) AS subject, marks, mx, pm, CASE WHEN marks >= pm THEN 'PASS' ELSE 'FAIL' END AS result, '' AS comment FROM m
- UNION ALL SELECT student, kind, 'subTotal', sum(marks), sum(mx), sum(pm), CASE WHEN count_if(marks < pm) > 0 THEN 'FAIL' ELSE 'PASS' END,
+ UNION ALL SELECT student, kind, 'subTotal', sum(marks)::DECIMAL(16,3), sum(mx)::DECIMAL(16,3), sum(pm)::DECIMAL(16,3), CASE WHEN count_if(marks < pm) > 0 THEN 'FAIL' ELSE 'PASS' END,
   coalesce('Failed in ' || string_agg(CASE WHEN marks < pm THEN CAST(subject AS VARCHAR) END, ',' ORDER BY subject), '') FROM m GROUP BY student, kind),
 g AS (SELECT *, marks * 100 / mx AS p FROM u)
 SELECT student, kind, subject, marks, mx AS max_marks, pm AS pass_mark, result, comment, {_GRADE} AS grade FROM g""")
@@ -63,24 +68,25 @@ def semester(t):
     """Customers are students, priorities subjects; order keys give twelve exams, a third of them not attended."""
     exam = F.col("o_orderkey") % 12
     rows = t.orders.groupBy(F.col("o_custkey").alias("student"), F.col("o_orderpriority").alias("subject"), exam.alias("exam")).agg(
-        F.max(F.round(F.col("o_totalprice") % 101)).alias("marks"))
-    rows = rows.withColumn("kind", F.when(F.col("exam") % 2 == 0, "SA").otherwise("CA")).withColumn("max_marks", F.lit(100.0))
+        F.max(F.round(F.col("o_totalprice") % 65)).alias("marks"))
+    rows = rows.withColumn("kind", F.when(F.col("exam") % 2 == 0, "SA").otherwise("CA")).withColumn("max_marks", F.lit(64.0))
     return rows.select("student", "subject", "kind", "exam"), rows.where("exam % 3 <> 0")
 
 
-@query("e2e_03_semester_results", """
-WITH r AS (SELECT o_custkey AS student, o_orderpriority AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'SA' ELSE 'CA' END AS kind, o_orderkey % 12 AS exam, CASE WHEN o_orderkey % 3 <> 0 THEN max(round(o_totalprice % 101)) END AS marks FROM orders GROUP BY 1, 2, 3, 4, o_orderkey % 3),
-k AS (SELECT student, subject, kind, sum(coalesce(marks * 100 / 100.0::DOUBLE, 0)) * (CASE kind WHEN 'SA' THEN 60.0::DOUBLE ELSE 40 END) / count(*) / 100 AS points,
-  string_agg(CASE WHEN marks IS NULL THEN CAST(exam AS VARCHAR) END, ',' ORDER BY CAST(exam AS VARCHAR)) AS missed FROM r GROUP BY student, subject, kind),
+@query("e2e_03_semester_results", f"""
+WITH r AS (SELECT o_custkey AS student, o_orderpriority AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'SA' ELSE 'CA' END AS kind, o_orderkey % 12 AS exam, CASE WHEN o_orderkey % 3 <> 0 THEN max(round(o_totalprice % 65))::BIGINT END AS marks FROM orders GROUP BY 1, 2, 3, 4, o_orderkey % 3),
+h AS (SELECT *, (2 * marks * 100000 + 64) // 128 AS share, CASE kind WHEN 'SA' THEN 60 ELSE 40 END AS w, count(*) OVER (PARTITION BY student, subject, kind) AS planned FROM r),
+k AS (SELECT student, subject, kind, sum(coalesce((2 * share * w + planned * 100) // (2 * planned * 100), 0)) AS points,
+  string_agg(CASE WHEN marks IS NULL THEN CAST(exam AS VARCHAR) END, ',' ORDER BY CAST(exam AS VARCHAR)) AS missed FROM h GROUP BY student, subject, kind),
 s AS (SELECT student, subject, coalesce(max(CASE WHEN kind = 'SA' THEN points END), 0) AS sa, coalesce(max(CASE WHEN kind = 'CA' THEN points END), 0) AS ca,
   concat_ws(',', max(CASE WHEN kind = 'CA' THEN missed END), max(CASE WHEN kind = 'SA' THEN missed END)) AS missed FROM k GROUP BY student, subject),
-t AS (SELECT *, round(sa + ca, 3) AS total, round(sa, 3) >= 30 AND round(sa + ca, 3) >= 60 AS passed FROM s),
-u AS (SELECT student, subject, round(sa, 3) AS sa_marks, round(ca, 3) AS ca_marks, total, 100 AS out_of, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS result,
-  CASE WHEN round(sa, 3) < 30 THEN 'FAIL in SA' WHEN total < 60 THEN 'Failed to achieve total pass' WHEN round(ca, 3) >= 18 THEN 'PASS in SA and CA' ELSE 'PASS in SA and total, but fail in CA' END AS comment,
+t AS (SELECT *, sa + ca AS total, sa >= 30000 AND sa + ca >= 60000 AS passed FROM s),
+u AS (SELECT student, subject, sa, ca, total, 100 AS out_of, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS result,
+  CASE WHEN sa < 30000 THEN 'FAIL in SA' WHEN total < 60000 THEN 'Failed to achieve total pass' WHEN ca >= 18000 THEN 'PASS in SA and CA' ELSE 'PASS in SA and total, but fail in CA' END AS comment,
   CASE WHEN missed <> '' THEN 'Did not attend ' || missed ELSE '' END AS attendance FROM t
- UNION ALL SELECT student, 'subTotal', round(sum(sa), 3), round(sum(ca), 3), round(sum(total), 3), CAST(count(*) * 100 AS INTEGER), CASE WHEN bool_and(passed) THEN 'ALL-CLEAR' ELSE 'RE-APPEAR' END, '', '' FROM t GROUP BY student),
-g AS (SELECT *, total * 100 / out_of AS p FROM u)
-SELECT student, subject, sa_marks, ca_marks, total, out_of, result, comment, attendance, CASE WHEN p > 95 THEN 'A+' WHEN p > 90 THEN 'A' WHEN p > 85 THEN 'B+' WHEN p > 80 THEN 'B' WHEN p > 75 THEN 'C' WHEN p > 70 THEN 'D' WHEN p >= 60 THEN 'E' WHEN p = 0 THEN 'F-' ELSE 'F' END AS grade FROM g""")
+ UNION ALL SELECT student, 'subTotal', sum(sa), sum(ca), sum(total), CAST(count(*) * 100 AS INTEGER), CASE WHEN bool_and(passed) THEN 'ALL-CLEAR' ELSE 'RE-APPEAR' END, '', '' FROM t GROUP BY student),
+g AS (SELECT *, total / 10.0::DOUBLE / out_of AS p FROM u)
+SELECT student, subject, {_MARK.format("sa")} AS sa_marks, {_MARK.format("ca")} AS ca_marks, {_MARK.format("total")} AS total, out_of, result, comment, attendance, CASE WHEN p > 95 THEN 'A+' WHEN p > 90 THEN 'A' WHEN p > 85 THEN 'B+' WHEN p > 80 THEN 'B' WHEN p > 75 THEN 'C' WHEN p > 70 THEN 'D' WHEN p >= 60 THEN 'E' WHEN p = 0 THEN 'F-' ELSE 'F' END AS grade FROM g""")
 def semester_results(t):
     planned, attended = semester(t)
     return marks.semester_results(planned, attended)
