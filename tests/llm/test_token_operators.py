@@ -95,11 +95,11 @@ def test_units_give_the_ids_of_whole_texts(whole):
     texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(25))) for _ in range(3000)]
     plain, special, pieces = whole
     for low, high, data, offsets in chunks(alignment._spaced(pa.array(texts)), 1 << 14):
-        for model, ask in ((plain, lambda t: plain.model.encode(" " + t, add_special_tokens=False).ids), (pieces, pieces.model.encode)):
-            (ids, first), = tokens.encode_rows([model.memo], data, offsets)
+        for model, signs, ask in ((plain, plain.signs, lambda t: plain.model.encode(" " + t, add_special_tokens=False).ids), (pieces, None, pieces.model.encode)):
+            ids, first = tokens.encode_rows(model.memo, data, offsets, signs)
             assert [ids[p:q].tolist() for p, q in zip(first[:-1], first[1:], strict=True)] == [ask(t) if t else [] for t in texts[low:high]]
     for low, high, data, offsets in chunks(pa.array(texts), 1 << 14):
-        (ids, first), = tokens.encode_rows([special.memo], data, offsets)
+        ids, first = tokens.encode_rows(special.memo, data, offsets, special.signs)
         assert [ids[p:q].tolist() for p, q in zip(first[:-1], first[1:], strict=True)] == [special.model.encode(t, add_special_tokens=False).ids for t in texts[low:high]]
 
 

@@ -118,7 +118,8 @@ def spelled(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, data: np
 
 def _rows(data, offsets, a, b, aligner):
     """n_a, n_b, n_groups, groups_sha256, links (pairs and how often) of each row of bytes, a space before each text."""
-    (ia, fa), (ib, fb) = tokens.encode_rows([a.memo, b.memo], data, offsets)
+    ia, fa = tokens.encode_rows(a.memo, data, offsets, a.signs)
+    ib, fb = tokens.encode_rows(b.memo, data, offsets)
     same = spelled(aligner.a, ia, fa, data, offsets) & spelled(aligner.b, ib, fb, data, offsets) & (np.diff(offsets) > 0)
     ia, ib = ia[np.repeat(same, np.diff(fa))], ib[np.repeat(same, np.diff(fb))]
     na, nb = np.diff(fa) * same, np.diff(fb) * same
@@ -165,7 +166,8 @@ def _aligned(content, proto):
         aligner = Aligner(Vocabulary(a.token_bytes()), Vocabulary(b.token_bytes()))
         for batch in batches:
             for low, high, data, offsets in chunks(_spaced(batch.column("text")), 1 << 21):
-                na, nb, groups, digests, links = _rows(data, offsets, a, b, aligner)
+                with tokens.uncollected():
+                    na, nb, groups, digests, links = _rows(data, offsets, a, b, aligner)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[low:high], pa.array(na), pa.array(nb), pa.array(groups), pa.array(digests, pa.string()), pa.array(links, pa.binary())],
                     names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import tokens
-from tidemill.llm.files import open_path
 from tidemill.llm.tables import with_small_batches
 from tidemill.llm.text import chunks
 from tidemill.session import materialise, shared_folder
+from tidemill.sources.paths import open_path
 
 END = 2
 BLOCK = 512
-FILE_TOKENS = 1 << 24    # a file is closed when it holds so many; a longer document has a file of its own
+FILE_TOKENS = 1 << 23    # a file is closed when it holds so many; a longer document has a file of its own
 PIECE_TOKENS = 1 << 20   # documents are read back in pieces of about so many
 PIECES_PER_TASK = 4
 MAGIC = b"DACTOK01"
@@ -71,7 +71,9 @@ def unpack(data: bytes, skip: int, count: int, width: int) -> np.ndarray:
 def encode(doc_ids: pa.Array, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """A whole file: documents begin at ``starts`` (one more entry) of ``ids``."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
-    lengths = np.bincount(np.searchsorted(np.uint64(1) << np.arange(32, dtype=np.uint64), ids.astype(np.uint64), "right"), minlength=33)
+    powers, lengths = np.uint32(1) << np.arange(32, dtype=np.uint32), np.zeros(33, np.int64)
+    for low in range(0, len(ids), _SLICE):
+        lengths += np.bincount(np.searchsorted(powers, ids[low:low + _SLICE], "right"), minlength=33)
     plan = widths(lengths)
     documents = [np.asarray(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8").tobytes(),
                  doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), np.asarray(starts, "<u8").tobytes()]
@@ -195,10 +197,11 @@ class _Shelf:
 
 def _write(folder: str, vocabulary, end: int, most: int, piece: int):
     def run(batches):
-        memo, shelf = tokens.byte_tokenizer(vocabulary.value, False).memo, _Shelf(folder, most, piece)
+        model, shelf = tokens.byte_tokenizer(vocabulary.value, False), _Shelf(folder, most, piece)
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text"), 1 << 21):
-                (ids, starts), = tokens.encode_rows([memo], data, offsets)
+            for low, high, data, offsets in chunks(batch.column("text"), 1 << 22):
+                with tokens.uncollected():
+                    ids, starts = tokens.encode_rows(model.memo, data, offsets, model.signs)
                 ids = np.insert(ids, starts[1:], end)
                 yield from shelf.add(batch.column("doc_id")[low:high], np.diff(starts) + 1, ids)
         if shelf.held:

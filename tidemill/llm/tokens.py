@@ -2,12 +2,17 @@
 
 A unit runs from a single space between two characters that are no white space (or the start of the text) to the next such space. Neither tokenizer has a token
 across that place: the byte-level pattern starts a new match at such a space, and no piece of the other vocabulary holds a space mark after another character
-(``Pieces`` checks its vocabulary). A text's ids are therefore those of its units in order, as the tests compare with whole texts.
+(``Pieces`` checks its vocabulary). For the byte-level tokenizer a unit also ends where a letter a-z is followed by another ASCII sign that is none: its pattern has no match that goes on after
+a letter with anything but letters. A text's ids are therefore those of its units in order, as the tests compare with whole texts.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice
 
@@ -17,6 +22,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+WORD = re.compile(" ?[A-Za-z]+")
 REMEMBERED = 300_000   # units a worker keeps; beyond that it starts anew
 LONGEST = 64           # longer units are not kept
 MARK = "▁"        # stands for a space in pieces
@@ -28,8 +34,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def unit_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the units of the rows begin."""
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[:128] = ~_LETTER[:128]
+
+
+def unit_begins(data: np.ndarray, offsets: np.ndarray, signs: np.ndarray | None = None) -> np.ndarray:
+    """Where the units of the rows begin; with ``signs`` also at one of these bytes after a letter."""
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     at = np.flatnonzero(data == 32)
@@ -40,6 +52,8 @@ def unit_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     edge[:] = False
     edge[at] = True
     edge[offsets[:-1][np.diff(offsets) > 0]] = True
+    if signs is not None:
+        edge[1:-1] |= _LETTER[data[:-1]] & signs[data[1:]]
     return np.flatnonzero(edge)
 
 
@@ -49,6 +63,16 @@ def strings(data: np.ndarray, begins: np.ndarray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Millions of kept strings and tuples hold no cycles; looking for some again and again would take a tenth of a task's time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Memo:
     """Ids of units by a tokenizer that is asked once for each different one among those kept."""
 
@@ -73,16 +97,12 @@ class Memo:
         return flat[np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)], counts
 
 
-def encode_rows(memos: list[Memo], data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By each memo the ids of all rows, and where each row's begin (one more entry than rows)."""
-    begins = unit_begins(data, offsets)
+def encode_rows(memo: Memo, data: np.ndarray, offsets: np.ndarray, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows and where each row's begin (one more entry than rows)."""
+    begins = unit_begins(data, offsets, signs)
     coded = strings(data, begins).dictionary_encode()
-    keys, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    rows, out = np.searchsorted(begins, offsets), []
-    for memo in memos:
-        ids, counts = memo.ids(keys, place)
-        out.append((ids, np.concatenate([[0], np.cumsum(counts)])[rows]))
-    return out
+    ids, counts = memo.ids(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
+    return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, offsets)]
 
 
 class Bytes:
@@ -91,7 +111,25 @@ class Bytes:
     def __init__(self, content: str, plain: bool):
         self.model = Tokenizer.from_str(content)
         self.model.encode_special_tokens = plain
-        self.memo = Memo(lambda texts: [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        self.memo = Memo(self.ids)
+        # Signs at which a unit may end after a letter; none that follows a letter in a special token, which is never to be cut.
+        self.signs = _SIGN.copy()
+        for token in () if plain else (t.content for t in self.model.get_added_tokens_decoder().values()):
+            if " " in token:
+                raise ValueError("a special token holds a space; texts cannot be cut into units")
+            self.signs[[b for a, b in zip(token.encode(), token.encode()[1:]) if _LETTER[a]]] = False
+
+    def ids(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit. A run of letters a-z, with or without a space before it, is one match of the pattern, so the model is asked for it at once; in the
+        byte alphabet letters stand for themselves and the space is U+0120. Other units go through the whole tokenizer."""
+        found, look = [None] * len(units), self.model.model.tokenize
+        for i, unit in enumerate(units):
+            if WORD.fullmatch(unit):
+                found[i] = [t.id for t in look("\u0120" + unit[1:] if unit[0] == " " else unit)]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id. Tokens are written in a byte alphabet: printable bytes as themselves, the others in order from U+0100 on."""
