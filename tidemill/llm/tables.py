@@ -1,14 +1,15 @@
-"""Dropping rows by id without moving the documents when the ids are few."""
+"""Tables between the steps of an operator, and dropping rows by id without moving the documents when the ids are few."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import MAX_BROADCAST_ROWS, materialise
+from tidemill.session import MAX_BROADCAST_ROWS, materialise, shared_folder
 
 
 def without(docs: DataFrame, decided: DataFrame, doc_id: str, sign: Column) -> DataFrame:
@@ -29,6 +30,27 @@ def without(docs: DataFrame, decided: DataFrame, doc_id: str, sign: Column) -> D
     return rows.join(pairs, rows[doc_id].eqNullSafe(F.col("_dropped_id")) & sign.eqNullSafe(F.col("_dropped_sign")), "left_anti")
 
 
+class Scratch:
+    """Compressed tables in the shared folder that cut lineage like a checkpoint and are deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.kept = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.kept)}"
+        df.write.option("compression", "zstd").parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.kept[path] = found
+        return found
+
+    def free(self, *frames: DataFrame) -> None:
+        """Delete tables that ``keep`` returned. What was made from them must have been kept before."""
+        for path, found in self.kept.items():
+            if any(found is f for f in frames):
+                gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand documents to Python at most ``rows`` at a time: ten thousand long texts, copied on both sides, are hundreds of megabytes a core."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
