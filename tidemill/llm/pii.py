@@ -30,6 +30,7 @@ CONTEXT = {
 BASE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.2}
 NEAR = 0.25
 AROUND = 40
+SUMS = 128   # steps between matches that are added up together
 LEAST = 0.4
 
 
@@ -86,24 +87,42 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 def _spans(kind: str, text: Column) -> Column:
     """The confirmed spans of one kind, in order of start. Each step is a struct, so that the plan stays small."""
     pattern = F.lit(PATTERNS[kind])
-    sum_ = lambda lengths, n: F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x)
+    sum_ = lambda lengths, low, n: F.aggregate(F.slice(lengths, low + 1, n), F.lit(0), lambda a, x: a + x)
+
+    def stepped(x: Column) -> Column:
+        """Code points from the start of each match to the start of the next, and the ends of all pieces of the text, matches and what lies between, that a context may reach."""
+        steps = F.transform(x["found"], lambda _, i: F.char_length(x["between"][i]) + F.when(i > 0, F.char_length(F.get(x["found"], i - 1))).otherwise(0))
+        pieces = F.concat(F.flatten(F.transform(x["found"], lambda value, i: F.array(x["between"][i], value))), F.slice(x["between"], F.size(x["between"]), 1))
+        return F.struct(x["found"].alias("found"), steps.alias("steps"), F.transform(pieces, lambda p: F.right(p, F.lit(AROUND))).alias("tails"),
+                        F.transform(pieces, lambda p: F.left(p, F.lit(AROUND))).alias("heads"))
+
+    def blocked(x: Column) -> Column:
+        """Prefix sums of the sums of every ``SUMS`` steps: a start is one of them and the steps of its own block, so no sum runs over all matches before."""
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(x["steps"]) / SUMS).cast("int")), lambda b: sum_(x["steps"], b * SUMS, F.lit(SUMS)))
+        return _let(sums, lambda s: F.struct(x["found"].alias("found"), x["steps"].alias("steps"), x["tails"].alias("tails"), x["heads"].alias("heads"),
+                                             F.transform(s, lambda _, b: sum_(s, F.lit(0), b)).alias("sums")))
 
     def placed(x: Column) -> Column:
-        return F.transform(x["found"], lambda value, i: F.struct(value.alias("value"), (sum_(x["between"], i + 1) + sum_(x["lengths"], i)).alias("start")))
+        def match(value: Column, i: Column) -> Column:
+            block = F.floor(i / SUMS).cast("int")
+            # A match has two code points or more, so AROUND pieces on either side hold the context.
+            low = F.greatest(2 * i + 1 - AROUND, F.lit(0))
+            before = F.right(F.array_join(F.slice(x["tails"], low + 1, 2 * i + 1 - low), ""), F.lit(AROUND))
+            after = F.left(F.array_join(F.slice(x["heads"], 2 * i + 3, F.lit(AROUND)), ""), F.lit(AROUND))
+            return F.struct(value.alias("value"), (x["sums"][block] + sum_(x["steps"], block * SUMS, i % SUMS + 1)).alias("start"), before.alias("before"), after.alias("after"))
+        return F.transform(x["found"], match)
 
     def ended(x: Column) -> Column:
-        low = F.greatest(x["start"] - AROUND, F.lit(0))
-        before = F.substr(text, low + 1, x["start"] - low)
-        return F.struct(x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), before.alias("before"),
-                        F.regexp_replace(x["value"], "[^A-Za-z0-9]", "").alias("plain"))
+        return F.struct(x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), x["before"].alias("before"),
+                        x["after"].alias("after"), F.regexp_replace(x["value"], "[^A-Za-z0-9]", "").alias("plain"))
 
     def scored(x: Column) -> Column:
-        near = F.lower(F.concat_ws(" ", x["before"], F.substr(text, x["end"] + 1, F.lit(AROUND))))
+        near = F.lower(F.concat_ws(" ", x["before"], x["after"]))
         score = F.lit(BASE[kind]) + F.when(F.rlike(near, F.lit(rf"\b(?:{CONTEXT[kind]})\b")), NEAR).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
-    matches = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.struct(
-        found.alias("found"), F.transform(F.split(text, PATTERNS[kind]), F.char_length).alias("between"), F.transform(found, F.char_length).alias("lengths")))
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, PATTERNS[kind]).alias("between"))
+    matches = _let(_let(found, stepped), blocked)
     spans = F.filter(F.transform(_let(matches, placed), ended), lambda x: _valid(kind, x["value"], x["plain"]))
     spans = F.transform(spans, scored)
     if kind in ("iban", "ssn"):
