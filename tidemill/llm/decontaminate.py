@@ -8,7 +8,7 @@ candidates. Items under ``SHORT`` words have too few starts for that: they are c
 unchanged in every copy, and windows that hold a piece are candidates. A piece is a walk that moves at each step. Each candidate is verified by the exact edit distance of the item to the best stretch of the window.
 
 The walk of a document's windows is followed lazily: a start whose first samples fit no item is dropped there, which finds
-the same candidates as whole keys would. Items are the query set: blocks of ``BLOCK`` go to the tasks as one broadcast of bounded size each.
+the same candidates as whole keys would. Items are the query set: blocks of ``BLOCK`` items and ``BLOCK_WORDS`` words go to the tasks as one broadcast each, whose size these bound.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ REPETITIONS = 24
 STEPS = 8
 SAMPLED = 4
 SHORT = 15
-BLOCK = 1000
+BLOCK, BLOCK_WORDS = 1000, 200_000   # items of a block, and their words in all; a longer item is a block of its own
 EDITS = 0.2
 TRIES, OFTEN = 6, 4   # random offsets to choose a start from, and how often one offset is preferred
 
@@ -54,10 +54,10 @@ class Index:
     vocabulary: np.ndarray
     item_ids: np.ndarray
     items: list[np.ndarray]
-    member: np.ndarray           # per item and word, whether the item has it
+    member: np.ndarray           # sorted item * words + word of the words of each item
     moves: np.ndarray            # per repetition and word, one bit for each step
     samples: list[list[int]]     # per repetition, the sampled steps; the first is 0
-    starts: np.ndarray           # per word, one bit for each repetition in which an item's walk begins with it
+    starts: np.ndarray           # per word, 64 repetitions to a number, one bit for each in which an item's walk begins with it
     prefixes: list[list[np.ndarray]]   # per repetition and sample, the sorted keys of the items so far
     owners: list[tuple[np.ndarray, np.ndarray, np.ndarray]]   # per repetition: sorted full keys, item, offset
 
@@ -88,7 +88,7 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
     moves = np.concatenate([random.integers(0, 256, (repetitions, words), dtype=np.uint8), np.full((pieces, words), 255, np.uint8)])
     samples, prefixes, owners = [], [], []
     used = [np.zeros(len(item), dtype=np.int64) for item in items]
-    starts = np.zeros(words, dtype=np.uint64)
+    starts = np.zeros((words, (repetitions + pieces + 63) // 64), dtype=np.uint64)
     for r in range(repetitions + pieces):
         steps = list(range(STEPS)) if r >= repetitions else [0, *sorted(random.choice(np.arange(1, STEPS), SAMPLED - 1, replace=False).tolist())]
         samples.append(steps)
@@ -103,7 +103,7 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
                 for step, word in enumerate(item[offset:min(end, offset + STEPS)]):
                     key = _key(key, word[None])
                     levels[step].append(int(key[0]))
-                starts[item[offset]] |= np.uint64(1) << np.uint64(r)
+                starts[item[offset], r // 64] |= np.uint64(1) << np.uint64(r % 64)
                 full.append((int(key[0]), number, offset))
                 continue
             # Of some random offsets the one whose word the fewest items have, but none too often: fewer starts to follow, the same windows.
@@ -119,14 +119,13 @@ def build_index(item_ids: list[int], texts: list[str], repetitions: int = REPETI
                     levels[level].append(int(key[0]))
                     level += 1
                 at += int(moves[r, item[at]] >> step & 1)
-            starts[item[offset]] |= np.uint64(1) << np.uint64(r)
+            starts[item[offset], r // 64] |= np.uint64(1) << np.uint64(r % 64)
             full.append((int(key[0]), number, offset))
         prefixes.append([np.unique(np.array(x, dtype=np.uint64)) for x in levels])
         full.sort()
         owners.append((np.array([x[0] for x in full], np.uint64), np.array([x[1] for x in full], np.int64), np.array([x[2] for x in full], np.int64)))
-    member = np.zeros((len(items), words), dtype=bool)
-    for number, item in enumerate(items):
-        member[number, item] = True
+    member = [number * words + np.unique(item) for number, item in enumerate(items)]
+    member = np.concatenate(member) if member else np.zeros(0, np.int64)
     return Index(vocabulary, np.array(item_ids, np.int64), items, member, moves, samples, starts, prefixes, owners)
 
 
@@ -147,11 +146,11 @@ def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray
     longest = max(map(len, index.items), default=0)
     span = len(words) + longest + 1
     masks = index.starts[words]
-    begun = np.flatnonzero(masks)
+    begun = np.flatnonzero(masks.any(axis=1))
     masks = masks[begun]
     found = []
     for r, steps in enumerate(index.samples):
-        p = begun[(masks >> np.uint64(r) & np.uint64(1)).astype(bool)]
+        p = begun[(masks[:, r // 64] >> np.uint64(r % 64) & np.uint64(1)).astype(bool)]
         if not len(p):
             continue
         at, last, key, level = p.copy(), ends[p], np.zeros(len(p), np.uint64), 0
@@ -199,7 +198,8 @@ def _likely(index: Index, words: np.ndarray, first: np.ndarray, found: np.ndarra
         begin = np.maximum(some[:, 2] - allowed, first[some[:, 0]])
         end = np.minimum(some[:, 2] + size + allowed, first[some[:, 0] + 1])
         at = begin[:, None] + np.arange(int((end - begin).max(initial=0)))
-        inside = index.member[some[:, 1][:, None], words[np.minimum(at, len(words) - 1)]] & (at < end[:, None])
+        near = some[:, 1][:, None] * (len(index.vocabulary) + 1) + words[np.minimum(at, len(words) - 1)]
+        inside = _member(near.ravel(), index.member).reshape(near.shape) & (at < end[:, None])
         out.append(some[inside.sum(1) >= size - allowed])
     return np.concatenate(out) if out else found
 
@@ -267,14 +267,18 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "te
     """One broadcast index for each block of items, in order of their ids; items without an id are left out."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null").orderBy("id", "text")
-    block = []
-    for row in items.toLocalIterator():
+    def index(block):
+        return spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions, edits=edits))
+
+    block, held = [], 0
+    for row in items.withColumn("words", F.octet_length(F.coalesce("text", F.lit(""))) / 2).toLocalIterator():  # a word and what parts it have two bytes at least
+        if block and (len(block) == BLOCK or held + row["words"] > BLOCK_WORDS):
+            yield index(block)
+            block, held = [], 0
         block.append(row)
-        if len(block) == BLOCK:
-            yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions, edits=edits))
-            block = []
+        held += row["words"]
     if block:
-        yield spark.sparkContext.broadcast(build_index([r[0] for r in block], [r[1] or "" for r in block], repetitions, edits=edits))
+        yield index(block)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
