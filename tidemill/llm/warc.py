@@ -19,12 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import MAX_BROADCAST_ROWS, materialise, shared_folder
+from tidemill.sources.paths import open_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 STRETCH = 4 << 20
@@ -37,12 +37,6 @@ STRETCHES = "path string, start long, length long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_digest string"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path[len("file:"):]
-    return fs.FileSystem.from_uri(path)
-
-
 # Writing.
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -65,7 +59,7 @@ def _gzip(data: bytes) -> bytes:
 def _write(folder: str):
     def run(batches):
         part = TaskContext.get().partitionId()
-        system, base = _open(folder)
+        system, base = open_path(folder)
         final, own = f"{base}/part-{part:06d}.zip", f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
         lines, offset, records = [], 0, 0
         with system.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as package:
@@ -74,11 +68,11 @@ def _write(folder: str):
                     for row in batch.to_pylist():
                         packed = _gzip(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
                         data.write(packed)
-                        lines.append(f"{row['url'] or ''} {DATE} " + json.dumps({"offset": offset, "length": len(packed)}))
+                        lines.append(f"{''.join((row['url'] or '').split()) or '-'} {DATE} " + json.dumps({"offset": offset, "length": len(packed), "filename": DATA}))
                         offset += len(packed)
                         records += 1
             with package.open(INDEX, "w", force_zip64=True) as index:
-                index.write("\n".join(" ".join(x.split()) for x in lines).encode())
+                index.write("\n".join(lines).encode())
         system.move(own, final)
         yield pa.RecordBatch.from_arrays(
             [pa.array([f"{folder}/part-{part:06d}.zip"]), pa.array([system.get_file_info(final).size], pa.int64()), pa.array([records], pa.int64())],
@@ -95,7 +89,7 @@ def write_pages(pages: DataFrame, folder: str | None = None, page_id: str = "pag
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    system, base = _open(folder)
+    system, base = open_path(folder)
     system.create_dir(base)
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
@@ -167,29 +161,51 @@ def member_start(file, member: Member) -> int:
     return member.header + 30 + sum(struct.unpack("<HH", head[26:30]))
 
 
+def places(lines: bytes) -> list[tuple[str | None, int, int]]:
+    """File name (null: none given), offset and length of each line of an index; a line is a key, a time, and a JSON object, and the key may hold any signs but spaces.
+
+    Offsets and lengths may be numbers or texts. Lines without them, such as headers, are passed over."""
+    out = []
+    for line in lines.splitlines():
+        parts = line.split(None, 2)
+        if len(parts) == 3 and parts[2].startswith(b"{"):
+            about = json.loads(parts[2])
+            if "offset" in about and "length" in about:
+                out.append((about.get("filename"), int(about["offset"]), int(about["length"])))
+    return out
+
+
+def member_stretches(member: Member, indexed: list[tuple[str | None, int, int]], alone: bool) -> list[tuple[int, int]]:
+    """Stretches (offset, length) of whole records of a member. Lines of the index belong to it by the file name, or without one where it is the only member;
+    they may come in any order. If they do not cover the member without gaps, it is one stretch."""
+    mine = sorted((at, size) for name, at, size in indexed if (alone if name is None else name in (member.name, member.name.rpartition("/")[2])))
+    ends = [0, *(at + size for at, size in mine)]
+    if ends[-1] != member.size or any(at != end for (at, _), end in zip(mine, ends[:-1], strict=True)):
+        return [(0, member.size)] if member.size else []
+    out, low = [], 0
+    for at, size in mine:
+        if at > low and at + size - low > STRETCH:
+            out.append((low, at - low))
+            low = at
+    return [*out, (low, member.size - low)] if member.size > low else out
+
+
 def _locate(batches):
     """Stretches of records (path, start, length) of the packages in a batch of paths."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            system, name = _open(path)
+            system, name = open_path(path)
             rows = []
             with system.open_input_file(name) as file:
                 members = directory(file, file.size())
-                index = next((m for m in members if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj"))), None)
-                for m in (m for m in members if m.name.startswith("archive/")):
+                indexed = []
+                for m in members:
+                    if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj")):
+                        indexed += places(bytes(file.read_at(m.size, member_start(file, m))))
+                data = [m for m in members if m.name.startswith("archive/") and not m.name.endswith("/")]
+                for m in data:
                     start = member_start(file, m)
-                    if index is None:
-                        rows += [(start, m.size)] if m.size else []
-                        continue
-                    low = high = 0
-                    for line in bytes(file.read_at(index.size, member_start(file, index))).splitlines():
-                        place = json.loads(line[line.index(b"{"):])
-                        if high - low and high - low + place["length"] > STRETCH:
-                            rows.append((start + low, high - low))
-                            low = place["offset"]
-                        high = place["offset"] + place["length"]
-                    if high - low:
-                        rows.append((start + low, high - low))
+                    rows += [(start + low, length) for low, length in member_stretches(m, indexed, len(data) == 1)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
                                                  names=["path", "start", "length"])
@@ -222,7 +238,7 @@ def _page(urn: str | None) -> int | None:
 def _read(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            system, name = _open(row["path"])
+            system, name = open_path(row["path"])
             with system.open_input_file(name) as file:
                 data = bytes(file.read_at(row["length"], row["start"]))
             out = []
