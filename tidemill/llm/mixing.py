@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemill.session import materialise
 
 WHOLE = "decimal(38,0)"
+RANGE_ROWS = 4096
 
 
 def shares(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
@@ -89,14 +90,18 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, Column], budget,
     order, are taken together or, at the cut, by how many fit. An empty table gives an empty table. Only the columns named are read.
     """
     rows = materialise(docs.select(F.col(doc_id).alias("doc_id"), *levels, F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("n_tokens")))
-    plan = materialise(budgets(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), levels, weights, budget, max_epochs))
+    leaves = materialise(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows")))
+    plan = materialise(budgets(leaves.drop("_rows"), levels, weights, budget, max_epochs))
+    # Digits of the key that cut a leaf into ranges of about RANGE_ROWS rows, whatever its size.
+    digits = F.greatest(F.ceil(F.log(16.0, F.col("_rows") / RANGE_ROWS)), F.lit(1)).cast("int")
+    plan = on_levels(plan, leaves.select(*levels, digits.alias("_digits")), levels)
     plan = plan.withColumn("_whole", F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(0).cast("long"))
     plan = plan.withColumn("_whole", F.least("_whole", F.lit(max_epochs)))
     plan = plan.withColumn("_rest", F.when(F.col("_whole") < max_epochs, F.col("leaf_budget") - F.col("_whole") * F.col("tokens")).otherwise(0))
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ordered = (on_levels(rows, plan.drop("tokens"), levels).filter("leaf_budget > 0")
-               .withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3)))
+               .withColumn("_key", key).withColumn("_range", F.substring("_key", F.lit(1), F.col("_digits"))))
     sums = ordered.groupBy(*levels, "_range").agg(F.sum("n_tokens").alias("_tokens"))
     before = Window.partitionBy(*levels).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_tokens").over(before), F.lit(0)))

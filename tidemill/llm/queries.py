@@ -59,11 +59,11 @@ def _nodes(level: int) -> str:
     weight = {"domain": "case domain when 'd0' then 4 when 'd1' then 3 when 'd2' then 2 else 1 end",
               "lang": "case lang when 'en' then 5 when 'de' then 3 else 2 end", "source": "length(coalesce(source, ''))"}[path[-1]]
     if not level:
-        return f"n0 as (select domain, 0 root, {weight} weight, sum(tokens) * {EPOCHS} capacity, (select sum(tokens) from leaf) budget from leaf group by domain)"
+        return f"n0 as (select domain, 0 root, {weight} weight, sum(able) * {EPOCHS} capacity, (select sum(tokens) from leaf) budget from leaf group by domain)"
     on = " and ".join(f"l.{c} is not distinct from s.{c}" for c in path[:-1])
     columns = ", ".join(f"l.{c}" for c in path)
     return f"""n{level} as (select {columns}, {weight.replace(path[-1], 'l.' + path[-1], 1)} weight, l.capacity, s.share budget
-      from (select {', '.join(path)}, sum(tokens) * {EPOCHS} capacity from leaf group by all) l join s{level - 1} s on {on})"""
+      from (select {', '.join(path)}, sum(able) * {EPOCHS} capacity from leaf group by all) l join s{level - 1} s on {on})"""
 
 
 OP1_SQL = rf"""
@@ -71,7 +71,7 @@ with rows_ as (
   select doc_id, lang, source,
     case when regexp_matches(coalesce(source, ''), '^src[0-9]+$') then 'd' || (substr(source, 4)::bigint % 4) else 'none' end as domain,
     len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::bigint n_tokens from documents),
-leaf as (select domain, lang, source, sum(n_tokens)::bigint tokens from rows_ group by all),
+leaf as (select domain, lang, source, sum(n_tokens)::bigint tokens, sum(case when length(coalesce(source, '')) > 0 then n_tokens else 0 end)::bigint able from rows_ group by all),
 {_nodes(0)},{_share(0)},
 {_nodes(1)},{_share(1)},
 {_nodes(2)},{_share(2)},
