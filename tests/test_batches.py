@@ -50,6 +50,31 @@ def test_hold_and_release_between_batches(spark, folder, rows):
     assert rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id")) == first
 
 
+def test_replay_reads_neither_clock_nor_parents_anew(spark, folder, rows):
+    """Between the first run of a batch and its replay a parent comes and the clock passes the expiry; the replay releases what the first run did."""
+    src, schema, users = f"{folder}/in", "id string, user string, at timestamp", f"{folder}/users"
+    spark.createDataFrame([("u1",)], "user string").write.parquet(users)
+    clock = ["2024-01-01 12:00:00"]
+    fn = batches.hold_and_release(f"{folder}/released", f"{folder}/held", lambda s: [(s.read.parquet(users), ["user"])], ["id"], "at",
+                                  lambda: F.lit(clock[0]).cast("timestamp"), "1 day")
+    put(src, [{"id": "b1", "user": "u1", "at": "2024-01-01 10:00:00"}, {"id": "b2", "user": "u2", "at": "2024-01-01 10:00:00"}])
+    run(spark, src, schema, f"{folder}/ck", fn)
+    put(src, [{"id": "b3", "user": "u1", "at": "2024-01-01 11:00:00"}, {"id": "b4", "user": "u3", "at": "2024-01-01 11:00:00"}])
+    run(spark, src, schema, f"{folder}/ck", fn)
+    like = spark.read.schema(schema).json(src)
+    first = rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id")), rows(batches.current_state(spark, f"{folder}/held", like).select("id"))
+    assert first == ([("b1", 0), ("b3", 1)], [("b2",), ("b4",)])
+    spark.createDataFrame([("u2",), ("u3",)], "user string").write.mode("append").parquet(users)
+    clock[0] = "2024-02-01 00:00:00"
+    for name in ("1", ".1.crc"):
+        os.remove(f"{folder}/ck/commits/{name}")
+    run(spark, src, schema, f"{folder}/ck", fn)
+    assert (rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id")), rows(batches.current_state(spark, f"{folder}/held", like).select("id"))) == first
+    put(src, [{"id": "b5", "user": "u1", "at": "2024-02-01 00:00:00"}])
+    run(spark, src, schema, f"{folder}/ck", fn)  # the next batch reads both anew: b2 and b4 have expired
+    assert rows(spark.read.parquet(f"{folder}/released").select("id", "batch_id")) == [("b1", 0), ("b3", 1), ("b5", 2)]
+
+
 def test_counters_are_replay_safe(spark, folder, rows):
     src, schema = f"{folder}/in", "page string, day string"
     put(src, [{"page": "a", "day": "1"}, {"page": "a", "day": "1"}])

@@ -71,18 +71,33 @@ def write_state(state: DataFrame, path: str, batch_id: int) -> None:
     state.unionByName(marker).write.mode("overwrite").parquet(folder)
 
 
+def _fixed_inputs(spark: SparkSession, folder: str, rows: DataFrame, parents: Callable, now: Callable[[], Column]) -> tuple[list, Column]:
+    """What a batch reads besides its rows, read once: the parent keys its rows ask for and the time. A replay finds them where the first run wrote them;
+    the time is written last, so inputs that were cut off are read anew, before anything was made from them."""
+    if file_status(spark, f"{folder}/clock/_SUCCESS") is None:
+        for i, (parent, keys) in enumerate(parents(spark)):
+            parent.select(*keys).distinct().join(rows.select(*keys), keys, "left_semi").write.mode("overwrite").parquet(f"{folder}/parents-{i}")
+        spark.range(1).select(F.unix_micros(now()).alias("now")).write.mode("overwrite").parquet(f"{folder}/clock")
+    fixed = [(spark.read.schema(parent.select(*keys).schema).parquet(f"{folder}/parents-{i}"), keys) for i, (parent, keys) in enumerate(parents(spark))]
+    return fixed, F.timestamp_micros(F.lit(spark.read.parquet(f"{folder}/clock").first()["now"]))
+
+
 def hold_and_release(released: str, held: str, parents: Callable[[SparkSession], list[tuple[DataFrame, list[str]]]],
                      identity: list[str], ts: str, now: Callable[[], Column], expiry: str) -> Callable:
     """Keep unresolved rows in the ``held`` table and write resolved ones to ``released``; the held
-    state of a batch is written last. Released rows carry ``run`` and ``batch_id``."""
+    state of a batch is written last. Released rows carry ``run`` and ``batch_id``. The time and the parent keys of a batch are stored with the state, so
+    a replay releases the same rows whatever the clock says and whichever parents have come since."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
+        run = run_name(spark, held)
         waiting = before_batch(spark, held, batch, batch_id)
-        step = holding.resolve(waiting, batch, parents(spark), identity, ts, now(), expiry)
-        out = step.released.withColumns({"run": F.lit(run_name(spark, held)), "batch_id": F.lit(batch_id)})
+        known, at = _fixed_inputs(spark, f"{held}/_inputs/{run}/{batch_id}", waiting.unionByName(batch), parents, now)
+        step = holding.resolve(waiting, batch, known, identity, ts, at, expiry)
+        out = step.released.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)})
         replace_partitions(out, released, ["run", "batch_id"])
         write_state(step.held, held, batch_id)
+        redo.delete_folder(spark, f"{held}/_inputs/{run}/{batch_id - 1}")
         batch.unpersist()
     return write
 
