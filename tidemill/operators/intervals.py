@@ -187,8 +187,9 @@ def range_join(rows: DataFrame, refs: DataFrame, keys: list[str], start: str, en
 
 
 def as_of_lookup(rows: DataFrame, dated: DataFrame, keys: list[str], at: str, start: str,
-                 values: list[str]) -> DataFrame:
-    """Each row with the values of the latest dated entry of its key that started at or before ``at``.
+                 values: list[str], bound_by: DataFrame | None = None) -> DataFrame:
+    """Each row with the values of the latest dated entry of its key that started at or before ``at``. ``bound_by`` is a frame cheaper to count than both
+    inputs, with at least as many rows per key as they have together.
 
     Both sides are put in one ordered stream per key and the last entry is carried forward, so no
     pairs are made and a hot key is cut by time like any other ordered group."""
@@ -196,5 +197,5 @@ def as_of_lookup(rows: DataFrame, dated: DataFrame, keys: list[str], at: str, st
                          F.struct(F.col(start), *values).alias("_entry"))
     plain = rows.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_src"))
     both = entry.unionByName(plain, allowMissingColumns=True)
-    filled = OrderedGroups(both, keys, ["_at", "_kind"]).fill_forward("_found", "_entry").frame.where("_kind = 1")
+    filled = OrderedGroups(both, keys, ["_at", "_kind"], bound_by=bound_by).fill_forward("_found", "_entry").frame.where("_kind = 1")
     return filled.select("_src.*", *[F.col("_found")[c].alias(c) for c in [start, *values]])
