@@ -134,7 +134,8 @@ FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity, l_discount FROM lineite
 def order_grammar(t):
     """Messages ``VERB||orderId::..+orderItems::(id~qty~..),(..)`` built from orders and parsed back.
     One message takes the items of a hundred part ids, so its length is bounded by their domain."""
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_discount").distinct()
+    known = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_discount").join(known, "l_orderkey", "left_semi")  # grouped below in the same hash by order
     pct = F.round(F.col("l_discount") * 100).cast("int").cast("string")
     item, qty = F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string")
     rebated = F.col("l_discount") > 0.05
@@ -143,7 +144,6 @@ def order_grammar(t):
     even = F.col("l_orderkey") % 2 == 0
     messages = lines.groupBy("l_orderkey", F.floor(F.col("l_partkey") / 100)).agg(F.concat(F.lit("("), F.array_join(
         F.collect_set(F.when(even, ins).otherwise(upd)), "),("), F.lit(")")).alias("items"))
-    messages = messages.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     verb = F.when(F.col("l_orderkey") % 2 == 0, "INS").otherwise("UPD")
     messages = messages.select(F.concat(verb, F.lit("||orderId::"), F.col("l_orderkey").cast("string"), F.lit("+orderItems::"),
                                         "items").alias("message"))
