@@ -43,9 +43,9 @@ def aggregate(t):
 WITH m AS (SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS a FROM events)
 SELECT event_id, unnest(generate_series(a // 15, (a + 39) // 15)) * 15 AS slot FROM m""")
 def row_to_rows(t):
-    t.spark.udtf.register("slots", udfs.slot_generator())
-    rows = t.events.select("event_id", F.floor(F.unix_timestamp("ts") / 60).alias("a"))
-    return t.spark.sql("SELECT event_id, slot FROM {rows}, LATERAL slots(a, a + 40)", rows=rows)
+    minute = F.floor(F.unix_timestamp("ts") / 60)
+    rows = t.events.select("event_id", minute.alias("a"), (minute + 40).alias("b"))
+    return udfs.row_to_rows(rows, udfs.slots("a", "b"), "slot long").select("event_id", "slot")
 
 
 @query("udf_06_per_group", "SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS busiest FROM events GROUP BY event_type, CAST(ts AS DATE) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, CAST(ts AS DATE)) = 1")
