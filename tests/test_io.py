@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemill.sources import messages, readers, schemas, writers
 
-CARS = [("v1", "figo", "ford", 2017, 6), ("v2", "jazz", "honda", 2018, 7), ("v3", "polo", "vw", 2017, 8)]
-CAR_SCHEMA = "id string, model string, brand string, year int, month int"
+TREES = [("t1", "oak", "harbour", 2011, 4), ("t2", "elm", "meadow", 2013, 9), ("t3", "yew", "quay", 2011, 11)]
+TREE_SCHEMA = "id string, species string, site string, planted int, height int"
 
 
 def text(path, *lines):
@@ -19,16 +19,16 @@ def text(path, *lines):
 
 
 @pytest.fixture
-def cars(spark):
-    return spark.createDataFrame(CARS, CAR_SCHEMA)
+def trees(spark):
+    return spark.createDataFrame(TREES, TREE_SCHEMA)
 
 
 @pytest.mark.parametrize("kind", ["parquet", "json", "orc", "csv", "xml"])
-def test_round_trip(spark, cars, folder, rows, kind):
-    options = {"header": "true"} if kind == "csv" else {"rowTag": "car"} if kind == "xml" else {}
-    writers.write(cars, kind, f"{folder}/x", **options)
-    read = readers.read(spark, kind, f"{folder}/x", schema=CAR_SCHEMA, **({"rowTag": "car"} if kind == "xml" else {}))
-    assert rows(read) == sorted(CARS)
+def test_round_trip(spark, trees, folder, rows, kind):
+    options = {"header": "true"} if kind == "csv" else {"rowTag": "tree"} if kind == "xml" else {}
+    writers.write(trees, kind, f"{folder}/x", **options)
+    read = readers.read(spark, kind, f"{folder}/x", schema=TREE_SCHEMA, **({"rowTag": "tree"} if kind == "xml" else {}))
+    assert rows(read) == sorted(TREES)
 
 
 def test_csv_header_delimiter_and_names(spark, folder, rows):
@@ -59,37 +59,37 @@ def test_gzip_and_first_last_line(spark, folder, rows):
     assert rows(out) == [("a.txt.gz", "first", "last"), ("b.txt", "one", "one")]
 
 
-def test_partitions_read_back_and_pruned(spark, cars, folder, rows):
-    cars = cars.union(spark.createDataFrame([("v4", None, "ford", 2019, 1)], CAR_SCHEMA))
-    writers.write(cars, "parquet", f"{folder}/p", partition_by=["brand", "model"], repartition=4, repartition_by=["brand"])
+def test_partitions_read_back_and_pruned(spark, trees, folder, rows):
+    trees = trees.union(spark.createDataFrame([("t4", None, "harbour", 2015, 1)], TREE_SCHEMA))
+    writers.write(trees, "parquet", f"{folder}/p", partition_by=["site", "species"], repartition=4, repartition_by=["site"])
     back = readers.read(spark, "parquet", f"{folder}/p")
-    assert back.where("id = 'v4'").first().model is None
-    some = readers.read_partitions(spark, f"{folder}/p", {"brand": ["ford", "none"], "year": [2017]})
-    assert rows(some.select("id")) == [("v1",)]
+    assert back.where("id = 't4'").first().species is None
+    some = readers.read_partitions(spark, f"{folder}/p", {"site": ["harbour", "none"], "planted": [2011]})
+    assert rows(some.select("id")) == [("t1",)]
     assert len(some.inputFiles()) <= 4
 
 
-def test_dynamic_overwrite_keeps_other_partitions(spark, cars, folder, rows):
-    writers.replace_partitions(cars, f"{folder}/p", ["year"])
-    writers.replace_partitions(cars.where("id = 'v1'").withColumn("month", F.lit(12)), f"{folder}/p", ["year"])
-    assert rows(spark.read.parquet(f"{folder}/p").select("id", "month")) == [("v1", 12), ("v2", 7)]
+def test_dynamic_overwrite_keeps_other_partitions(spark, trees, folder, rows):
+    writers.replace_partitions(trees, f"{folder}/p", ["planted"])
+    writers.replace_partitions(trees.where("id = 't1'").withColumn("height", F.lit(12)), f"{folder}/p", ["planted"])
+    assert rows(spark.read.parquet(f"{folder}/p").select("id", "height")) == [("t1", 12), ("t2", 9)]
     with pytest.raises(ValueError):
-        writers.replace_matching(spark, f"{folder}/p", F.col("year") == 2018, cars, ["year"])
+        writers.replace_matching(spark, f"{folder}/p", F.col("planted") == 2013, trees, ["planted"])
 
 
-def test_bucketed_tables_join_without_shuffle(spark, cars, rows):
-    for name in ("cars_a", "cars_b"):
+def test_bucketed_tables_join_without_shuffle(spark, trees, rows):
+    for name in ("trees_a", "trees_b"):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        writers.save_table(cars, name, partition_by=["year"], bucket_by=["brand"], buckets=4)
-    writers.insert_into(cars.where("id = 'v1'"), "cars_a", repartition=1)
-    assert spark.table("cars_a").count() == 4
+        writers.save_table(trees, name, partition_by=["planted"], bucket_by=["site"], buckets=4)
+    writers.insert_into(trees.where("id = 't1'"), "trees_a", repartition=1)
+    assert spark.table("trees_a").count() == 4
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    joined = spark.table("cars_a").join(spark.table("cars_b"), "brand")
+    joined = spark.table("trees_a").join(spark.table("trees_b"), "site")
     joined.collect()
-    plan = "\n".join(r[0] for r in spark.sql("EXPLAIN SELECT * FROM cars_a JOIN cars_b USING (brand)").collect())
+    plan = "\n".join(r[0] for r in spark.sql("EXPLAIN SELECT * FROM trees_a JOIN trees_b USING (site)").collect())
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
-    assert readers.sql(spark, "SELECT count(*) AS n FROM cars_b").first().n == 3
+    assert readers.sql(spark, "SELECT count(*) AS n FROM trees_b").first().n == 3
 
 
 def test_compaction_and_recover(spark, folder):
@@ -114,33 +114,33 @@ def test_salted_partition_write(spark, folder):
     assert spark.read.parquet(f"{folder}/s").count() == 1000
 
 
-def test_versions(spark, cars, folder, rows):
+def test_versions(spark, trees, folder, rows):
     assert writers.next_version(spark, f"{folder}/v") == 1
-    writers.write_version(cars, f"{folder}/v", 1)
+    writers.write_version(trees, f"{folder}/v", 1)
     for _ in range(2):
-        writers.write_version(cars.where("id <> 'v2'"), f"{folder}/v", 2)
+        writers.write_version(trees.where("id <> 't2'"), f"{folder}/v", 2)
     assert writers.next_version(spark, f"{folder}/v") == 3
     assert readers.read(spark, "parquet", f"{folder}/v").count() == 5
     assert writers.read_version(spark, f"{folder}/v").count() == 2
     assert writers.read_version(spark, f"{folder}/v", 1).count() == 3
 
 
-def test_merged_schemas(spark, cars, folder):
-    cars.write.parquet(f"{folder}/m")
-    cars.withColumn("owners", F.lit(2)).write.mode("append").parquet(f"{folder}/m")
+def test_merged_schemas(spark, trees, folder):
+    trees.write.parquet(f"{folder}/m")
+    trees.withColumn("keepers", F.lit(2)).write.mode("append").parquet(f"{folder}/m")
     both = spark.read.option("mergeSchema", "true").parquet(f"{folder}/m")
-    assert both.where("owners is null").count() == 3 and both.count() == 6
+    assert both.where("keepers is null").count() == 3 and both.count() == 6
 
 
-def test_jdbc(spark, cars, rows):
-    options = {"url": "jdbc:derby:memory:tidemill;create=true", "dbtable": "cars", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    slim = cars.select("id", "brand", "year")
+def test_jdbc(spark, trees, rows):
+    options = {"url": "jdbc:derby:memory:tidemill;create=true", "dbtable": "trees", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    slim = trees.select("id", "site", "planted")
     writers.write(slim, "jdbc", mode="overwrite", **options)
-    writers.write(slim.where("id = 'v1'").withColumn("id", F.lit("v9")), "jdbc", mode="append", **options)
-    out = readers.read_jdbc(spark, options["url"], 'SELECT "id" FROM cars WHERE "year" = 2017', driver=options["driver"])
-    assert rows(out) == [("v1",), ("v3",), ("v9",)]
-    sliced = readers.read_jdbc(spark, options["url"], 'SELECT "id", "year" FROM cars', driver=options["driver"], partition="year",
-                               bounds=(2017, 2019), partitions=2)
+    writers.write(slim.where("id = 't1'").withColumn("id", F.lit("t9")), "jdbc", mode="append", **options)
+    out = readers.read_jdbc(spark, options["url"], 'SELECT "id" FROM trees WHERE "planted" = 2011', driver=options["driver"])
+    assert rows(out) == [("t1",), ("t3",), ("t9",)]
+    sliced = readers.read_jdbc(spark, options["url"], 'SELECT "id", "planted" FROM trees', driver=options["driver"], partition="planted",
+                               bounds=(2011, 2015), partitions=2)
     assert sliced.count() == 4
 
 
@@ -184,12 +184,12 @@ def test_run_time_schemas(spark):
     assert schemas.from_dtypes(df) == "`v` string"
 
 
-def test_schema_gate(spark, cars, rows):
-    assert schemas.schema_diff(spark, cars.schema, cars.schema).count() == 0
-    other = cars.select("id", "brand", "model", F.col("year").cast("string").alias("year"), F.lit(1).alias("owners"))
-    assert rows(schemas.schema_diff(spark, cars.schema, other.schema).select("name", "difference")) == [
-        ("brand", "order"), ("model", "order"), ("month", "missing in target"), ("owners", "missing in source"), ("year", "type")]
-    assert schemas.clean_names(cars.toDF(" a b", "c ", "d", "e", "f")).columns[:2] == ["a_b", "c"]
+def test_schema_gate(spark, trees, rows):
+    assert schemas.schema_diff(spark, trees.schema, trees.schema).count() == 0
+    other = trees.select("id", "site", "species", F.col("planted").cast("string").alias("planted"), F.lit(1).alias("keepers"))
+    assert rows(schemas.schema_diff(spark, trees.schema, other.schema).select("name", "difference")) == [
+        ("height", "missing in target"), ("keepers", "missing in source"), ("planted", "type"), ("site", "order"), ("species", "order")]
+    assert schemas.clean_names(trees.toDF(" a b", "c ", "d", "e", "f")).columns[:2] == ["a_b", "c"]
 
 
 def test_headers_and_order_messages(spark):
