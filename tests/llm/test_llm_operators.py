@@ -206,3 +206,137 @@ def test_pipeline_stages(spark, odd):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     oracle.same(queries.QUERIES[name](spark, FOLDER), oracle.connect(FOLDER), queries.ORACLE[name])
+
+
+def test_urls_with_braces_and_repeated_rows(spark, folder):
+    long = "<p>" + "z" * 200
+    rows = [(1, "http://a/{id}", long), (2, "http://a/{\"offset\": 1} {", "two"), (3, None, "three"), (4, " \n ", None), (1, "http://a/{id}", long), (5, "http://é/ü?q={}", long), (5, "other", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    found = warc.read_packages(warc.write_pages(pages, f"{folder}/w").select("path")).collect()
+    assert sorted(repr((r["page_id"], r["url"], r["record_type"], r["refers_to"])) for r in found) == sorted(map(repr, [
+        (1, "http://a/{id}", "response", None), (1, "http://a/{id}", "response", None), (2, "http://a/{\"offset\":1}{", "response", None), (3, "", "response", None),
+        (4, "", "response", None), (5, "http://é/ü?q={}", "revisit", 1), (5, "other", "response", None)]))
+
+
+@pytest.mark.parametrize("layout", ["by url", "texts", "gaps", "no names", "none"])
+def test_packages_of_other_writers(spark, folder, layout):
+    """Two members, one index sorted by URL, offsets as texts, lines that leave records out, no file names, no index."""
+    import hashlib
+    import json
+    records, lines, members = [], [], {"archive/a.warc.gz": b"", "archive/b.warc.gz": b""}
+    for i in range(40):
+        name = f"archive/{'ab'[i % 2]}.warc.gz"
+        payload = f"page {i} ".encode() * 30
+        packed = warc._gzip(warc.record(i, f"http://h/{i * 7 % 40:02d}", payload, hashlib.sha256(payload).hexdigest(), None))
+        kind = str if layout == "texts" else int
+        about = {"url": f"http://h/{i}", "offset": kind(len(members[name])), "length": kind(len(packed)), "filename": name.partition("/")[2]}
+        if layout == "no names":
+            del about["filename"]
+        lines.append(f"h,a)/{{{i * 7 % 40:02d}}} 20240101 " + json.dumps(about))
+        members[name] += packed
+        records.append((i, payload))
+    if layout == "gaps":
+        del lines[5]
+    with zipfile.ZipFile(f"{folder}/other.zip", "w", zipfile.ZIP_STORED) as package:
+        if layout != "none":
+            package.writestr("indexes/all.cdxj", "\n".join(["!meta 1 {}", "broken", *sorted(lines)]))
+        for name, data in members.items():
+            package.writestr(name, data)
+    found = warc.read_packages(spark.createDataFrame([(f"{folder}/other.zip",)], "path string")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in found) == records
+
+
+def test_stretches_follow_the_index():
+    member = warc.Member("archive/x.warc.gz", 0, 0, 3 * warc.STRETCH)
+    third = warc.STRETCH
+    lines = [("x.warc.gz", 2 * third, third), ("x.warc.gz", 0, third), ("x.warc.gz", third, third), ("y.warc.gz", 5, 9)]
+    assert warc.member_stretches(member, lines, False) == [(0, third), (third, third), (2 * third, third)]
+    assert warc.member_stretches(member, lines[1:], False) == [(0, 3 * third)] and warc.member_stretches(member, [(None, 0, 3 * third)], True) == [(0, 3 * third)]
+
+
+def test_decontamination_beyond_64_repetitions():
+    pick = random.Random(9)
+    vocabulary = ["".join(pick.choice("abcdefghij") for _ in range(4)) for _ in range(800)]
+    items = [[pick.choice(vocabulary) for _ in range(30)] for _ in range(20)]
+    index = decontaminate.build_index(list(range(20)), [" ".join(x) for x in items], repetitions=130)
+    assert index.starts.shape[1] == 3 and all(index.starts[:, k].any() for k in range(3))
+    late = decontaminate.build_index(list(range(20)), [" ".join(x) for x in items], repetitions=130)
+    late.starts[:, 0] = 0  # only repetitions from 64 on
+    rows = [" ".join(["zzz", *item, "yyy"]) for item in items]
+    assert {(r[0], r[1]) for r in decontaminate._found(late, pa.array(rows), 0.2)} >= {(i, i) for i in range(18)}
+
+
+def test_decontamination_against_exhaustive_search(spark):
+    """Real texts: every find is one by exhaustive edit search, and every copy that search sees is found."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()][:80]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    index = decontaminate.build_index([i for i, _ in bench], [t for _, t in bench])
+    numbered, words = {}, []
+    for _, text in docs:
+        hashes = decontaminate._word_hashes(*decontaminate_bytes(text))[0]
+        words.append(np.array([numbered.setdefault(int(h), len(numbered) + 1) for h in hashes], np.int64))
+    truth = set()
+    for k, (item_id, text) in enumerate(bench):
+        hashes = decontaminate._word_hashes(*decontaminate_bytes(text))[0]
+        item = np.array([numbered.get(int(h), -1) for h in hashes], np.int64)
+        for d, (doc_id, _) in enumerate(docs):
+            if len(item) and len(words[d]) and np.isin(words[d], item).sum() >= 0.8 * len(item) and decontaminate.best_stretch(item, words[d])[0] <= int(0.2 * len(item)):
+                truth.add((doc_id, item_id))
+    found = {(docs[r[0]][0], int(index.item_ids[r[1]])) for r in decontaminate._found(index, pa.array([t for _, t in docs], pa.string()), 0.2)}
+    assert found == truth
+
+
+def decontaminate_bytes(text):
+    from tidemill.llm.text import text_bytes
+    return text_bytes(decontaminate._lower(pa.array([text], pa.string())))
+
+
+def test_mixing_odd_rows(spark):
+    """Null ids and levels, repeated rows, rows without tokens, ties at the cut, other columns with clashing names."""
+    rows = [(None, "a", None, 10), (1, "a", "x", 10), (1, "a", "x", 10), (2, "a", "x", None), (3, "a", "x", 7), (3, "a", "x", 5), (4, None, "x", 10), (5, None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, d string, s string, n_tokens long").selectExpr("*", "1 _key", "2 leaf_budget", "3 _range", "4 epochs")
+    weights = {"d": F.lit(1), "s": F.lit(1)}
+    whole = mixing.mix(df, ["d", "s"], weights, 1000, 1)
+    assert whole.columns == ["doc_id", "d", "s", "n_tokens", "epochs"]
+    assert sorted(map(repr, ((r["doc_id"], r["d"], r["s"], r["n_tokens"], r["epochs"]) for r in whole.collect()))) == sorted(repr((i, d, s, n or 0, 1)) for i, d, s, n in rows if (d, s) != (None, None))
+    for budget in (5, 20, 37):
+        once, again = ([sorted(map(repr, map(tuple, mixing.mix(x, ["d", "s"], weights, budget, 1).collect()))) for x in (df, df.repartition(5))])
+        assert once == again
+        spent = mixing.mix(df, ["d", "s"], weights, budget, 1).agg(F.sum(F.col("n_tokens") * F.col("epochs"))).first()[0] or 0
+        assert spent <= budget
+
+
+def test_mixing_ranges_follow_the_leaf(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id doc_id", "'a' d", "if(id % 10 = 0, 'rare', 'big') s", "id % 7 + 1 n_tokens")
+    weights = {"d": F.lit(1), "s": F.lit(1)}
+    plain = sorted(map(tuple, mixing.mix(df, ["d", "s"], weights, 5000, 2).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert sorted(map(tuple, mixing.mix(df, ["d", "s"], weights, 5000, 2).collect())) == plain
+
+
+def test_mixing_sql_on_sources_without_weight(spark, folder):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("source")))
+    odd.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    oracle.same(queries.op1_mixing(spark, folder), con, queries.ORACLE["op1_mixing"])
+
+
+def test_lm_counts_against_brute_force(spark):
+    import re
+    import zlib
+    from collections import Counter
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) + ["\x00end"] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
+    counts = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+    total = sum(counts.values())
+    below = total + 0.1 * (len(counts) + 1)
+    for r in queries.op8_lm_scores(spark, "/root/testdata/sf0.001").collect():
+        ws = words[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(counts[w] > 0 for w in ws), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / below) for w in ws), rel=1e-9)

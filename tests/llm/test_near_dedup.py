@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import tidemill.llm.near_dedup as module
 from tidemill.llm.exact_dedup import keep_distinct
 from tidemill.llm.near_dedup import keep_one_each, near_dedup
 
@@ -105,3 +106,52 @@ def test_rows_of_null_and_repeated_ids_stay_by_their_own_text(spark):
     df = spark.createDataFrame([(None, a), (None, b), (5, a.upper()), (3, c), (3, d), (7, c), (2, ""), (8, None), (2, "x")], "doc_id long, text string")
     stay = [(None, b), (5, a.upper()), (3, d), (7, c), (8, None), (2, "x")]
     assert sorted(map(tuple, keep_distinct(df).collect()), key=str) == sorted(stay, key=str)
+
+
+def test_unlinked_classes_of_one_long_list(spark, monkeypatch):
+    """Texts around one shared passage, each a little under the threshold: no links, and few pairs measured beside the square of the list."""
+    pick = random.Random(8)
+    passage = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*passage, *(f"u{i}x{k}" for k in range(pick.randrange(40, 60)))])) for i in range(300)]
+    near = [(1000 + i, " ".join([*passage, *(f"n{i}x{k}" for k in range(3))])) for i in range(100)]
+    df = spark.createDataFrame(rows + near, "doc_id long, text string")
+    measured = []
+    real = module._Linker.measured
+    monkeypatch.setattr(module._Linker, "measured", lambda self, pairs: measured.append(pairs.count()) or real(self, pairs))
+    found = {x["doc_id"]: x["component_id"] for x in near_dedup(df, percent=80, limit=6).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows + near}
+    ids = sorted(sets)
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert found == {i: root(i) for i in ids}
+    assert sum(measured) < len(ids) ** 2 / 8
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_tables_between_steps_are_deleted(spark, percent):
+    """One large family of near copies: what is left in the shared folder is little beside the texts."""
+    import os
+    pick = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for _ in range(pick.randrange(0, 5)):
+            words[pick.randrange(120)] = f"z{i}q{pick.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+    def used():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared) if "scratch-" in d for f in names)
+    before = used()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near_dedup(df, percent=percent).count() == 1500
+    assert used() - before < 3 * sum(len(t) for _, t in rows)
