@@ -340,3 +340,50 @@ def test_lm_counts_against_brute_force(spark):
         ws = words[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(counts[w] > 0 for w in ws), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / below) for w in ws), rel=1e-9)
+
+
+def test_expected_uses_sum_over_all_segmentations():
+    """Uses of pieces by forward and backward recursion equal those counted segmentation by segmentation, and rounds of fitting raise the likelihood."""
+    with open(lm.VOCABULARY, "rb") as file:
+        proto = file.read()
+    lattice = lm.Lattice(proto, {300: 50, 1000: 20}, 3)
+    words, times = ["the", "übe", "a", "ther", "日", "zq"], np.array([3.0, 1.0, 7.0, 2.0, 5.0, 1.0])
+    by_hash = {int(h): (int(i), float(p)) for h, i, p in zip(lattice.hashes, lattice.ids, lattice.logs, strict=True)}
+    from tidemill.llm.text import hash_spans
+
+    def splits(raw):
+        if not raw:
+            yield [], 0.0
+        for k in range(1, len(raw) + 1):
+            if k == 1:
+                piece = (int(lattice.byte_ids[raw[0]]), float(lattice.single[raw[0]]))
+            else:
+                piece = by_hash.get(int(hash_spans(np.frombuffer(raw[:k], np.uint8), np.array([0]), np.array([k]))[0]))
+            if piece:
+                for ids, log in splits(raw[k:]):
+                    yield [piece[0], *ids], piece[1] + log
+    truth = np.zeros(lattice.size)
+    for word, n in zip(words, times, strict=True):
+        found = list(splits((lm.HEAD + word).encode()))
+        whole = sum(math.exp(log) for _, log in found)
+        for ids, log in found:
+            for i in ids:
+                truth[i] += n * math.exp(log) / whole
+    assert lattice.expected(pa.array(words), times) == pytest.approx(truth)
+    score = lambda x: float(x.words(pa.array(words)) @ times)
+    rounds = [lm.Lattice(proto, {}, 3, prior=0.01)]
+    for _ in range(4):
+        uses = rounds[-1].expected(pa.array(words), times)
+        rounds.append(lm.Lattice(proto, {int(i): float(uses[i]) for i in np.flatnonzero(uses)}, 3, prior=0.01))
+    assert all(score(b) >= score(a) - 1e-6 for a, b in zip(rounds[1:-1], rounds[2:], strict=True)) and score(rounds[-1]) > score(rounds[0]) + 10
+
+
+def test_expected_uses_do_not_depend_on_runs(monkeypatch):
+    with open(lm.VOCABULARY, "rb") as file:
+        lattice = lm.Lattice(file.read(), {}, 3)
+    words = pa.array(["a", "", "word" * 40, "über", "x" * 3000, "the", "the"])
+    times = np.arange(1.0, 8.0)
+    whole = lattice.expected(words, times)
+    monkeypatch.setattr(lm, "CELLS", 8)
+    assert lattice.expected(words, times) == pytest.approx(whole)
+    assert lattice.expected(pa.array([], pa.string()), np.zeros(0)).sum() == 0

@@ -1,7 +1,8 @@
 """Language-model scores by a subword lattice.
 
-The vocabulary of a public tokenizer is taken as it is; its pieces get unigram probabilities from two sources: a prior from the vocabulary's own
-scores (ranks, as a Zipf law) and the counts of the pieces in the training texts. The probability of a text is the sum over all
+The vocabulary of a public tokenizer is taken as it is. Its pieces start with unigram probabilities from the vocabulary's own scores (ranks, as a Zipf law); ``ROUNDS`` rounds of expectation and
+maximisation over the lattice then fit them to the training words: every segmentation of a word counts as much as it is likely, by forward and backward recursion, with the scores of
+the start as ``PRIOR`` pseudo-counts. The probability of a text is the sum over all
 segmentations of its words into pieces (single bytes included, so every word has one), times that of the end. No piece crosses a
 word, so the forward recursion in log space runs once for each different word of the corpus, and a text is a sum over its words.
 
@@ -28,6 +29,8 @@ from tidemill.session import materialise
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 16
 PRIOR = 1000.0     # pseudo-count of the vocabulary's own scores
+ROUNDS = 3         # of expectation and maximisation
+CELLS = 1 << 20    # places of words that go through both recursions at once
 ADD = 0.1          # added to each token's count in the base score
 HEAD = "▁"    # the mark before a word
 
@@ -59,24 +62,21 @@ def _processor(proto: bytes):
     return found
 
 
-def _pieces(proto):
-    """How often each piece is used in the training words, by the tokenizer's own segmentation."""
+def _expected(lattice):
+    """How often each piece is used in the training words, over all their segmentations."""
     def run(batches):
-        model = _processor(proto.value)
-        total = np.zeros(model.vocab_size())
+        total = 0.0
         for batch in batches:
-            for ids, c in zip(model.encode(batch.column("word").to_pylist()), batch.column("c").to_pylist(), strict=True):
-                for i in ids:
-                    total[i] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used].astype(np.int64))], names=["id", "n"])
+            total = total + lattice.value.expected(batch.column("word"), batch.column("c").to_numpy().astype(np.float64))
+        used = np.flatnonzero(total) if isinstance(total, np.ndarray) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(np.asarray(total)[used] if len(used) else np.zeros(0))], names=["id", "n"])
     return run
 
 
 class Lattice:
     """Natural-log probabilities of the pieces by the hash of their bytes, and the forward recursion over words."""
 
-    def __init__(self, proto: bytes, counts: dict[int, int], documents: int, prior: float = PRIOR):
+    def __init__(self, proto: bytes, counts: dict[int, float], documents: int, prior: float = PRIOR):
         model = _processor(proto)
         size = model.vocab_size()
         rank = np.array([-model.get_score(i) for i in range(size)])
@@ -90,33 +90,48 @@ class Lattice:
         total = weight.sum() + ends
         self.end = math.log(ends / total)
         single = np.full(256, -np.inf)
-        texts, logs = [], []
+        texts, logs, ids = [], [], []
+        self.size, self.byte_ids = size, np.full(256, -1, np.int64)   # the piece to which uses of a single byte are put down
         for i in np.flatnonzero(usable):
             piece, log = model.id_to_piece(int(i)), math.log(weight[i] / total)
             if model.is_byte(int(i)):
                 b = int(piece[3:5], 16)
                 single[b] = np.logaddexp(single[b], log)
+                self.byte_ids[b] = i
             elif len(raw := piece.encode()) == 1:
                 single[raw[0]] = np.logaddexp(single[raw[0]], log)
+                self.byte_ids[raw[0]] = i
             else:
                 texts.append(raw)
                 logs.append(log)
+                ids.append(i)
         self.single = single
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends_ = np.cumsum([len(t) for t in texts])
         begins = ends_ - np.array([len(t) for t in texts])
         hashes = hash_spans(data, begins, ends_)
         order = np.argsort(hashes)
-        self.hashes, self.logs = hashes[order], np.array(logs)[order]
+        self.hashes, self.logs, self.ids = hashes[order], np.array(logs)[order], np.array(ids, np.int64)[order]
         self.sizes = sorted({len(t) for t in texts})
 
-    def words(self, column) -> np.ndarray:
-        """The natural-log probability of each word of an Arrow column, summed over all segmentations."""
+    def _sorted(self, column):
+        """The bytes of all words with the mark before them, the order of words by falling size, and their begins and sizes in it."""
         column = pc.binary_join_element_wise(pa.scalar(HEAD, pa.large_string()), column.cast(pa.large_string()), pa.scalar("", pa.large_string()))
         data, offsets = text_bytes(column)
         size = np.diff(offsets)
         order = np.argsort(-size, kind="stable")
-        begin, size = offsets[:-1][order], size[order]
+        return data, order, offsets[:-1][order], size[order]
+
+    def _found(self, spans: Spans, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places ``at`` end a piece of k bytes, and the piece."""
+        hashes = spans.hashes(at - k, at)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[place] == hashes)
+        return hit, place[hit]
+
+    def words(self, column) -> np.ndarray:
+        """The natural-log probability of each word of an Arrow column, summed over all segmentations."""
+        data, order, begin, size = self._sorted(column)
         out = np.zeros(len(order))
         if not len(order):
             return out
@@ -132,11 +147,9 @@ class Lattice:
             for k in self.sizes:
                 if k > j:
                     break
-                hashes = spans.hashes(at - k, at)
-                place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-                hit = np.flatnonzero(self.hashes[place] == hashes)
+                hit, place = self._found(spans, at, k)
                 if len(hit):
-                    now[hit] = np.logaddexp(now[hit], ring[(j - k) % (widest + 1), hit] + self.logs[place[hit]])
+                    now[hit] = np.logaddexp(now[hit], ring[(j - k) % (widest + 1), hit] + self.logs[place])
             ring[j % (widest + 1), :m] = now
             done = size[:m] == j
             out[:m][done] = now[done]
@@ -144,6 +157,48 @@ class Lattice:
         back[order] = out
         return back
 
+    def expected(self, column, times: np.ndarray) -> np.ndarray:
+        """Per piece of the vocabulary, how often it is used in the words of an Arrow column that occur ``times`` often, over all segmentations by their likelihood."""
+        data, order, begin, size = self._sorted(column)
+        times, total, spans, low = times[order], np.zeros(self.size), Spans(data), 0
+        while low < len(order):
+            high = low + max(1, min(len(order) - low, CELLS // (int(size[low]) + 1)))
+            self._both_ways(data, spans, begin[low:high], size[low:high], times[low:high], total)
+            low = high
+        return total
+
+    def _both_ways(self, data, spans, begin, size, times, total) -> None:
+        longest, every = int(size[0]), np.arange(len(size))
+        active = np.searchsorted(-size, -np.arange(longest + 1), "right")
+        ahead = np.full((longest + 1, len(size)), -np.inf)
+        ahead[0] = 0.0
+        pieces: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(longest + 1)]
+        for j in range(1, longest + 1):
+            m = int(active[j])
+            at = begin[:m] + j
+            now = ahead[j - 1, :m] + self.single[data[at - 1]]
+            for k in self.sizes:
+                if k > j:
+                    break
+                hit, place = self._found(spans, at, k)
+                if len(hit):
+                    now[hit] = np.logaddexp(now[hit], ahead[j - k, hit] + self.logs[place])
+                    pieces[j].append((k, hit, place))
+            ahead[j, :m] = now
+        whole = ahead[size, every]
+        back = np.full((longest + 1, len(size)), -np.inf)
+        back[size, every] = 0.0
+        for j in range(longest, 0, -1):
+            for k, hit, place in pieces[j]:
+                rest = back[j, hit] + self.logs[place]
+                np.add.at(total, self.ids[place], np.exp(ahead[j - k, hit] + rest - whole[hit]) * times[hit])
+                back[j - k, hit] = np.logaddexp(back[j - k, hit], rest)
+            m = int(active[j])
+            byte = data[begin[:m] + j - 1]
+            rest = back[j, :m] + self.single[byte]
+            np.add.at(total, self.byte_ids[byte], np.exp(ahead[j - 1, :m] + rest - whole[:m]) * times[:m])
+            back[j - 1, :m] = np.logaddexp(back[j - 1, :m], rest)
+
 
 def _logged(lattice):
     def run(batches):
@@ -193,7 +248,8 @@ def _settled(frequent, base_end: float, end: float):
 SETTLED = ("key long, word string, n long, own struct<doc_id:long,held_out:boolean,n_tokens:long,base:double,log_p:double,known:long>")
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, frequent: int = FREQUENT,
+              rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose crc32(id) modulo 10 is not 0. Tokens are the words, A-Z lowered, and one end. The base score adds ``ADD`` to every count;
@@ -211,8 +267,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     tokens, kinds = taught[0] + documents, taught[1] + (1 if documents else 0)
     with open(vocabulary, "rb") as file:
         proto = spark.sparkContext.broadcast(file.read())
-    used = counts.filter("c > 0").mapInArrow(_pieces(proto), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    lattice = Lattice(proto.value, {r["id"]: r["n"] for r in used}, documents)
+    lattice = Lattice(proto.value, {}, documents)
+    for _ in range(rounds if tokens else 0):
+        used = counts.filter("c > 0").mapInArrow(_expected(spark.sparkContext.broadcast(lattice)), "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
+        lattice = Lattice(proto.value, {r["id"]: r["n"] for r in used.collect()}, documents)
     logged = materialise(counts.mapInArrow(_logged(spark.sparkContext.broadcast(lattice)), "word string, c long, log_p double"))
     below = tokens + ADD * (kinds + 1)
 
