@@ -37,7 +37,7 @@ from tidemill.session import MAX_BROADCAST_ROWS
 SHINGLE = 5
 SKETCH = 64
 LIST = 48
-ROUNDS = 12
+ROUNDS = 6
 PROBES = 16    # retained values by which classes of long lists meet; two at similarity 0.8 share each with probability of 0.8 or more
 # Sketch overlap over sketch union below which a pair is not verified; 0.85 of true similarity gives about 0.78, standard error 0.06.
 ESTIMATE = 0.42
@@ -217,16 +217,16 @@ def _stars(lists: DataFrame, classes: DataFrame, linker: _Linker, percent: int,
 
     The class of a list with the least of its own comes nearest to what the list has in common, so it links with most others. Classes that links of any list join
     have one label and need not meet. A class stays in a list only while its distance to the centre leaves room for a link with a class of another
-    label; the centre itself, measured with all that can be near it, goes. Rounds end when they no longer take out an eighth of the rows, or after ``rounds``; of what
+    label; the centre itself, measured with all that can be near it, goes. Rounds end when they no longer take out a quarter of the rows, or after ``rounds``; of what
     is left all pairs of different labels that the numbers allow are verified.
     """
     reach, keep, free = 1 - percent / 100, linker.scratch.keep, linker.scratch.free
     rows = lists
     left = rows.count()
+    known = linker.settled() if left else None
     for _ in range(rounds):
         if not left:
             return
-        known = linker.settled()
         numbers = keep(classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "own", F.coalesce("component", "rep").alias("label")))
         full = rows.join(numbers, "rep")
         centres = full.groupBy("v").agg(F.min(F.struct((F.col("label") != F.col("rep")).alias("linked"), "own", "n", "rep", "label")).alias("c"))
@@ -237,7 +237,8 @@ def _stars(lists: DataFrame, classes: DataFrame, linker: _Linker, percent: int,
         met = linker.measured(near)
         free(near)
         linker.add(met)
-        label = linker.settled().withColumnRenamed("node", "rep")
+        known = linker.settled()
+        label = known.withColumnRenamed("node", "rep")
         exact = 1 - F.col("common") / F.col("joint")
         d = met_in.drop("label").join(label, "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         d = d.join(met.select(F.col("a").alias("c"), F.col("b").alias("rep"), "common", "joint"), ["c", "rep"], "left")
@@ -252,11 +253,10 @@ def _stars(lists: DataFrame, classes: DataFrame, linker: _Linker, percent: int,
         after = keep(d.join(nearest, "v").filter(other - F.col("high") <= reach + 1e-9).select("v", "rep"))
         free(met, d, centres, numbers, rows)
         rows, before, left = after, left, after.count()
-        if 8 * (before - left) < before:
+        if 4 * (before - left) < before:
             break
     if not left:
         return
-    known = linker.settled()
     rows = keep(rows.join(classes, "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")))
     # Classes that share no short list have at most the smaller of their common parts in common.
     x = rows.select("v", F.col("rep").alias("a"), F.col("label").alias("la"), (F.col("n") - F.col("own")).alias("ha"), F.col("own").alias("oa"))
