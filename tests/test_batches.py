@@ -4,12 +4,15 @@ import json
 import os
 import time
 
+import duckdb
+import oracle
 from pyspark.sql import functions as F
 
 from tidemill.flows import assessments, layers
 from tidemill.operators import scd
+from tidemill.plans import catalogue
 from tidemill.session import materialise
-from tidemill.streaming import batches, sinks
+from tidemill.streaming import batches, sinks, state
 from tidemill.streaming.sources import read_stream
 
 
@@ -257,3 +260,58 @@ def test_three_levels_in_one_batch(spark, rows):
     levels = step(levels, feed(("child", "m1", None, None, "Delete", "2024-01-05")))
     assert levels.children.where("e is null").count() == 0 and levels.grandchildren.where("e is null").count() == 0
     assert levels.parents.where("e is null").count() == 1
+
+
+def test_first_messages_held_in_a_table(spark, folder, rows):
+    """Over batches and a restart, with null keys and messages; a replayed batch changes nothing. No key is handed to Python."""
+    src, schema = f"{folder}/in", "key string, message string"
+    fn = batches.hold_first(f"{folder}/out", f"{folder}/held")
+    found = lambda: rows(spark.read.schema(schema).parquet(f"{folder}/out").select("key", "message"))
+    put(src, [{"key": "x", "message": "1"}, {"key": "y", "message": None}, {"message": "n1"}])
+    run(spark, src, schema, f"{folder}/ck", fn)
+    assert found() == []
+    put(src, [{"key": "x", "message": "2"}, {"key": "w", "message": "1"}, {"message": "n2"}])
+    run(spark, src, schema, f"{folder}/ck", fn)
+    assert found() == rows(spark.createDataFrame([("x", "1"), ("x", "2"), (None, "n1"), (None, "n2")], schema))
+    third = [("x", "3"), ("y", "2"), ("z", "1"), ("z", "1"), ("w", "2"), ("v", "1")]
+    put(src, [{"key": k, "message": m} for k, m in third])
+    run(spark, src, schema, f"{folder}/ck", fn)
+    every = [("x", "1"), ("x", "2"), (None, "n1"), (None, "n2"), *third[:5], ("y", None), ("w", "1")]
+    assert found() == sorted(every, key=repr)
+    for _ in range(2):  # called without a query: a run of its own, which goes on from the state
+        fn(spark.createDataFrame([("v", "2"), ("x", "4")], schema), 0)
+        assert found() == sorted([*every, ("v", "1"), ("v", "2"), ("x", "4")], key=repr)
+
+
+def test_children_held_in_a_table_for_their_parents(spark, folder, rows):
+    """The rules of ``state.release_with_parent``: latest child, parents in the batch, the state or a table, expiry by the batches before."""
+    src, schema = f"{folder}/in", "key string, kind string, ts timestamp, message string"
+    known = spark.createDataFrame([("k",)], "key string")
+    fn = batches.release_with_parent(f"{folder}/out", f"{folder}/held", lambda s: known, 3_600_000)
+    steps = [([("a", "child", 1, "c1"), ("k", "child", 1, "k1"), ("old", "child", 1, "o"), (None, "child", 1, "n")], [("k", "child", "k1")]),
+             ([("a", "child", 2, "c3"), ("a", "child", 2, "c2"), ("p", "parent", 2, "p1"), (None, "parent", 2, "np")], [("p", "parent", "p1"), (None, "child", "n"), (None, "parent", "np")]),
+             ([("a", "parent", 3, "q"), ("a", "child", 1, "late"), ("p", "child", 3, "pc")], [("a", "child", "c3"), ("a", "parent", "q"), ("p", "child", "pc")]),
+             ([("z", "parent", 300, "z1")], [("z", "parent", "z1")]),
+             ([("old", "parent", 301, "o2"), ("p", "child", 302, "pd"), ("a", "child", 4, "gone")], [("old", "parent", "o2")]),
+             ([("p", "parent", 303, "p2")], [("p", "child", "pd"), ("p", "parent", "p2")])]
+    expected = []
+    for batch, out in steps:
+        put(src, [{"key": k, "kind": kind, "ts": f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", "message": message} for k, kind, m, message in batch])
+        run(spark, src, schema, f"{folder}/ck", fn)
+        expected += out
+        assert rows(spark.read.parquet(f"{folder}/out").select("key", "kind", "message")) == sorted(expected, key=repr)
+
+
+def test_registered_holding_runs_on_the_jvm(spark, folder, monkeypatch):
+    """Keys of these queries grow with the table, so no Python state is kept for each; of versions within one millisecond the latest counts, as in SQL."""
+    for name in ("hold_first", "release_with_parent"):
+        monkeypatch.setattr(state, name, None)
+    events = [(9, 1, "view", "00:00:00.000900"), (10, 1, "view", "00:00:00.000100"), (8, 10, "view", "00:00:00.000500"), (15, 10, "view", "00:00:00.000500"),
+              (99, 10, "view", "00:00:00.000700"), (106, 10, "view", "00:00:00.000700"), (2, 1, "signup", "00:00:01"), (40, 7, "click", "00:00:01"), (80, 7, "click", "00:00:02")]
+    (spark.createDataFrame(events, "event_id long, user_id long, event_type string, at string")
+     .select("event_id", F.to_timestamp_ntz(F.concat(F.lit("2024-01-01 "), "at")).alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+     .coalesce(1).write.parquet(f"{folder}/events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet/*.parquet')")
+    for name in ("str_18_hold_first", "str_21_release_with_parent"):
+        oracle.same(catalogue.QUERIES[name](spark, folder), con, catalogue.ORACLE[name])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import dates
 from tidemill.plans.registry import query
-from tidemill.streaming import sinks, state, versions, windows
+from tidemill.streaming import batches, sinks, state, versions, windows
 from tidemill.streaming.sources import table_stream
 
 
@@ -132,13 +132,20 @@ def route_by_type(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def released(rows, step, *how):
+    """What a batch function that holds rows in a table of its own has released."""
+    folder = sinks.new_folder(rows.sparkSession)
+    sinks.start(rows, f"{folder}/checkpoint", step(f"{folder}/data", f"{folder}/held", *how)).awaitTermination()
+    return sinks.read_batches(rows.sparkSession, f"{folder}/data", rows.schema).drop("run", "batch_id")
+
+
 @query("str_18_hold_first", """
 SELECT key, message FROM (SELECT user_id || '-' || event_type || '-' || (event_id % 40) AS key, CAST(event_id AS VARCHAR) AS message,
   count(*) OVER (PARTITION BY user_id, event_type, event_id % 40) AS n FROM events) WHERE n > 1""")
 def hold_first(t):
     key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type", (F.col("event_id") % 40).cast("string"))
     rows = events(t).select(key.alias("key"), F.col("event_id").cast("string").alias("message"))
-    return sinks.run_to_end(state.hold_first(rows))
+    return released(rows, batches.hold_first)
 
 
 @query("str_21_release_with_parent", """

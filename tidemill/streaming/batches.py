@@ -102,6 +102,84 @@ def hold_and_release(released: str, held: str, parents: Callable[[SparkSession],
     return write
 
 
+def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on ``key``, a null key with a null key; the right side's key is ``_key``."""
+    right = right.withColumnRenamed("key", "_key")
+    return left.join(right, left["key"].eqNullSafe(right["_key"]), how)
+
+
+def _drop_state(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the state of a batch that no replay reads any more."""
+    redo.delete_folder(spark, f"{path}/run={run_name(spark, path)}/batch_id={batch_id}")
+
+
+def hold_first(released: str, held: str) -> Callable:
+    """``state.hold_first`` without a timeout for any number of keys: (key, message) rows of a batch are counted per key and joined to the ``held`` table, which has
+    one row per key, so the work is a few shuffles whatever the number of keys. The state is written before what it lets pass; a replay begins at the
+    state before and writes both again. Released rows carry ``run`` and ``batch_id``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.select("key", "message").persist()
+        like = batch.select("key", F.col("message").alias("held"), F.lit(True).alias("passing"))
+        waiting = before_batch(spark, held, like, batch_id)
+        news = batch.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("message").alias("_one"))
+        known = F.col("passing").isNotNull()
+        passes = F.coalesce("passing", F.lit(False)) | (F.coalesce("_n", F.lit(0)) + known.cast("long") > 1)
+        after = _null_safe(news, waiting, "full").select(
+            F.when(known, F.col("_key")).otherwise(F.col("key")).alias("key"),
+            F.when(~passes, F.when(known, F.col("held")).otherwise(F.col("_one"))).alias("held"), passes.alias("passing"))
+        write_state(after, held, batch_id)
+        run = run_name(spark, held)
+        open_keys = _state(spark, f"{held}/run={run}/batch_id={batch_id}", like).where("passing").select("key")
+        first = waiting.where("not passing").select("key", F.col("held").alias("message"))
+        out = _null_safe(batch.unionByName(first), open_keys, "left_semi")
+        replace_partitions(out.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)}), released, ["run", "batch_id"])
+        _drop_state(spark, held, batch_id - 2)
+        batch.unpersist()
+    return write
+
+
+def release_with_parent(released: str, held: str, parents: Callable[[SparkSession], DataFrame] | None, expiry_ms: int, delay_ms: int = 0,
+                        order: tuple[str, ...] = ("ts",)) -> Callable:
+    """``state.release_with_parent`` for any number of keys: a batch of (key, kind, ts, message) rows is reduced to its latest parent and child per key and joined to the
+    ``held`` table. The latest is the greatest by ``order``, which begins with ``ts``, then by message. Rows expire by the newest time of the batches before, less
+    ``delay_ms``; a late row counts as long as it has not expired. Released rows carry ``run`` and ``batch_id``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        clock = before_batch(spark, f"{held}/_clock", batch.select(F.unix_millis("ts").alias("newest")), batch_id)
+        newest = clock.agg(F.max("newest")).first()[0]
+        now = 0 if newest is None else max(0, newest - delay_ms)
+
+        def live(at):
+            return F.unix_micros(at) + expiry_ms * 1000 > now * 1000
+
+        row = F.struct(*order, "message")
+        waiting = before_batch(spark, held, batch.select("key", F.col("ts").alias("parent_at"), row.alias("child")), batch_id)
+        news = batch.groupBy("key").agg(*[F.max(F.when((F.col("kind") == kind) & live("ts"), row)).alias(f"_{kind}") for kind in ("parent", "child")],
+                                        F.max("ts").alias("_newest"), F.lit(True).alias("_news"))
+        if parents is None:
+            news = news.withColumn("_known", F.lit(False))
+        else:
+            news = news.join(parents(spark).select("key").distinct().withColumn("_known", F.lit(True)), "key", "left")
+        parent_at, child = F.greatest("_parent.ts", "parent_at"), F.greatest("_child", F.when(live("child.ts"), F.col("child")))
+        step = _null_safe(news, waiting, "full").select(
+            F.when(F.col("_news"), F.col("key")).otherwise(F.col("_key")).alias("key"), "_parent", "_newest", F.when(live(parent_at), parent_at).alias("parent_at"),
+            child.alias("child"), F.coalesce("_known", F.lit(False)).alias("_known"), F.coalesce("_news", F.lit(False)).alias("_news"))
+        step = step.withColumn("_out", F.col("_news") & F.col("child").isNotNull() & (F.col("_known") | F.col("parent_at").isNotNull())).persist()
+        rows = F.array(*[F.when(there, F.struct(F.lit(kind).alias("kind"), F.col(column)["ts"].alias("ts"), F.col(column)["message"].alias("message")))
+                         for kind, column, there in (("parent", "_parent", F.col("_parent").isNotNull()), ("child", "child", F.col("_out")))])
+        run = run_name(spark, held)
+        out = step.select("key", F.explode(F.array_compact(rows)).alias("_row")).select("key", "_row.*", F.lit(run).alias("run"), F.lit(batch_id).alias("batch_id"))
+        replace_partitions(out, released, ["run", "batch_id"])
+        write_state(step.agg(F.greatest(F.unix_millis(F.max("_newest")), F.lit(newest).cast("long")).alias("newest")), f"{held}/_clock", batch_id)
+        stays = step.select("key", "parent_at", F.when(~F.col("_out"), F.col("child")).alias("child"))
+        write_state(stays.where("parent_at is not null or child is not null"), held, batch_id)
+        _drop_state(spark, held, batch_id - 2)
+        _drop_state(spark, f"{held}/_clock", batch_id - 2)
+        step.unpersist()
+    return write
+
+
 def count_into(path: str, keys: list[str], total: str = "hits") -> Callable:
     """Counters as one partition of partial counts per batch; ``counter_totals`` adds them up."""
     def write(batch: DataFrame, batch_id: int) -> None:
