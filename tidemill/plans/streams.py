@@ -155,12 +155,12 @@ SELECT key, kind, CAST(event_id AS VARCHAR) AS message FROM l WHERE kind = 'pare
 def release_with_parent(t):
     rows = events(t).where("event_type in ('signup', 'view')").select(
         F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("key"),
-        F.when(F.col("event_type") == "signup", "parent").otherwise("child").alias("kind"), F.date_trunc("millisecond", "ts").alias("ts"),
+        F.when(F.col("event_type") == "signup", "parent").otherwise("child").alias("kind"), "ts", "event_id",
         F.col("event_id").cast("string").alias("message"))
     stored = t.events.where("user_id % 10 = 0").select(
         F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("key"))
-    out = state.release_with_parent(rows.withWatermark("ts", "1 day"), stored, 90 * 86_400_000)
-    return sinks.run_to_end(out).select("key", "kind", "message")
+    out = released(rows, batches.release_with_parent, lambda spark: stored, 90 * 86_400_000, 86_400_000, ("ts", "event_id"))
+    return out.select("key", "kind", "message")
 
 
 @query("str_25_hierarchy", """
