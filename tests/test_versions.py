@@ -1,6 +1,7 @@
 """A versioned table as a stream: inserts and deletes, modes, restarts, columns that come later."""
 
 import datetime
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -76,3 +77,42 @@ def test_aggregates_follow_the_changes(spark, folder):
     sign = F.when(F.col("_change") == "insert", 1).otherwise(-1)
     totals = drain(spark, folder).groupBy("k").agg(F.sum(sign).alias("n")).where("n <> 0").orderBy("k").collect()
     assert [(r["k"], r["n"]) for r in totals] == [(k, 4) for k in range(5)]
+
+
+def test_buckets_are_read_in_blocks(spark, folder, rows, monkeypatch):
+    """The two versions of a bucket go forward together; never more than a few blocks of rows are held, and a row that occurs very often counts as one."""
+    monkeypatch.setattr(versions, "BLOCK", 50)
+    first = spark.range(3000).select((F.col("id") % 2500).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("v")).unionByName(
+        spark.range(1000).select(F.lit(-1).cast("long").alias("k"), F.lit("same").alias("v")))
+    second = first.where("k % 3 <> 0 and k >= 0").unionByName(spark.range(200).select((F.col("id") + 9000).alias("k"), F.lit("x").alias("v")))
+    for version, df in ((1, first), (2, second)):
+        versions.write_version(df, f"{folder}/t", version, buckets=2)
+    stream = versions.version_stream(spark, f"{folder}/t", "rows")
+    reader = versions.VersionsSource({"path": f"{folder}/t", "mode": "rows"}).streamReader(stream.schema)
+    widest, concat = [], versions.pa.concat_tables
+    monkeypatch.setattr(versions.pa, "concat_tables", lambda tables: widest.append(sum(map(len, tables))) or concat(tables))
+    found = []
+    for part in reader.partitions({"version": -1}, {"version": 2}):
+        for batch in reader.read(part):
+            assert len(batch) <= 50
+            found += [tuple(r.values()) for r in batch.to_pylist()]
+    assert max(widest) <= 4 * 50
+    columns = [F.lit(c) for c in ("insert", "delete")]
+    expected = first.select("k", "v", columns[0], F.lit(1)).unionAll(second.exceptAll(first).select("k", "v", columns[0], F.lit(2))).unionAll(
+        first.exceptAll(second).select("k", "v", columns[1], F.lit(2)))
+    assert sorted(found, key=repr) == rows(expected)
+
+
+def test_a_version_written_without_hashes(spark, folder, rows):
+    """Versions of tables that are older than the hash column are read as before."""
+    write(spark, folder, 1, [(i % 40, "a") for i in range(60)])
+    for bucket in range(3):
+        old = spark.read.parquet(f"{folder}/t/version=1/bucket={bucket}").drop(versions.HASH)
+        old.write.parquet(f"{folder}/old/version=1/bucket={bucket}")
+    shutil.copytree(f"{folder}/t/_versions", f"{folder}/old/_versions")
+    versions.write_version(spark.createDataFrame([(i % 50, "a") for i in range(60)], "k int, v string"), f"{folder}/old", 2)
+    stream = versions.version_stream(spark, f"{folder}/old", "rows")
+    sinks.start(stream, f"{folder}/ck", path=f"{folder}/data").awaitTermination()
+    sign = F.when(F.col("_change") == "insert", 1).otherwise(-1)
+    totals = spark.read.schema(stream.schema).parquet(f"{folder}/data").groupBy("k").agg(F.sum(sign).alias("n")).orderBy("k").collect()
+    assert [(r["k"], r["n"]) for r in totals] == [(k, 2 if k < 10 else 1) for k in range(50)]

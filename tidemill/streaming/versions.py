@@ -1,7 +1,8 @@
 """A versioned table as a stream of its changes.
 
 Every version is a whole state of the table, in ``version=<n>/bucket=<b>`` folders: a row lies in the bucket of the hash of all its values, so equal rows of two
-versions lie in the same bucket and a task finds what changed in a bucket by itself. A mark ``_versions/<n>``, written last, makes a version visible.
+versions lie in the same bucket and a task finds what changed in a bucket by itself. Files are sorted by that hash, which they hold as a column, so a task reads the two
+versions side by side, some batches at a time, however large a bucket is; a bucket written without it is read as a whole. A mark ``_versions/<n>``, written last, makes a version visible.
 
 The stream's offsets are version numbers. Between two versions a row is inserted as often as it occurs more, and deleted as often as it occurs less; a rewritten row is a
 delete of the old and an insert of the new one. ``mode`` says what to do with deletes: ``fail`` raises, ``ignore`` passes over them, ``rows`` hands them on.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,9 @@ from tidemill.sources.paths import open_path
 FORMAT = "table_versions"
 MODES = ("fail", "ignore", "rows")
 CHANGE, VERSION = "_change", "_version"
+HASH, COUNT = "_row_hash", "_n"
+# Rows of a file that are read at once, and rows that are handed on together.
+BLOCK = 32_768
 ADDED = [T.StructField(CHANGE, T.StringType()), T.StructField(VERSION, T.LongType())]
 
 
@@ -47,8 +52,8 @@ def versions(path: str) -> dict[int, dict]:
 def write_version(df: DataFrame, path: str, version: int, buckets: int = 16) -> None:
     """Write a table state as a version and make it visible; repeating it changes nothing. All versions have as many buckets as the first."""
     buckets = next(iter(versions(path).values()), {"buckets": buckets})["buckets"]
-    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+    rows = df.withColumn(HASH, F.xxhash64(*df.columns)).withColumn("bucket", F.pmod(HASH, F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", HASH).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
     system, base = open_path(path)
     system.create_dir(f"{base}/_versions")
     with system.open_output_stream(f"{base}/_versions/.{version}") as out:
@@ -86,31 +91,71 @@ class _Reader(DataSourceStreamReader):
             before = version if version >= self.first else None
         return out
 
-    def _rows(self, version: int | None, bucket: int) -> pa.Table:
-        """A bucket of a version with the columns of the stream; columns it lacks are null."""
+    def _files(self, version: int | None, bucket: int) -> list[str]:
         system, base = open_path(self.path)
         folder = fs.FileSelector(f"{base}/version={version}/bucket={bucket}", allow_not_found=True)
-        files = [] if version is None else sorted(i.path for i in system.get_file_info(folder) if i.path.endswith(".parquet"))
-        parts = [self.schema.empty_table()]
-        for file in files:
-            with system.open_input_file(file) as raw:
-                part = pq.ParquetFile(raw, coerce_int96_timestamp_unit="us").read()
-            columns = [part[f.name].cast(f.type) if f.name in part.column_names else pa.nulls(len(part), f.type) for f in self.schema]
-            parts.append(pa.table(columns, schema=self.schema))
-        return pa.concat_tables(parts)
+        return [] if version is None else sorted(i.path for i in system.get_file_info(folder) if i.path.endswith(".parquet"))
+
+    def _blocks(self, file: pq.ParquetFile, count: int, hashed: bool) -> Iterator[pa.Table]:
+        """A file with the columns of the stream; columns it lacks are null. Without hashes all rows get the same one."""
+        for part in file.iter_batches(BLOCK, use_threads=False):
+            names = part.schema.names
+            columns = [part[f.name].cast(f.type) if f.name in names else pa.nulls(len(part), f.type) for f in self.schema]
+            columns += [part[HASH] if hashed else np.zeros(len(part), np.int64), np.full(len(part), count)]
+            yield self._net([pa.table(columns, names=[*self.schema.names, HASH, COUNT])])
+
+    def _net(self, parts: list[pa.Table]) -> pa.Table:
+        """Each different row once with its counts added, in the order of the hash."""
+        keys = [*self.schema.names, HASH]
+        net = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([(COUNT, "sum")])
+        return net.select([*keys, f"{COUNT}_sum"]).rename_columns([*keys, COUNT]).sort_by(HASH)
+
+    def _changes(self, partition: Bucket) -> Iterator[pa.Table]:
+        """Rows of the bucket with how many more of them the version has than the one before. The files go forward together: what lies below the least
+        hash that one of them has come to is complete."""
+        system, _ = open_path(self.path)
+        with ExitStack() as stack:
+            files = [(pq.ParquetFile(stack.enter_context(system.open_input_file(name)), coerce_int96_timestamp_unit="us", buffer_size=1 << 20, pre_buffer=False), count)
+                     for version, count in ((partition.version, 1), (partition.before, -1)) for name in self._files(version, partition.bucket)]
+            hashed = all(HASH in file.schema_arrow.names for file, _ in files)
+            blocks = [self._blocks(file, count, hashed) for file, count in files]
+            waiting: list[list[pa.Table]] = [[] for _ in files]
+            reading, behind = set(range(len(files))), set(range(len(files)))
+            while reading:
+                for i in sorted(behind & reading):
+                    block = next(blocks[i], None)
+                    if block is None:
+                        reading.discard(i)
+                    else:
+                        waiting[i] = [self._net([*waiting[i], block])]
+                ends = {i: waiting[i][0][HASH][-1].as_py() for i in reading}
+                bound = min(ends.values(), default=None)
+                behind = {i for i, end in ends.items() if end == bound}
+                complete = []
+                for i, tables in enumerate(waiting):
+                    for table in tables:
+                        n = len(table) if bound is None else int(np.searchsorted(table[HASH].to_numpy(), bound))
+                        complete.append(table.slice(0, n))
+                        waiting[i] = [table.slice(n)]
+                if complete:
+                    yield self._net(complete).filter(pc.field(COUNT) != 0)
 
     def read(self, partition: Bucket) -> Iterator[pa.RecordBatch]:
-        new, old = self._rows(partition.version, partition.bucket), self._rows(partition.before, partition.bucket)
-        both = pa.concat_tables([new.append_column("_n", pa.array([1] * len(new), pa.int64())), old.append_column("_n", pa.array([-1] * len(old), pa.int64()))])
-        net = both.group_by(self.schema.names, use_threads=False).aggregate([("_n", "sum")]).filter(pc.field("_n_sum") != 0)
-        if self.mode == "fail" and pc.any(pc.less(net["_n_sum"], 0)).as_py():
-            raise ValueError(f"version {partition.version} of {self.path} deletes or rewrites rows; read it with mode ignore or rows")
-        for change, rows in (("delete", net.filter(pc.field("_n_sum") < 0)), ("insert", net.filter(pc.field("_n_sum") > 0))):
-            if len(rows) and (change == "insert" or self.mode == "rows"):
-                times = pc.abs(rows["_n_sum"]).to_numpy()
-                out = rows.select(self.schema.names).take(pa.array(np.repeat(np.arange(len(rows)), times)))
-                out = out.append_column(CHANGE, pa.array([change] * len(out))).append_column(VERSION, pa.array([partition.version] * len(out), pa.int64()))
-                yield from out.combine_chunks().to_batches()
+        for net in self._changes(partition):
+            if self.mode == "fail" and pc.any(pc.less(net[COUNT], 0)).as_py():
+                raise ValueError(f"version {partition.version} of {self.path} deletes or rewrites rows; read it with mode ignore or rows")
+            for change, rows in (("delete", net.filter(pc.field(COUNT) < 0)), ("insert", net.filter(pc.field(COUNT) > 0))):
+                if change == "insert" or self.mode == "rows":
+                    yield from self._copies(rows, change, partition.version)
+
+    def _copies(self, rows: pa.Table, change: str, version: int) -> Iterator[pa.RecordBatch]:
+        """Every row as often as it is counted, in batches of bounded size."""
+        upto = np.cumsum(np.abs(rows[COUNT].to_numpy()))
+        rows = rows.select(self.schema.names)
+        for low in range(0, int(upto[-1]) if len(upto) else 0, BLOCK):
+            out = rows.take(pa.array(np.searchsorted(upto, np.arange(low, min(low + BLOCK, upto[-1])), side="right")))
+            out = out.append_column(CHANGE, pa.array([change] * len(out))).append_column(VERSION, pa.array([version] * len(out), pa.int64()))
+            yield from out.combine_chunks().to_batches()
 
 
 class VersionsSource(DataSource):
