@@ -37,3 +37,11 @@ def test_top_n_is_limited_before_the_shuffle(spark):
 
 def test_top_k_does_not_sort_everything(spark):
     assert "TakeOrderedAndProject" in plan(entry.queries()["set_09_top_k"](spark, FOLDER))
+
+
+def test_no_sketch_for_each_value(spark):
+    """A sketch of an approximate count takes kilobytes; one beside a distinct count was kept for every (type, user)."""
+    text = plan(entry.queries()["agg_04_approx_distinct"](spark, FOLDER), "simple")
+    sketches = [line for line in text.splitlines() if "approx_count_distinct" in line]
+    assert sketches and not any("user_id" in line.partition("functions=")[0] for line in sketches)
+    assert any("user_id" in line and "functions=[]" in line for line in text.splitlines())

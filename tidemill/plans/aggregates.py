@@ -38,9 +38,10 @@ def distinct_count(t):
 @query("agg_04_approx_distinct", """
 SELECT event_type, true AS within_tolerance FROM events GROUP BY 1""")
 def approx_distinct(t):
-    """The estimate is checked against the exact count with a 15 % tolerance."""
-    counts = t.events.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("approx"),
-                                                F.count_distinct("user_id").alias("exact"))
+    """The estimate is checked against the exact count with a 15 % tolerance. Values are made distinct first, which an estimate does not depend on: beside a distinct count it
+    would keep a sketch of some kilobytes for each value."""
+    values = t.events.select("event_type", "user_id").distinct()
+    counts = values.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("approx"), F.count("user_id").alias("exact"))
     return counts.select("event_type", (F.abs(F.col("approx") - F.col("exact")) <= 0.15 * F.col("exact"))
                          .alias("within_tolerance"))
 
