@@ -132,3 +132,28 @@ def test_pieces_stay_small(spark):
     assert len(sizes) == 12 and max(sizes) < 2 * 60_000 / 12
     numbered = g.row_number("rn").frame.where("k = 0")
     assert numbered.agg(F.count_distinct("rn"), F.max("rn")).first()[:] == (20_040, 20_040)
+
+
+@pytest.fixture
+def small_tasks(spark):
+    spark.conf.set("spark.tidemill.maxTaskRows", "300")
+    yield 300
+    spark.conf.unset("spark.tidemill.maxTaskRows")
+
+
+def test_tasks_get_a_bounded_number_of_rows(spark, small_tasks):
+    """Many groups that one task each may hold are dealt by their count, whatever the number of shuffle partitions."""
+    df = spark.range(20_000).select((F.col("id") % 1999).alias("k"), "id")
+    out = OrderedGroups(df, ["k"], ["id"]).row_number("rn").frame
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 60 and max(sizes) < 3 * small_tasks
+    assert out.where(F.col("rn") != F.floor(F.col("id") / 1999) + 1).count() == 0
+    few = OrderedGroups(df.where("id < 1000"), ["k"], ["id"]).row_number("rn").frame
+    assert few.groupBy(F.spark_partition_id()).count().count() <= 4
+
+
+@pytest.mark.parametrize("name", ["int_13_consecutive_runs"])
+def test_queries_over_many_tasks(spark, small_tasks, name):
+    found = entry.queries()[name](spark, FOLDER)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    oracle.same(found, oracle.connect(FOLDER), entry.oracle_sql()[name])

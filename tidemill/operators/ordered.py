@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemill.session import MAX_GROUP_ROWS, MAX_TABLE_ROWS, largest_group, materialise, setting, shuffle_partitions
+from tidemill.session import MAX_GROUP_ROWS, MAX_TABLE_ROWS, group_sizes, materialise, setting, shuffle_partitions, spread
 
 CHUNK = "_chunk"
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -51,9 +51,16 @@ def fits_one_task(df: DataFrame, keys: list[str], limit: int, bound_by: DataFram
     """Whether every group has at most ``limit`` rows. ``bound_by`` is a frame that is cheaper to
     count and has at least as many rows per key, such as the scan an aggregate was made from; only
     when it is over the limit is ``df`` itself counted."""
-    if bound_by is not None and largest_group(bound_by, keys) <= limit:
-        return True
-    return largest_group(df, keys) <= limit
+    return bounded_sizes(df, keys, limit, bound_by)[0] <= limit
+
+
+def bounded_sizes(df: DataFrame, keys: list[str], limit: int, bound_by: DataFrame | None = None) -> tuple[int, int]:
+    """At most how many rows the biggest group and all of ``df`` have, by ``bound_by`` if that is within the limit."""
+    if bound_by is not None:
+        sizes = group_sizes(bound_by, keys)
+        if sizes[0] <= limit:
+            return sizes
+    return group_sizes(df, keys)
 
 
 class OrderedGroups:
@@ -67,13 +74,16 @@ class OrderedGroups:
         spark = df.sparkSession
         self.keys, self.order = list(keys), list(order)
         self.limit = max_group_rows or group_limit(spark, self.keys)
-        self.split = not (fits_one_task(df, self.keys, self.limit, bound_by) if fits is None else fits)
-        if self.split:
+        largest, rows = bounded_sizes(df, self.keys, self.limit, bound_by) if fits is None else (0 if fits else self.limit + 1, 0)
+        self.split = largest > self.limit
+        if not self.split and self.keys:
+            df = spread(df, self.keys, rows)
+        elif self.split:
             n = chunks or shuffle_partitions(spark)
             # rows with equal order are told apart by a hash of their values, so they can be cut as well
             plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-            spread = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *ordering(self.order), F.xxhash64(*plain))
-            df = materialise(spread.withColumn(CHUNK, F.spark_partition_id()))
+            ranged = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *ordering(self.order), F.xxhash64(*plain))
+            df = materialise(ranged.withColumn(CHUNK, F.spark_partition_id()))
         self.df = df
 
     # -- plumbing ---------------------------------------------------------------------------
