@@ -152,7 +152,7 @@ def test_tasks_get_a_bounded_number_of_rows(spark, small_tasks):
     assert few.groupBy(F.spark_partition_id()).count().count() <= 4
 
 
-@pytest.mark.parametrize("name", ["int_13_consecutive_runs"])
+@pytest.mark.parametrize("name", ["int_13_consecutive_runs", "e2e_10_store_report"])
 def test_queries_over_many_tasks(spark, small_tasks, name):
     found = entry.queries()[name](spark, FOLDER)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import spread
+
 # Month names used as report columns.
 MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER",
           "NOVEMBER", "DECEMBER"]
@@ -18,8 +20,10 @@ def yes_no_counts(rows: DataFrame, category: Column, answer: Column) -> DataFram
     return counts.where("all_yes > 0 and all_no > 0")
 
 
-def store_report(sales: DataFrame, store: str, order: str, day: str, amount: str) -> DataFrame:
-    """Revenue per store and year with one column per month, total and number of orders."""
+def store_report(sales: DataFrame, store: str, order: str, day: str, amount: str, rows: int | None = None) -> DataFrame:
+    """Revenue per store and year with one column per month, total and number of orders. A task groups its rows by order, with all these columns, so ``rows`` (or a
+    count of the sales, if it is not given) decides how many tasks they are dealt to."""
+    sales = spread(sales, [store, order], sales.count() if rows is None else rows)
     month = F.month(day)
     columns = [F.round(F.coalesce(F.sum(F.when(month == i + 1, F.col(amount))), F.lit(0.0)), 2).alias(name)
                for i, name in enumerate(MONTHS)]

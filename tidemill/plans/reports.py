@@ -185,9 +185,9 @@ def lap_analytics(t):
     f'round(coalesce(sum(l_extendedprice) FILTER (month(o_orderdate) = {i + 1}), 0), 2) AS "{m}"' for i, m in enumerate(reports.MONTHS)) +
     ", round(sum(l_extendedprice), 2) AS total_revenue, count(DISTINCT o_orderkey) AS number_of_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def store_report(t):
-    sales = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("store"), "l_extendedprice").join(
-        t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
-    return reports.store_report(sales, "store", "l_orderkey", "o_orderdate", "l_extendedprice")
+    lines = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("store"), "l_extendedprice")
+    sales = lines.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    return reports.store_report(sales, "store", "l_orderkey", "o_orderdate", "l_extendedprice", lines.count())
 
 
 @query("e2e_10_buyers_report", """
