@@ -177,3 +177,23 @@ def test_files_of_odd_texts(spark, odd, whole, folder):
     looked = token_file.tokens_of(manifest, spark.createDataFrame([(p,) for p in places], "position long"))
     assert {r["position"]: r["id"] for r in looked.collect()} == {p: everything[p] for p in places if 0 <= p < len(everything)}
     assert token_file.read_documents(token_file.write_tokens(odd.limit(0))).collect() == []
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    asked = []
+    memo = tokens.Memo(lambda texts: [asked.append(t) or [len(t)] for t in texts], most=4)
+    for rare in ("bb", "ccc", "dddd", "eeeee", "ffffff"):
+        assert memo.ids(["a", rare], pa.array([1, 0, 1]))[0].tolist() == [len(rare), 1, len(rare)]
+    assert asked.count("a") == 1 and len(asked) == 6 and len(memo.kept) <= 4
+
+
+def test_codes_of_every_width():
+    pick = np.random.default_rng(1)
+    for width in range(1, 33):
+        values = pick.integers(0, 1 << width, 1003, dtype=np.uint64).astype(np.uint32)
+        data = token_file.pack(values, width)
+        assert int.from_bytes(data, "little") == sum(int(v) << i * width for i, v in enumerate(values)) and len(data) == (1003 * width + 7) // 8
+        for low, n in ((0, 1003), (3, 17), (8, 8), (1002, 1), (5, 0)):
+            first = low * width // 8
+            assert (token_file.unpack(data[first:((low + n) * width + 7) // 8], low * width - 8 * first, n, width) == values[low:low + n]).all()
+        assert token_file.bit_lengths(values).tolist() == np.bincount([int(v).bit_length() for v in values], minlength=33).tolist()

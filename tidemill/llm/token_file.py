@@ -52,29 +52,61 @@ def widths(lengths: np.ndarray) -> list[int]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bits of each value, one after another."""
+    """The lowest ``width`` bits of each value, one after another. Eight codes fill ``width`` bytes: up to 16 bits wide they are joined in two words of 64 bits."""
     out = []
     for low in range(0, len(values), _SLICE):
-        part = np.ascontiguousarray(values[low:low + _SLICE], dtype="<u4").view(np.uint8).reshape(-1, 4)
-        out.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes())
+        part = np.ascontiguousarray(values[low:low + _SLICE], dtype="<u4")
+        if width > 16:
+            out.append(np.packbits(np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes())
+            continue
+        eights = np.zeros((-(-len(part) // 8), 2, 4), "<u8")
+        eights.reshape(-1)[:len(part)] = part & np.uint32((1 << width) - 1)
+        both = eights[:, :, 0].copy()
+        for k in (1, 2, 3):
+            both |= eights[:, :, k] << np.uint64(k * width)
+        if width < 16:
+            second = both[:, 1].copy()
+            both[:, 0] |= second << np.uint64(4 * width)
+            both[:, 1] = second >> np.uint64(64 - 4 * width)
+        out.append(both.view(np.uint8).reshape(-1, 16)[:, :width].tobytes()[:(len(part) * width + 7) // 8])
     return b"".join(out)
 
 
 def unpack(data: bytes, skip: int, count: int, width: int) -> np.ndarray:
     """``count`` values of ``width`` bits from bit ``skip`` of ``data`` on."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[skip:skip + count * width].reshape(count, width)
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    if width > 16:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[skip:skip + count * width].reshape(count, width)
+        wide = np.zeros((count, 32), np.uint8)
+        wide[:, :width] = bits
+        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    rows = -(-count // 8)
+    held = np.zeros(rows * width + skip // 8 + width + 4, np.uint8)
+    held[:len(data)] = np.frombuffer(data, np.uint8)[:len(held)]
+    out = np.empty((rows, 8), "<u4")
+    for k in range(8):  # of each eight, code k lies at the same place of its bytes
+        at, shift = divmod(skip + k * width, 8)
+        three = [held[at + i:at + i + rows * width:width].astype(np.uint32) for i in range(3 if shift + width > 16 else 2)]
+        found = three[0] | three[1] << np.uint32(8)
+        if len(three) > 2:
+            found |= three[2] << np.uint32(16)
+        out[:, k] = found >> np.uint32(shift) & np.uint32((1 << width) - 1)
+    return out.ravel()[:count]
+
+
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """How many ids need b bits, for b from 0 to 32."""
+    powers, lengths = np.uint32(1) << np.arange(32, dtype=np.uint32), np.zeros(33, np.int64)
+    for low in range(0, len(ids), _SLICE):
+        part = ids[low:low + _SLICE]
+        times = np.bincount(part) if part.max() < _SLICE else None  # few different ids: they are counted first
+        lengths += np.bincount(np.searchsorted(powers, part if times is None else np.arange(len(times), dtype=np.uint32), "right"), times, minlength=33).astype(np.int64)
+    return lengths
 
 
 def encode(doc_ids: pa.Array, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """A whole file: documents begin at ``starts`` (one more entry) of ``ids``."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
-    powers, lengths = np.uint32(1) << np.arange(32, dtype=np.uint32), np.zeros(33, np.int64)
-    for low in range(0, len(ids), _SLICE):
-        lengths += np.bincount(np.searchsorted(powers, ids[low:low + _SLICE], "right"), minlength=33)
-    plan = widths(lengths)
+    plan = widths(bit_lengths(ids))
     documents = [np.asarray(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8").tobytes(),
                  doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), np.asarray(starts, "<u8").tobytes()]
     at = HEAD.size + LEVEL.size * len(plan) + sum(map(len, documents))

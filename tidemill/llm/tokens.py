@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(" ?[A-Za-z]+")
-REMEMBERED = 300_000   # units a worker keeps; beyond that it starts anew
+REMEMBERED = 300_000   # units a worker keeps
 LONGEST = 64           # longer units are not kept
 MARK = "▁"        # stands for a space in pieces
 
@@ -73,36 +73,60 @@ def uncollected() -> Iterator[None]:
         gc.enable()
 
 
+class Kept(dict):
+    """What was worked out for keys. When ``most`` entries are kept, those asked for again since they came stay, at most half of them; the others go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.again = most, set()
+
+    def find(self, keys: list) -> list:
+        if len(self) >= self.most:
+            stay = {k: self[k] for k in islice(self.again, self.most // 2)}
+            self.clear()
+            self.again.clear()
+            self.update(stay)
+        found = list(map(self.get, keys))
+        self.again.update([k for k, x in zip(keys, found, strict=True) if x is not None])
+        return found
+
+    def add(self, entries) -> None:
+        self.update(islice(entries, self.most - len(self)))
+
+
+def gathered(values: list[bytes], place: pa.Array | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes of ``values[place]``, and where each begins (one more entry)."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(place))
+    _, offsets, data = taken.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    return np.frombuffer(data if data is not None else b"", np.uint8)[:offsets[-1]], offsets
+
+
 class Memo:
     """Ids of units by a tokenizer that is asked once for each different one among those kept."""
 
     def __init__(self, encode, most: int = REMEMBERED):
-        self.encode, self.most, self.kept = encode, most, {}
+        self.encode, self.kept = encode, Kept(most)
 
-    def ids(self, keys: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the units ``keys[place]``, and how many belong to each."""
-        if len(self.kept) >= self.most:
-            self.kept.clear()
-        found = list(map(self.kept.get, keys))
+    def ids(self, keys: list[str], place: pa.Array | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units ``keys[place]``, and where those of each begin (one more entry)."""
+        found = self.kept.find(keys)
         new = [i for i, x in enumerate(found) if x is None]
         for low in range(0, len(new), 8192):
             some = new[low:low + 8192]
             for i, ids in zip(some, self.encode([keys[i] for i in some]), strict=True):
                 found[i] = array("I", ids).tobytes()
-        self.kept.update(islice(((keys[i], found[i]) for i in new if len(keys[i]) <= LONGEST), self.most - len(self.kept)))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        counts = sizes[place]
-        first = (np.cumsum(sizes) - sizes)[place]
-        return flat[np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)], counts
+        self.kept.add((keys[i], found[i]) for i in new if len(keys[i]) <= LONGEST)
+        data, offsets = gathered(found, place)
+        return data.view(np.uint32), offsets // 4
 
 
 def encode_rows(memo: Memo, data: np.ndarray, offsets: np.ndarray, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and where each row's begin (one more entry than rows)."""
     begins = unit_begins(data, offsets, signs)
     coded = strings(data, begins).dictionary_encode()
-    ids, counts = memo.ids(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
-    return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, offsets)]
+    ids, first = memo.ids(coded.dictionary.to_pylist(), coded.indices)
+    return ids, first[np.searchsorted(begins, offsets)]
 
 
 class Bytes:
