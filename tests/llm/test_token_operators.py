@@ -197,3 +197,14 @@ def test_codes_of_every_width():
             first = low * width // 8
             assert (token_file.unpack(data[first:((low + n) * width + 7) // 8], low * width - 8 * first, n, width) == values[low:low + n]).all()
         assert token_file.bit_lengths(values).tolist() == np.bincount([int(v).bit_length() for v in values], minlength=33).tolist()
+
+
+def test_a_window_is_looked_up_once_a_chunk(whole, monkeypatch):
+    """A text of equal words has few different windows, however many words it has."""
+    plain, _, pieces = whole
+    aligner = alignment.Aligner(alignment.Vocabulary(plain.token_bytes()), alignment.Vocabulary(pieces.token_bytes()))
+    looked, windows = [], aligner.windows
+    monkeypatch.setattr(aligner, "windows", lambda keys: looked.extend(keys) or windows(keys))
+    _, _, data, offsets = next(iter(chunks(alignment._spaced(pa.array(["the same words " * 500] * 20)), 1 << 20)))
+    na = alignment._rows(data, offsets, plain, pieces, aligner)[0]
+    assert na.sum() > 20_000 and len(looked) < 20

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,23 +58,22 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
 class Aligner:
     """Alignment of windows by the sizes of their tokens, remembered by token ids.
 
-    A window is a pair of runs of 32-bit ids; its alignment the text of its groups and its links (64-bit numbers: a id times 2**32 plus b id)."""
+    A window is a run of 32-bit numbers: how many ids of A it has, these, and those of B; its alignment the text of its groups, a sign after each, and its links (64-bit
+    numbers: a id times 2**32 plus b id)."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, most: int = REMEMBERED):
-        self.a, self.b, self.most, self.kept = a, b, most, {}
+        self.a, self.b, self.kept = a, b, tokens.Kept(most)
         self.numbers = Vocabulary([b"%d;" % i for i in range(max(len(a.sizes), len(b.sizes)))])
 
-    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-        """The alignment of each window; those not remembered are worked out once each, all together."""
-        if len(self.kept) >= self.most:
-            self.kept.clear()
-        found = list(map(self.kept.get, keys))
-        new = list(dict.fromkeys(k for k, f in zip(keys, found, strict=True) if f is None))
+    def windows(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The alignment of each window, all of them different; those not remembered are worked out all together."""
+        found = self.kept.find(keys)
+        new = [i for i, x in enumerate(found) if x is None]
         if new:
-            fresh = dict(zip(new, self.align(new), strict=True))
-            found = [fresh[k] if f is None else f for k, f in zip(keys, found, strict=True)]
-            room = self.most - len(self.kept)
-            self.kept.update(islice(((k, f) for k, f in fresh.items() if len(k[0]) + len(k[1]) <= 4 * LONGEST), room))
+            cuts = [4 + 4 * int.from_bytes(keys[i][:4], "little") for i in new]
+            for i, x in zip(new, self.align([(keys[i][4:cut], keys[i][cut:]) for i, cut in zip(new, cuts, strict=True)]), strict=True):
+                found[i] = x
+            self.kept.add((keys[i], found[i]) for i in new if len(keys[i]) <= 4 * LONGEST + 4)
         return found
 
     def align(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -102,7 +100,7 @@ class Aligner:
         closed = np.searchsorted(last_a, np.cumsum([len(k[0]) // 4 for k in keys]) - 1)
         cuts, groups = after[place_b[last_b[closed]]].tolist(), (8 * (closed + 1)).tolist()
         text = text.tobytes()
-        return [(text[p:q - 1], links[r:s]) for p, q, r, s in zip([0, *cuts[:-1]], cuts, [0, *groups[:-1]], groups, strict=True)]
+        return [(text[p:q - 1] + b";", links[r:s]) for p, q, r, s in zip([0, *cuts[:-1]], cuts, [0, *groups[:-1]], groups, strict=True)]
 
 
 def spelled(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -131,20 +129,27 @@ def _rows(data, offsets, a, b, aligner):
     mark[at_b[aligner.b.spaced[ib]]] += 2
     mark[rows] = 3
     anchors = np.flatnonzero(mark[:-1] == 3)
-    wa, wb = ((4 * np.append(np.searchsorted(at, anchors), len(at))).tolist() for at in (at_a, at_b))
-    xa, xb = (np.ascontiguousarray(i, np.uint32).tobytes() for i in (ia, ib))
-    found = aligner.windows([(xa[p:q], xb[r:s]) for p, q, r, s in zip(wa[:-1], wa[1:], wb[:-1], wb[1:], strict=True)])
-    cuts = np.append(np.searchsorted(anchors, rows), len(anchors)).tolist()
-    groups, digests, links, k = np.zeros(len(same), np.int64), [""] * len(same), [b""] * len(same), 0
-    for row in np.flatnonzero(same).tolist():
-        mine = found[cuts[k]:cuts[k + 1]]
-        k += 1
-        digests[row] = hashlib.sha256(b";".join([x[0] for x in mine])).hexdigest()
-        codes = np.frombuffer(b"".join([x[1] for x in mine]), np.int64)
-        groups[row] = len(codes)
-        codes, times = np.unique(codes, return_counts=True)
-        packed = np.empty(len(codes), LINK)
-        packed["a"], packed["b"], packed["n"] = codes >> 32, codes & 0xFFFFFFFF, times
+    wa, wb = (np.append(np.searchsorted(at, anchors), len(at)) for at in (at_a, at_b))
+    windows = np.arange(len(anchors))
+    begin = wa + wb + np.arange(len(anchors) + 1)  # a window's number of ids of A, these, and its ids of B
+    flat = np.empty(begin[-1], np.uint32)
+    flat[begin[:-1]] = np.diff(wa)
+    flat[np.arange(len(ia)) + np.repeat(wb[:-1] + windows + 1, np.diff(wa))] = ia
+    flat[np.arange(len(ib)) + np.repeat(wa[1:] + windows + 1, np.diff(wb))] = ib
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(anchors), [None, pa.py_buffer(4 * begin), pa.py_buffer(flat)]).dictionary_encode()
+    found = aligner.windows(coded.dictionary.to_pylist())
+    text, ends = tokens.gathered([x[0] for x in found], coded.indices)
+    codes, linked = tokens.gathered([x[1] for x in found], coded.indices)
+    codes = codes.view(np.int64)
+    cuts = np.append(np.searchsorted(anchors, rows), len(anchors))
+    ends, linked = ends[cuts].tolist(), (linked[cuts] // 8).tolist()
+    groups, digests, links = np.zeros(len(same), np.int64), [""] * len(same), [b""] * len(same)
+    for k, row in enumerate(np.flatnonzero(same).tolist()):
+        digests[row] = hashlib.sha256(text[ends[k]:ends[k + 1] - 1]).hexdigest()
+        groups[row] = linked[k + 1] - linked[k]
+        mine, times = np.unique(codes[linked[k]:linked[k + 1]], return_counts=True)
+        packed = np.empty(len(mine), LINK)
+        packed["a"], packed["b"], packed["n"] = mine >> 32, mine & 0xFFFFFFFF, times
         links[row] = packed.tobytes()
     return na, nb, groups, digests, links
 
